@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crumbtrail.llm import lines, outliers, warc
+from crumbtrail.llm import lines, outliers, pieces, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.query,
     "op7_warc": warc.query,
+    "op8_sentencepiece": pieces.query,
     "op9_quality_rules": outliers.query,
 }
 SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op7_warc": warc.SQL}
