@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crumbtrail.llm import lines, outliers, pieces, warc
+from crumbtrail.llm import decontaminate, lines, outliers, pieces, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.query,
+    "op5_quality": quality.query,
     "op7_warc": warc.query,
     "op8_sentencepiece": pieces.query,
     "op9_quality_rules": outliers.query,
+    "op10_decontamination": decontaminate.query,
 }
 SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op7_warc": warc.SQL}
