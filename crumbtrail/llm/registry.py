@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crumbtrail.llm import decontaminate, lines, outliers, pieces, quality, warc
+from crumbtrail.llm import decontaminate, jaccard, lines, outliers, pieces, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.query,
     "op5_quality": quality.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op7_warc": warc.query,
     "op8_sentencepiece": pieces.query,
     "op9_quality_rules": outliers.query,
