@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crumbtrail.llm import decontaminate, jaccard, lines, outliers, pieces, quality, warc
+from crumbtrail.llm import decontaminate, jaccard, lines, outliers, pieces, quality, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": tokens.query,
     "op4_line_dedup": lines.query,
     "op5_quality": quality.query,
     "op6_ngram_jaccard": jaccard.query,
