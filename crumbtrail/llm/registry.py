@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crumbtrail.llm import decontaminate, jaccard, langid, lines, outliers, pieces, quality, tokens, warc
+from crumbtrail.llm import decontaminate, jaccard, langid, lines, mixing, outliers, pieces, quality, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": tokens.query,
+    "op2_context_mixing": mixing.query,
     "op3_language_id": langid.query,
     "op4_line_dedup": lines.query,
     "op5_quality": quality.query,
