@@ -23,7 +23,8 @@ def split_words(texts: pa.Array, separator: str) -> tuple[pa.Array, np.ndarray]:
 
 
 class RunCache:
-    """Runs of integers by string. Holds ``limit`` strings, or those of one batch if these are more."""
+    """Runs of integers by string. Keeps the first ``limit`` strings, which hold the frequent ones; later ones
+    are encoded each time they come. It starts anew when most strings of a batch are not among those kept."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int) -> None:
         self.encode, self.limit = encode, limit
@@ -38,12 +39,12 @@ class RunCache:
 
     def _add(self, units: list[str]) -> None:
         runs = self.encode(units)
-        n, k = sum(map(len, runs)), len(self.at)
+        lengths = np.array([len(r) for r in runs], np.int64)
+        n, k = int(lengths.sum()), len(self.at)
         while self.used + n > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         while k + len(units) > len(self.start):
             self.start, self.length = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.length, np.zeros_like(self.length)]
-        lengths = np.array([len(r) for r in runs], np.int64)
         self.length[k : k + len(units)] = lengths
         self.start[k : k + len(units)] = self.used + np.cumsum(lengths) - lengths
         if n:
@@ -57,13 +58,30 @@ class RunCache:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         coded = values.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [n for n in names if n not in self.at]
+        known = list(map(self.at.get, names))
+        new = [n for n, k in zip(names, known) if k is None]
         if new:
-            if len(self.at) + len(new) > self.limit:
+            if len(self.at) + len(new) <= self.limit or not self.at:
+                self._add(new)
+            elif 2 * len(new) > len(names):
                 self._clear()
-                new = names
-            self._add(new)
-        at = np.array([self.at[n] for n in names], np.int64)
+                self._add(names)
+            else:
+                return self._mixed(coded, names, known, new)
+            known = [self.at[n] for n in names]
+        at = np.array(known, np.int64)
         picked = at[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.length[picked]
         return gather(self.flat, self.start[picked], lengths), lengths
+
+    def _mixed(self, coded: pa.DictionaryArray, names: list[str], known: list[int | None], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As runs(), with the new strings' runs behind those kept, for this batch only."""
+        runs = self.encode(new)
+        sizes = np.array([len(r) for r in runs], np.int64)
+        flat = np.concatenate([self.flat[: self.used], *runs])
+        place = dict(zip(new, range(len(new))))
+        at = np.array([len(self.at) + place[n] if k is None else k for n, k in zip(names, known)], np.int64)
+        start = np.r_[self.start[: len(self.at)], self.used + np.cumsum(sizes) - sizes][at]
+        length = np.r_[self.length[: len(self.at)], sizes][at]
+        picked = coded.indices.to_numpy(zero_copy_only=False)
+        return gather(flat, start[picked], length[picked]), length[picked]

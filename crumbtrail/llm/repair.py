@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from crumbtrail.llm.ragged import gather
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,13 +61,13 @@ def compress(ids: np.ndarray, first: int, min_count: int = 8, least_gain: float
     return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32), np.concatenate(lengths).astype(np.uint32)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that a sequence stands for."""
+def _passes(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """A sequence with its nonterminals replaced, level after level."""
     seq = seq.astype(np.int64)
     while True:
         rule = seq >= first
         if not rule.any():
-            return seq.astype(np.uint32)
+            return seq
         times = np.where(rule, 2, 1)
         at = np.cumsum(times) - times
         out = np.empty(int(times.sum()), np.int64)
@@ -75,6 +77,14 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
         seq = out
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The ids that a sequence stands for: all rules are expanded once, then the sequence in one pass."""
+    table = np.r_[np.arange(first), _passes(first + np.arange(len(rules)), rules, first)].astype(np.uint32)
+    size = np.r_[np.ones(first, np.int64), lengths.astype(np.int64)]
+    start = np.cumsum(size) - size
+    return gather(table, start[seq], size[seq])
+
+
 def expand_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, start: int, end: int) -> np.ndarray:
     """Ids start..end of the expansion; only what reaches into the range is expanded."""
     seq = seq.astype(np.int64)
