@@ -75,8 +75,9 @@ def luminance(c: list[Column]) -> Column:
 
 
 def contrast(a: Column, b: Column) -> Column:
+    """WCAG contrast ratio; null if a colour cannot be read (greatest and least would skip it)."""
     la, lb = luminance(rgb(a)), luminance(rgb(b))
-    return (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05)
+    return F.when(la.isNotNull() & lb.isNotNull(), (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05))
 
 
 def grade(score: Column) -> Column:
