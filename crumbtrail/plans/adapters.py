@@ -106,3 +106,12 @@ def duck(sql: str) -> str:
     """Oracle SQL with all adapters as CTEs in front of it."""
     parts = [f"{n} AS ({q.replace('AS string)', 'AS varchar)')})" for n, q in SQL.items()]
     return "WITH " + ",\n".join(parts) + (",\n" + sql.strip()[5:] if sql.strip()[:5].upper() == "WITH " else "\n" + sql)
+
+
+def stream_dir(spark: SparkSession) -> str:
+    """A new folder for a stream's files and checkpoint, in the folder that all executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crumbtrail-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
