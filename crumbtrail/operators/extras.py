@@ -93,3 +93,8 @@ def renumber(sites: DataFrame) -> DataFrame:
     offsets = sizes.withColumn("o_", F.coalesce(F.sum("c_").over(before), F.lit(0))).drop("c_")
     inside = Window.partitionBy("p_").orderBy("seq")
     return ranged.join(F.broadcast(offsets), "p_").select("domain", (F.col("o_") + F.row_number().over(inside)).cast("int").alias("rank"))
+
+
+def top_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key; a top-k report."""
+    return df.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("n_") <= n).drop("n_")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crumbtrail.functions import domains as D
+from crumbtrail.functions import labels as L
 from crumbtrail.functions import text as X
-from crumbtrail.operators import classify, extras, metrics, scoring, studies
+from crumbtrail.operators import banner as B
+from crumbtrail.operators import classify, extras, metrics, privacy, scoring, studies
 from crumbtrail.plans import oracle as O
 from crumbtrail.plans import params as P
 from crumbtrail.plans import queries as Q
@@ -181,3 +183,42 @@ def prevalence_stream(s, d):
     stream = s.readStream.schema("ts timestamp, host string, site string").parquet(f"{path}/in")
     pairs = audit.run_to_table(audit.new_first_parties(stream), f"{path}/out", f"{path}/cp")
     return pairs.groupBy("domain").agg(F.count_distinct("site").alias("first_parties")).where("first_parties >= 3")
+
+
+# Phrases.
+@query(O.after("patterns", f"""WITH u AS (SELECT x.p AS pattern, count(*) AS n FROM o_patterns, LATERAL (VALUES {Q._NAMES}) AS x(p, f) WHERE f GROUP BY 1), t AS (SELECT pattern, 100.0::DOUBLE * n / (SELECT count(*) FROM o_patterns) AS pct FROM u)
+  SELECT pattern, printf('%s (%.1f%%)', CASE WHEN pct >= 90 THEN 'Nearly all sites' WHEN pct >= 70 THEN 'A large majority of sites' WHEN pct >= 50 THEN 'A majority of sites' WHEN pct >= 30 THEN 'A substantial minority of sites' ELSE 'A minority of sites' END, pct) AS phrase FROM t"""))
+def share_phrases(s, d):
+    return metrics.pattern_prevalence(Q.patterns(s, d)).select("pattern", L.share_phrase(F.col("pct")).alias("phrase"))
+
+
+@query(duck("""SELECT b.domain, CAST((CASE WHEN found THEN 2 ELSE 0 END) + (CASE WHEN has_accept THEN 5 ELSE 0 END) + (CASE WHEN has_reject THEN 5 ELSE 0 END) + (CASE WHEN contains(html, 'id="s"') THEN 3 ELSE 0 END)
+  + (CASE WHEN accept_clicks < 999 THEN 1 ELSE 0 END) + (CASE WHEN reject_clicks < 999 THEN 1 ELSE 0 END) + (CASE WHEN banner_text <> '' THEN 1 ELSE 0 END) AS INT) AS quality FROM a_banners b"""))
+def scan_quality(s, d):
+    return load(s, d, "a_banners").withColumn("has_settings", F.contains("html", F.lit('id="s"'))).select("domain", L.scan_quality().alias("quality"))
+
+
+@query(O.after("d1", """SELECT domain, CASE WHEN size_ratio IS NULL THEN 'no reject button' ELSE concat_ws('; ', CASE WHEN size_ratio < 0.7 THEN 'reject is smaller' END, CASE WHEN font_ratio < 0.85 THEN 'reject has a smaller font' END, CASE WHEN weight_diff > 200 THEN 'accept is bolder' END) END AS issues FROM o_d1"""))
+def compare_buttons(s, d):
+    df = B.asymmetric(B.pick_buttons(load(s, d, "a_buttons")))
+    issues = L.button_issues(F.col("size_ratio").isNotNull(), F.col("size_ratio"), F.col("font_ratio"), F.col("weight_diff"))
+    return df.select("domain", F.concat_ws("; ", issues).alias("issues"))
+
+
+@query(O.after("scores", f"WITH {Q._TRIALS} SELECT metric, epsilon, CASE epsilon WHEN 0.1 THEN 'Low (high privacy)' WHEN 0.5 THEN 'Moderate' WHEN 1.0 THEN 'Balanced (recommended)' WHEN 2.0 THEN 'Good utility' WHEN 5.0 THEN 'High utility' WHEN 10.0 THEN 'Near-exact' END AS utility, CASE WHEN epsilon <= 0.1 THEN 'Very high privacy, low utility' WHEN epsilon <= 0.5 THEN 'High privacy, moderate utility' WHEN epsilon <= 1 THEN 'Good privacy-utility balance' WHEN epsilon <= 2 THEN 'Moderate privacy, good utility' ELSE 'Low privacy, high utility' END AS note FROM o_trials"))
+def epsilon_notes(s, d):
+    df = privacy.epsilons(Q.counts(s, d).select("metric"))
+    return df.select("metric", "epsilon", L.utility(F.col("epsilon")).alias("utility"), L.epsilon_note(F.col("epsilon")).alias("note"))
+
+
+_HELPS = [("missing_reject", "beta", 2), ("missing_reject", "gamma", 1), ("confusing", "beta", 1), ("multi_layer", "alpha", 2), ("asymmetric", "gamma", 1), ("preselected", "alpha", 1), ("hidden_reject", "delta", 2)]
+
+
+@query(O.after("patterns", f"""WITH u AS (SELECT domain, x.p AS issue FROM o_patterns, LATERAL (VALUES {Q._NAMES}) AS x(p, f) WHERE f), h AS ({P.values(_HELPS, 'issue, pet, relevance')}),
+  m AS (SELECT domain, pet, CAST(sum(relevance) AS BIGINT) AS relevance FROM u JOIN h USING (issue) GROUP BY ALL)
+  SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY relevance DESC, pet) AS r FROM m) WHERE r <= 3"""))
+def site_tool_advice(s, d):
+    """For each site the three tools that help most with its issues; a top-k report."""
+    issues = Q.patterns(s, d).select("domain", F.explode("names").alias("issue"))
+    met = issues.join(s.sql(P.values(_HELPS, "issue, pet, relevance")), "issue").groupBy("domain", "pet").agg(F.sum("relevance").alias("relevance"))
+    return extras.top_per_key(met, "domain", [F.desc("relevance"), F.col("pet")], 3)
