@@ -117,7 +117,8 @@ def mcd(rows: DataFrame, *, support: float = 0.75, steps: int = 4) -> DataFrame:
     factor = _consistency(support)
     for _ in range(steps):
         seen = _distance(rows.join(params, "g_"))
-        inner = seen.groupBy("g_").agg(F.percentile_approx("d2", support, 2000).alias("r2"))
+        # Written, so that its size is known: Spark broadcasts it as long as that is small.
+        inner = written(seen.groupBy("g_").agg(F.percentile_approx("d2", support, 2000).alias("r2")), "mcd")
         subset = seen.join(inner, "g_").where(F.col("d2") <= F.col("r2"))
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
         # Products of centred values: the last mean is near enough to keep the digits.
@@ -140,20 +141,23 @@ def judge(
     min_group: int = 100,
 ) -> DataFrame:
     """docs without the text, with the counts, ``distance2`` (null if nothing was estimated) and ``kept``."""
-    own = [c for c in docs.columns if c != text_col]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    own = [c for c in docs.columns if c not in (text_col, *added, "distance2", "kept")]
+    # The document's own columns travel as one, so that no name can clash.
     name = F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
-    stats = written(_statistics(counts(docs, text_col)).withColumn("g_", name), "doc-stats")
+    rows = docs.select(F.struct(*own).alias("row_"), name.alias("g_"), F.col(text_col).alias("text_"))
+    stats = written(_statistics(counts(rows, "text_")), "doc-stats")
     sound = stats.where(~F.col("base_failed"))
     sizes = sound.groupBy("g_").agg(F.count("*").alias("size_")).where(F.col("size_") >= min_group).select("g_", F.lit(True).alias("large_"))
+    sizes = written(sizes, "group-sizes")
     # Rows of small groups go to the common estimate, named ''.
     grouped = stats.join(sizes, "g_", "left").withColumn("g_", F.when(F.col("large_"), F.col("g_")).otherwise(F.lit(""))).drop("large_")
     fit = grouped.where(~F.col("base_failed")).select("g_", *XS)
     params = mcd(fit, support=support, steps=steps)
     seen = _distance(grouped.join(params, "g_", "left"))
-    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return seen.select(
-        *[c for c in own if c not in shown],
-        *shown,
+        *[F.col("row_").getField(c).alias(c) for c in own],
+        *added,
         F.col("d2").alias("distance2"),
         (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"),
     )
