@@ -84,22 +84,23 @@ SQL: dict[str, str] = {
                e.k % 9 AS trackers, e.k % 13 AS third_parties, e.k AS cookies
         FROM (SELECT event_id, ts, user_id, event_type, CAST(substr(props, 7, length(props) - 7) AS int) AS k FROM events) e JOIN label_pool l ON l.i = e.k % 12""",
 }
-SOURCES = ["events", "customer", "nation", "region", "pages", "documents"]
+#: The session and folder that the views stand for.
+_views: list[tuple[str, str]] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A canonical table, or a source table itself."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for t in SOURCES:
-        if any(t in q for q in [SQL[name], *SQL.values()]):
+    here = (spark.sparkContext.applicationId, sf_dir)
+    if _views != [here] or not spark.catalog.tableExists(name):
+        for t in ("events", "customer", "nation", "region"):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for n, q in SQL.items():
-        # Defined in order; a view is only text until a query uses it.
-        spark.sql(q).createOrReplaceTempView(n)
-        if n == name:
-            return spark.table(n)
-    raise KeyError(name)
+        for n, q in SQL.items():
+            # In order; a view is only text until a query uses it.
+            spark.sql(q).createOrReplaceTempView(n)
+        _views[:] = [here]
+    return spark.table(name)
 
 
 def duck(sql: str) -> str:
