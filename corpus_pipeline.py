@@ -12,46 +12,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crumbtrail.llm import decontaminate, jaccard, lines, pieces, quality
-from crumbtrail.llm.common import table, written
+from crumbtrail.llm.common import drop_written, keep_written, key_filter, new_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for rows whose (doc_id, th) is in gone. Only rows that may be are shuffled to meet it."""
+    gone = written(gone.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).distinct(), "gone")
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    maybe = key_filter(gone.select(F.xxhash64("d_", "t_").alias("h")))(F.xxhash64("doc_id", th))
+    same = F.col("doc_id").eqNullSafe(F.col("d_")) & (th == F.col("t_"))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, same, "left_anti")).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. A null text is judged as an empty one."""
-    judged = quality.classify(docs.withColumn("kept_", F.col("text")), table(spark, sf_dir, "labels"))
-    return judged.where("predicted = 1").withColumnRenamed("kept_", "text").select(*COLUMNS)
+    keep_written()
+    stats = written(quality.with_statistics(docs.select("doc_id", "text")), "quality-stats")
+    model = quality.fit_labelled(stats, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score_text(model)(F.col("text")) >= 0.7).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows. A document left without any text stays, empty."""
+    drop_written(spark)
     done = lines.dedup_lines(docs)
     cut = F.col("n_dropped") > 0
-    return done.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    length = F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length).withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least id. Rows with a null id are never dropped for a group."""
-    groups = jaccard.near_duplicates(docs)
-    extra = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).distinct()
-    left = docs.join(extra, (F.col("doc_id") == F.col("d_")) & (_text_hash() == F.col("t_")), "left_anti")
-    return left.select(*COLUMNS)
+    """One document of each group stays: that with the least id. Rows with a null id stay."""
+    drop_written(spark)
+    return _without(docs, jaccard.near_duplicates(docs).where("doc_id <> class_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    hit = written(decontaminate.find_items(docs.withColumn("row_", F.struct("doc_id", _text_hash().alias("th"))).select(F.to_json("row_").alias("row_"), "text"), table(spark, sf_dir, "benchmark"), id_col="row_").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit.withColumnRenamed("doc_id", "hit_"), F.to_json(F.struct("doc_id", _text_hash().alias("th"))) == F.col("hit_"), "left_anti").select(*COLUMNS)
+    drop_written(spark)
+    rows = docs.select(F.to_json(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))).alias("row"), "text")
+    hits = decontaminate.find_items(rows, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(docs, hits.select(F.from_json("doc_id", "doc_id long, th long").alias("r")).select("r.doc_id", "r.th"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What stays, as ids, with the text that they decode to."""
     import public_tokenizers
 
+    drop_written(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("ids", "n_tokens", "decoded"))
 
 
@@ -68,8 +78,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage before it is written as Parquet and read again."""
+    """The rows of the last stage; each stage before it is written as Parquet and read again.
+
+    What a stage kept aside is removed as soon as its rows are stored.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+        rows = stage(spark, docs, sf_dir)
+        path = new_path(spark, "stage-" + name.split()[0])
+        rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +36,54 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that written() has made and nothing has removed yet.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_written() -> None:
+    """What written() has made so far is not touched by drop_written()."""
+    _tables.clear()
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that written() has made since keep_written(). For callers whose results are all stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _tables:
+        at = hadoop(_tables.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """keys: one long column. A test of longs that never says no to one of the keys, and seldom yes to others.
+
+    Rows that fail it need not be shuffled to meet the keys. What is broadcast is a bitmap of at
+    most 2^27 bits, whatever the number of keys.
+    """
+    spark = keys.sparkSession
+    (name,) = keys.columns
+    bits = min(27, max(13, (16 * keys.count()).bit_length()))
+    at = keys.select(F.expr(f"`{name}` & {(1 << bits) - 1}L").alias("p"))
+    words = at.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+    table_ = np.zeros(1 << (bits - 6), np.int64)
+    table_[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table_)
+
+    def maybe(h: pd.Series) -> pd.Series:
+        p = h.to_numpy(np.int64) & ((1 << bits) - 1)
+        return pd.Series((shared.value[p >> 6] >> (p & 63) & 1).astype(bool))
+
+    return F.pandas_udf(maybe, "boolean")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds what a Python worker holds at once: long texts come a few hundred, or 16 MB, at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crumbtrail.llm.common import small_batches, table, written
+from crumbtrail.llm.common import key_filter, small_batches, table, written
 from crumbtrail.llm.components import components
 
 BANDS, ROWS, SIGNATURE = 42, 6, 64
@@ -123,8 +123,8 @@ def _signatures(n: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in ngram_sets(batch.column(1), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "grams"])
+            sets = pa.array([s.tobytes() for s in ngram_sets(batch.column(2), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["doc", "th", "grams"])
 
     return run
 
@@ -286,11 +286,13 @@ def near_duplicates(
         .join(classes.select("node", "signature", "like"), "node")
         .select("node", F.col("root").alias("comp"), "blocks", "signature", "like", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("own"))
     )
-    # The n-gram sets of candidates only, from one document of each class.
-    wanted = comps.join(classes.select("node", "like"), "node").select("node", F.col("like.doc").alias("w_doc"), F.col("like.th").alias("w_th"))
+    # The n-gram sets of candidates only, from one document of each class. Texts do not move: a key
+    # filter picks the rows, and their sets meet the classes.
+    wanted = written(comps.join(classes.select("node", "like"), "node").select("node", F.col("like.doc").alias("w_doc"), F.col("like.th").alias("w_th")), "wanted")
+    maybe = key_filter(wanted.select(F.xxhash64("w_doc", "w_th").alias("h")))
+    picked = rows.where(maybe(F.xxhash64("doc", "th"))).mapInArrow(_sets(n), "doc long, th long, grams binary")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))
-    whole = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
-    grams = written(whole.mapInArrow(_sets(n), "node long, grams binary"), "ngrams")
+    grams = written(picked.join(wanted, same).select("node", "grams").dropDuplicates(["node"]), "ngrams")
     pairs = (
         placed.drop("like")
         .join(grams, "node")

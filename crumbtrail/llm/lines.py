@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crumbtrail.llm.common import SPACES, ascii_lower, small_batches, table, written
+from crumbtrail.llm.common import SPACES, ascii_lower, key_filter, small_batches, table, written
 
 #: Stands for a null doc_id in the sort, below every real id.
 NO_ID = -(2**63)
@@ -142,14 +142,14 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     maps = written(keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs, id_col=id_col, text_col=text_col), "line-keep")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"))
-    joined = rows.join(maps.select("doc", "th", "keep"), ["doc", "th"], "left")
+    # Most texts lose no line: a key filter tells them apart, and only the others are shuffled to their bitmaps.
+    maybe = key_filter(maps.select(F.xxhash64("doc", "th").alias("h")))(F.xxhash64("doc", "th"))
     apply = F.pandas_udf(_apply, "kept string, n_lines long, n_dropped long")
     inner = F.coalesce(F.col("row").getField(text_col), F.lit(""))
-    # Most texts lose no line; those stay in the JVM.
     whole = F.struct(inner.alias("kept"), F.size(F.split(inner, "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    untouched = joined.where(F.col("keep").isNull()).select("row", whole.alias("done"))
-    cut = joined.where(F.col("keep").isNotNull()).select("row", apply(inner, F.col("keep")).alias("done"))
-    both = untouched.unionByName(cut)
+    untouched = rows.where(~maybe).select("row", whole.alias("done"))
+    joined = rows.where(maybe).join(maps.select("doc", "th", "keep"), ["doc", "th"], "left")
+    both = untouched.unionByName(joined.select("row", apply(inner, F.col("keep")).alias("done")))
     added = [F.col("done")[c].alias(c) for c in ("kept", "n_lines", "n_dropped")]
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
     return both.select(*own, *added)

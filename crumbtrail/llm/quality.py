@@ -14,7 +14,7 @@ get equal scores; an empty table gives an empty table; other columns are ignored
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -198,6 +198,25 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
     return stats.select(*own, F.pandas_udf(run, "double")("stats").alias("score"))
 
 
+def score_text(model: Model | None) -> Callable[[Column], Column]:
+    """A function from the text column to its score, for use where nothing else should pass through Python."""
+    if model is None:
+        return lambda text: F.lit(1.0)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.clip(model.score(np.array([statistics(t or "") for t in texts])), 0, 1) if len(texts) else [], dtype=float)
+
+    return F.pandas_udf(run, "double")
+
+
+def fit_labelled(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_train: int = 200_000) -> Model | None:
+    """stats: id and statistics of the documents whose labels may be used."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.avg(label_col).cast("double").alias("y"))
+    train = stats.select(F.col(id_col).alias("key"), "stats").join(known, "key")
+    train = written(train.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")), "quality-train")
+    return fit(train, max_train=max_train)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -213,10 +232,8 @@ def classify(
     own = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
     marked = docs.withColumn("learn_", F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True))
     stats = written(with_statistics(marked.select(*own, "learn_", text_col), text_col), "quality-stats")
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.avg(label_col).cast("double").alias("y"))
-    train = stats.where("learn_").select(F.col(id_col).alias("key"), "stats").join(known, "key")
-    train = written(train.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")), "quality-train")
-    done = score(stats.drop("learn_"), fit(train, max_train=max_train))
+    model = fit_labelled(stats.where("learn_"), labels, id_col=id_col, label_col=label_col, max_train=max_train)
+    done = score(stats.drop("learn_"), model)
     return done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
