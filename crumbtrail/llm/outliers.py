@@ -26,7 +26,8 @@ from crumbtrail.llm.common import SPACE_CLASS, SPACES, table, written
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
-#: The transformed statistics, and the least standard deviation assumed for each.
+#: The transformed statistics, and the least standard deviation assumed for each. Smaller ones make outliers
+#: of sound documents in groups where most repeat nothing: see the README.
 FLOORS = {"x0": 0.06, "x1": 0.05, "x2": 0.15, "x3": 0.15}
 XS = list(FLOORS)
 DIMS = len(XS)
@@ -73,15 +74,27 @@ def _statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def _consistency(support: float) -> float:
-    """What the covariance of the inner share of a normal sample is short of, for DIMS = 4."""
-    below4 = lambda q: 1 - math.exp(-q / 2) * (1 + q / 2)  # noqa: E731  chi-squared, 4 degrees
-    below6 = lambda q: 1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8)
+def _below4(q: float) -> float:
+    """The chi-squared distribution with DIMS = 4 degrees of freedom."""
+    return 1 - math.exp(-q / 2) * (1 + q / 2)
+
+
+def _quantile(share: float) -> float:
     lo, hi = 0.0, 100.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below4(mid) < support else (lo, mid)
-    return support / below6(lo)
+        lo, hi = (mid, hi) if _below4(mid) < share else (lo, mid)
+    return lo
+
+
+def _consistency(support: float) -> float:
+    """What the covariance of the inner share of a normal sample is short of, for DIMS = 4."""
+    below6 = lambda q: 1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8)
+    return support / below6(_quantile(support))
+
+
+#: A squared distance that one sound document in a thousand goes beyond, were its statistics normal: 18.47.
+CUTOFF = _quantile(0.999)
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
@@ -135,7 +148,7 @@ def judge(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
-    cutoff: float = 36.0,
+    cutoff: float = CUTOFF,
     support: float = 0.75,
     steps: int = 4,
     min_group: int = 100,
