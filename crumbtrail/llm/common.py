@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers live on between tasks: this allocator gives memory back, the default one keeps the most that it ever had.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: The ASCII white space that separates words and surrounds lines (fixed value).
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class.
@@ -24,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="crumbtrail-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -36,8 +44,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths that written() has made and nothing has removed yet.
-_tables: list[str] = []
+#: Where written() notes its paths, if a caller collects them.
+_collected: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collected(paths: list[str]) -> Iterator[None]:
+    """What written() makes inside is noted in paths, for drop_tables()."""
+    token = _collected.set(paths)
+    try:
+        yield
+    finally:
+        _collected.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,49 +63,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
+    if (paths := _collected.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_written() -> None:
-    """What written() has made so far is not touched by drop_written()."""
-    _tables.clear()
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Removes the tables that written() has made since keep_written(). For callers whose results are all stored."""
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes collected tables. For callers whose results are all stored."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _tables:
-        at = hadoop(_tables.pop())
+    while paths:
+        at = hadoop(paths.pop())
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
-    """keys: one long column. A test of longs that never says no to one of the keys, and seldom yes to others.
+class KeyFilter:
+    """A test of longs that never says no to one of the keys, and seldom yes to others.
 
     Rows that fail it need not be shuffled to meet the keys. What is broadcast is a bitmap of at
-    most 2^27 bits, whatever the number of keys.
+    most 2^27 bits, whatever the number of keys; beyond about 10^8 keys it lets most rows pass,
+    and only the volume of the shuffle behind it grows.
     """
-    spark = keys.sparkSession
-    (name,) = keys.columns
-    bits = min(27, max(13, (16 * keys.count()).bit_length()))
-    at = keys.select(F.expr(f"`{name}` & {(1 << bits) - 1}L").alias("p"))
-    words = at.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
-    table_ = np.zeros(1 << (bits - 6), np.int64)
-    table_[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table_)
 
-    def maybe(h: pd.Series) -> pd.Series:
-        p = h.to_numpy(np.int64) & ((1 << bits) - 1)
-        return pd.Series((shared.value[p >> 6] >> (p & 63) & 1).astype(bool))
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: one long column."""
+        (name,) = keys.columns
+        self.bits = min(27, max(13, (16 * keys.count()).bit_length()))
+        at = keys.select(F.expr(f"`{name}` & {(1 << self.bits) - 1}L").alias("p"))
+        words = at.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+        table_ = np.zeros(1 << (self.bits - 6), np.int64)
+        table_[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+        self.shared = keys.sparkSession.sparkContext.broadcast(table_)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        p = h & ((1 << self.bits) - 1)
+        return (self.shared.value[p >> 6] >> (p & 63) & 1).astype(bool)
 
-    return F.pandas_udf(maybe, "boolean")
+    def column(self, key: Column) -> Column:
+        """The test as a column."""
+        return F.pandas_udf(lambda h: pd.Series(self(h.to_numpy(np.int64))), "boolean")(key)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds at once: long texts come a few hundred, or 16 MB, at a time."""
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Bounds what a Python worker holds at once: a batch is at most so many rows or 2 MB, or one longer text. What
+    operators make of a batch is many times its size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def ascii_lower(c: Column) -> Column:

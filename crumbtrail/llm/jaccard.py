@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crumbtrail.llm.common import key_filter, small_batches, table, written
+from crumbtrail.llm.common import KeyFilter, small_batches, table, written
 from crumbtrail.llm.components import components
 
 BANDS, ROWS, SIGNATURE = 42, 6, 64
@@ -120,9 +120,12 @@ def _signatures(n: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: KeyFilter):
+    """The n-gram sets of the rows whose key may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(wanted(whole.column(3).to_numpy())))
             sets = pa.array([s.tobytes() for s in ngram_sets(batch.column(2), n)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["doc", "th", "grams"])
 
@@ -258,13 +261,14 @@ def near_duplicates(
     n: int = 5,
     threshold: float = 0.8,
     tolerance: float = 1e-5,
-    block: int = 384,
+    block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """A row per document: its id, ``class_id`` (least id of all it is linked to, over any number of links),
     ``text_class`` (least id of the documents with the same n-grams) and ``n_links``, the number of other
-    text classes within the threshold of its own. ``th`` is xxhash64 of the text, to tell rows apart."""
+    text classes within the threshold of its own. ``th`` is xxhash64 of the text, to tell rows apart, and ``group``
+    a number that rows of one class share (null without words), also where ids are null or repeat."""
     spark = docs.sparkSession
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -276,9 +280,11 @@ def near_duplicates(
         worded.groupBy("node").agg(F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.min("doc").alias("first_doc"), F.min(F.struct("doc", "th")).alias("like")), "classes"
     )
     # Stars: every member of a band's bucket is tied to the least one.
-    member = written(classes.select("node", F.explode("bands").alias("band")), "bands")
-    hubs = member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
-    stars = member.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    member = classes.select("node", F.explode("bands").alias("band"))
+    hubs = written(member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub"), "buckets")
+    # Most buckets hold one class: a key filter leaves their members where they are.
+    shared = member.where(KeyFilter(hubs.select("band")).column(F.col("band")))
+    stars = shared.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     comps = written(components(stars), "candidates")
     sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = (
@@ -289,8 +295,8 @@ def near_duplicates(
     # The n-gram sets of candidates only, from one document of each class. Texts do not move: a key
     # filter picks the rows, and their sets meet the classes.
     wanted = written(comps.join(classes.select("node", "like"), "node").select("node", F.col("like.doc").alias("w_doc"), F.col("like.th").alias("w_th")), "wanted")
-    maybe = key_filter(wanted.select(F.xxhash64("w_doc", "w_th").alias("h")))
-    picked = rows.where(maybe(F.xxhash64("doc", "th"))).mapInArrow(_sets(n), "doc long, th long, grams binary")
+    maybe = KeyFilter(wanted.select(F.xxhash64("w_doc", "w_th").alias("h")))
+    picked = rows.select("*", F.xxhash64("doc", "th").alias("h")).mapInArrow(_sets(n, maybe), "doc long, th long, grams binary")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))
     grams = written(picked.join(wanted, same).select("node", "grams").dropDuplicates(["node"]), "ngrams")
     pairs = (
@@ -308,7 +314,7 @@ def near_duplicates(
         "labels",
     )
     least = labelled.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    final = labelled.join(least, "root").select("node", F.col("first_doc").alias("text_class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = labelled.join(least, "root").select("node", F.col("root").alias("group"), F.col("first_doc").alias("text_class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = signed.select("doc", "th", "node").join(final, "node", "left")
     alone = F.col("node").isNull()
     return joined.select(
@@ -317,8 +323,9 @@ def near_duplicates(
         F.when(alone, F.col("doc")).otherwise(F.col("text_class")).alias("text_class"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "th",
+        "group",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "group")

@@ -7,12 +7,14 @@ numpy array of symbols. In each round every unit finds the least rank among its
 (a segmented minimum), merges the occurrences of it from the left, and the array is
 compacted, until no unit has a pair left. Merges at the same rank happen together only as
 long as none of them makes a pair that would have to come first. What remains outside the
-vocabulary becomes byte pieces. A bounded cache per worker keeps encoded units.
+vocabulary becomes byte pieces. A cache per worker, bounded in bytes, keeps encoded units.
+Texts are taken a few at a time, and long ones in segments between units, so that what a
+worker holds follows its longest text only by the text itself and its ids.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; null ids of
-documents pass through; repeated rows are encoded alike; very long texts and units only
-take more rounds; an empty table gives an empty table; asked-for columns replace columns
-of the input that have the same name.
+documents pass through; repeated rows are encoded alike; very long texts take more segments
+and very long units more rounds; an empty table gives an empty table; asked-for columns
+replace columns of the input that have the same name.
 """
 
 from __future__ import annotations
@@ -24,19 +26,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crumbtrail.llm.common import small_batches, table
-from crumbtrail.llm.ragged import RunCache, gather
+from crumbtrail.llm.ragged import RunCache, gather, slices
 
 MARK = "▁"
 #: Units start at markers and at line ends, which are in no piece of more than one character.
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 NONE = np.int64(1) << 40
-#: Units kept in a worker's cache.
-CACHE = 500_000
+#: Bytes of a worker's cache.
+CACHE = 64 << 20
+#: Characters of a segment of a text, and of the texts taken together.
+SEGMENT = 1 << 20
+#: A space between other characters than spaces, markers and line ends: a text may be cut there.
+_CUT = re.compile(f"(?<=[^ {MARK}\n]) (?=[^ {MARK}\n])")
 
 
 class Vocabulary:
@@ -182,20 +189,37 @@ class Codec:
                 block, chars = [], 0
         return out + self.vocabulary.encode(block) if block else out
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def ids(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """The ids of each text, segment by segment."""
+        split = [segments(t) for t in texts]
+        flat = [s for own in split for s in own]
+        coded: list[np.ndarray] = []
+        for a, b in slices(np.array([len(s) for s in flat], np.int64), 1 << 12, SEGMENT):
+            coded += self._segment_ids(flat[a:b])
+        ends = np.cumsum([len(own) for own in split]).tolist()
+        return [coded[b - len(own) : b] for own, b in zip(split, ends)]
+
+    def _segment_ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [units_of(t) for t in texts]
         counts = np.array([len(u) for u in split], np.int64)
         flat, lengths = self.cache.runs(pa.array(list(chain.from_iterable(split)), pa.string()))
         ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]]
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
+    def sha256(self, ids: list[np.ndarray]) -> str:
+        """The digest of all ids in decimal, joined by commas."""
+        h = hashlib.sha256()
+        for i, part in enumerate(ids):
+            h.update((b"," if i else b"") + self.decimals(part))
+        return h.hexdigest()
+
     def decimals(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
         return gather(self.decimal, self.offset[ids], self.width[ids]).tobytes()[:-1]
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.vocabulary.library.decode([i.tolist() for i in ids]) if ids else []
+    def decode(self, ids: list[np.ndarray]) -> str:
+        """The text of ids in segments. The library drops the marker that each segment begins with: a space of the text."""
+        return " ".join(self.vocabulary.library.decode(part.tolist()) for part in ids)
 
 
 _codecs: dict[str, Codec] = {}
@@ -207,6 +231,15 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def segments(text: str) -> list[str]:
+    """The text in pieces of about SEGMENT characters; the single spaces between them are left out."""
+    out, a = [], 0
+    while len(text) - a > SEGMENT and (cut := _CUT.search(text, a + SEGMENT)):
+        out.append(text[a : cut.start()])
+        a = cut.end()
+    return [*out, text[a:]] if a else [text]
+
+
 def units_of(text: str) -> list[str]:
     """Units without their first marker; those that start with a line end have none."""
     words = text.replace("\n", " \n").split(" ")
@@ -236,22 +269,25 @@ def encode(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "n_to
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for batch in batches:
-            own_codec = codec(model)
-            ids = own_codec.ids([t or "" for t in batch.column(len(own)).to_pylist()])
-            made = {}
-            if "ids" in outputs:
-                made["ids"] = ids
-            if "n_tokens" in outputs:
-                made["n_tokens"] = [len(i) for i in ids]
-            if "ids_sha256" in outputs:
-                made["ids_sha256"] = [hashlib.sha256(own_codec.decimals(i)).hexdigest() for i in ids]
-            if "decoded" in outputs or "decoded_sha256" in outputs:
-                texts = own_codec.decode(ids)
-                made["decoded"] = texts
-                made["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            columns = [batch.column(i) for i in range(len(own))] + [pa.array(made[c], target.field(c).type) for c in outputs]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        for whole in batches:
+            length = pc.fill_null(pc.binary_length(whole.column(len(own))), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(length, 256, SEGMENT):
+                batch = whole.slice(a, b - a)
+                own_codec = codec(model)
+                ids = own_codec.ids([t or "" for t in batch.column(len(own)).to_pylist()])
+                made = {}
+                if "ids" in outputs:
+                    made["ids"] = [np.concatenate(i) for i in ids]
+                if "n_tokens" in outputs:
+                    made["n_tokens"] = [sum(map(len, i)) for i in ids]
+                if "ids_sha256" in outputs:
+                    made["ids_sha256"] = [own_codec.sha256(i) for i in ids]
+                if "decoded" in outputs or "decoded_sha256" in outputs:
+                    texts = [own_codec.decode(i) for i in ids]
+                    made["decoded"] = texts
+                    made["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                columns = [batch.column(i) for i in range(len(own))] + [pa.array(made[c], target.field(c).type) for c in outputs]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.select(*own, F.col(text_col)).mapInArrow(run, schema)
 
