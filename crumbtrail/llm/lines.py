@@ -4,8 +4,9 @@ A line's key is its text without ASCII white space at both ends and with A-Z low
 Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold lose
 all their lines except in the document with the largest id. Key hashes (128 bits) are
 range-partitioned with document and position as further sort keys, so that the lines of a
-very common key are spread over many partitions; each partition is streamed once, and only
-what touches its edges is settled by a table of at most two keys per partition. The
+very common key are spread over many partitions; each partition is streamed once, batch by
+batch, and only what touches its edges is settled by a table of at most two keys per
+partition. The
 outcome is a compressed bitmap per document (bit set: the line stays); texts never move.
 
 Defined cases: a null or empty text is one empty line, which stays; rows with the same id
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crumbtrail.llm.common import SPACES, ascii_lower, key_filter, small_batches, table, written
+from crumbtrail.llm.common import SPACES, KeyFilter, ascii_lower, small_batches, table, written
 
 #: Stands for a null doc_id in the sort, below every real id.
 NO_ID = -(2**63)
@@ -47,41 +48,66 @@ def line_keys(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col:
     )
 
 
+class _Group:
+    """The lines of one key as they come. Only what is undecided is held: the lines of its first min_docs - 1 documents."""
+
+    def __init__(self, at_edge: bool, stays: int) -> None:
+        self.at_edge, self.stays = at_edge, stays
+        self.docs, self.last, self.pending = 0, None, []
+
+    def feed(self, part: pd.DataFrame, min_docs: int) -> Iterator[pd.DataFrame]:
+        if self.at_edge:
+            yield part.assign(kind=1)
+            return
+        doc = part.doc.to_numpy()
+        self.docs += int(np.count_nonzero(doc[1:] != doc[:-1])) + (self.last is None or doc[0] != self.last)
+        self.last = doc[-1]
+        self.pending.append(part)
+        if self.docs >= min_docs:
+            for held in self.pending:
+                yield held[held.doc != self.stays].assign(kind=0)
+            self.pending = []
+
+    def close(self, h1: int, h2: int, min_docs: int) -> Iterator[pd.DataFrame]:
+        """At the end of the partition, where the key may go on in the next one."""
+        if not self.at_edge and self.docs >= min_docs:
+            yield pd.DataFrame([(h1, h2, self.stays, 0, 0, 2)], columns=[*_ROW, "kind"])
+        for held in self.pending:
+            yield held.assign(kind=1)
+
+
 def _settle(min_docs: int):
-    """Streams a sorted partition: kind 0 rows are lines to drop, kind 1 rows belong to a key at an edge of the partition."""
+    """Streams a sorted partition, batch by batch. Kind 0 rows are lines to drop; kind 1 rows belong to a key at an edge
+    of the partition and are undecided; a kind 2 row says that the partition's last key has enough documents, and which stays."""
 
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
-        """Frames of whole key groups, in order; the flag marks a frame that continues one key of the frame before it."""
-        held = None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            h1, h2 = pdf.h1.to_numpy(), pdf.h2.to_numpy()
-            starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            if len(starts) > 1:
-                yield pdf.iloc[: starts[-1]], False
-            held = pdf.iloc[starts[-1] :]
-        if held is not None:
-            yield held, True
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for pdf, last in groups(batches):
             h1, h2, doc = (pdf[c].to_numpy() for c in ("h1", "h2", "doc"))
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            group = np.cumsum(new) - 1
             starts = np.flatnonzero(new)
-            docs = np.add.reduceat((new | np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64), starts)
-            edge = np.zeros(len(starts), bool)
-            edge[0] |= first
-            edge[-1] |= last
-            first = False
-            # Documents come in falling order, so that a key's first occurrence is the one that stays.
-            drop = (docs[group] >= min_docs) & (doc != doc[starts][group]) & ~edge[group]
-            for kind, mask in ((0, drop), (1, edge[group])):
-                if mask.any():
-                    yield pdf[mask].assign(kind=kind)
+            # Keys that begin and end within the batch are settled together.
+            a, b = (int(starts[1]), int(starts[-1])) if len(starts) > 2 else (0, 0)
+            if a < b:
+                inner, at = new[a:b], doc[a:b]
+                own = np.cumsum(inner) - 1
+                first = np.flatnonzero(inner)
+                docs = np.add.reduceat((inner | np.r_[True, at[1:] != at[:-1]]).astype(np.int64), first)
+                # Documents come in falling order, so that a key's first occurrence is the one that stays.
+                drop = (docs[own] >= min_docs) & (at != at[first][own])
+                if drop.any():
+                    yield pdf.iloc[a:b][drop].assign(kind=0)
+            ends = np.r_[starts[1:], len(pdf)]
+            for i in sorted({0, len(starts) - 1}):
+                part = pdf.iloc[int(starts[i]) : int(ends[i])]
+                here = (h1[starts[i]], h2[starts[i]])
+                if here != key:
+                    key, group = here, _Group(key is None, doc[starts[i]])
+                yield from group.feed(part, min_docs)
+        if group:
+            yield from group.close(*key, min_docs)
 
     return run
 
@@ -95,7 +121,9 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id
     settled = written(ordered.mapInPandas(_settle(min_docs), _LINES + ", kind int"), "line-groups")
     edge = settled.where("kind = 1").drop("kind")
     # At most two keys per partition; document counts by a distinct that spreads over (key, doc).
-    facts = edge.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("stays"))
+    counted = edge.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("stays"))
+    reached = settled.where("kind = 2").select("h1", "h2", F.lit(min_docs).cast("long").alias("docs"), F.col("doc").alias("stays"))
+    facts = counted.unionByName(reached).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("stays").alias("stays"))
     facts = facts.where(F.col("docs") >= min_docs)
     at_edge = edge.join(F.broadcast(facts), ["h1", "h2"]).where(F.col("doc") != F.col("stays"))
     return settled.where("kind = 0").select("doc", "th", "pos").unionByName(at_edge.select("doc", "th", "pos"))
@@ -143,7 +171,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"))
     # Most texts lose no line: a key filter tells them apart, and only the others are shuffled to their bitmaps.
-    maybe = key_filter(maps.select(F.xxhash64("doc", "th").alias("h")))(F.xxhash64("doc", "th"))
+    maybe = KeyFilter(maps.select(F.xxhash64("doc", "th").alias("h"))).column(F.xxhash64("doc", "th"))
     apply = F.pandas_udf(_apply, "kept string, n_lines long, n_dropped long")
     inner = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     whole = F.struct(inner.alias("kept"), F.size(F.split(inner, "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
