@@ -106,7 +106,7 @@ class Filters:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         clean = letters(texts)
-        known = pc.greater(pc.binary_length(clean), 3).to_numpy(zero_copy_only=False)
+        known = pc.match_substring_regex(clean, r"\pL").to_numpy(zero_copy_only=False)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total, found = self.counts(clean)

@@ -28,9 +28,12 @@ from crumbtrail.llm.common import new_path, small_batches, table
 from crumbtrail.llm.ragged import RunCache
 from crumbtrail.llm.repair import compress, expand, expand_range
 
-CACHE = 1_000_000
+#: Bytes of a worker's cache.
+CACHE = 160 << 20
 #: Marks that end a word: the tokenizer parts them from a letter or digit before.
 _ENDINGS = r"([A-Za-z0-9])([.,!?;:]+)(\s|$)"
+#: Texts with these stay as they are.
+_KEEP = r"<\||[A-Z]\pM"
 _SHARD = (
     "bucket int, seq int, n_tokens long, first_rule int, doc_ids array<long>, doc_tokens array<int>, "
     "rules binary, lengths binary, sequence binary"
@@ -54,10 +57,12 @@ def encoder(path: str) -> RunCache:
 def encode_texts(path: str, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after the other, and the number of each text's, the end id with them."""
     texts = texts.fill_null("")
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        # The tokenizer lowers case itself; doing it first, and parting words from the marks behind
-        # them, leaves fewer distinct stretches. Only its special tokens would suffer.
-        texts = pc.replace_substring_regex(pc.ascii_lower(texts), _ENDINGS, r"\1 \2\3")
+    # The tokenizer lowers case itself; doing it first, and parting words from the marks behind them,
+    # leaves fewer distinct stretches. Special tokens would suffer, and so would capitals with a mark
+    # on them: the tokenizer composes characters before it lowers them.
+    plain = pc.invert(pc.match_substring_regex(texts, _KEEP))
+    if pc.any(plain).as_py():
+        texts = pc.if_else(plain, pc.replace_substring_regex(pc.ascii_lower(texts), _ENDINGS, r"\1 \2\3"), texts)
     lists = pc.ascii_split_whitespace(texts)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat, lengths = encoder(path).runs(lists.flatten())
