@@ -7,8 +7,8 @@ hashes over the documents' word numbers, and the surroundings of each hit are ve
 Myers' bit-parallel edit distance. The items are a query set of stated size: they come to the
 workers in blocks of at most ``block_chars`` characters, one pass over the documents each.
 
-Defined cases: items of fewer than ``min_words`` words, null items among them, match nothing;
-null and empty texts match nothing; equal items and repeated documents each give their own
+Defined cases: items of fewer words than one edit needs (four, at the rate of a fifth) are found
+as they stand, items without words, null ones among them, match nothing; null and empty texts match nothing; equal items and repeated documents each give their own
 rows; of equal distances the earliest end counts; empty tables give no rows; other columns
 are ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crumbtrail.llm.common import small_batches, table
-from crumbtrail.llm.ragged import split_words
+from crumbtrail.llm.ragged import gather, split_words
 
 #: What separates words (RE2 syntax).
 _GAP = r"[^\pL\pM\pN]+"
@@ -74,31 +74,35 @@ def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Matcher:
     """Pieces of a block of items, ready for lookup by word numbers."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float, min_words: int) -> None:
-        self.names, self.patterns, self.budgets = [], [], []
+    def __init__(self, items: list[tuple[object, str]], rate: float) -> None:
+        self.names: list[object] = []
+        self.patterns: list[np.ndarray] = []
         vocabulary: dict[str, int] = {}
-        pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for name, text in items:
             words = [w for w in plain_words(text or "") if w]
-            if len(words) < min_words:
+            if not words:
                 continue
-            pattern = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-            k = math.floor(rate * len(pattern))
-            at = len(self.names)
-            self.names.append(name)
-            self.patterns.append(pattern)
-            self.budgets.append(k)
+            pattern = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)
+            k = math.floor(rate * len(pattern) + 1e-9)
             cuts = [len(pattern) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                h = int(self._hash(np.array(pattern[a:b], np.uint64), b - a)[0])
-                pieces.setdefault(b - a, {}).setdefault(h, []).append((at, a))
+                pieces.setdefault(b - a, []).append((int(self._hash(pattern[a:b].astype(np.uint64), b - a)[0]), len(self.names), a))
+            self.names.append(name)
+            self.patterns.append(pattern)
+        self.lengths = np.array([len(p) for p in self.patterns], np.int64)
+        self.budgets = np.floor(rate * self.lengths + 1e-9).astype(np.int64)
         self.vocabulary = pa.array(list(vocabulary), pa.string())
-        self.pieces = pieces
-        self.sieves = {}
+        #: By length: a sieve of hashes, the distinct hashes, where the places of each begin, and item and offset of each place.
+        self.pieces: dict[int, tuple[np.ndarray, ...]] = {}
         for m, found in pieces.items():
+            h = np.array([x[0] for x in found], np.uint64)
+            order = np.argsort(h, kind="stable")
+            exact, start = np.unique(h[order], return_index=True)
             sieve = np.zeros(1 << 20, bool)
-            sieve[np.array(list(found), np.uint64) >> np.uint64(44)] = True
-            self.sieves[m] = (sieve, np.array(sorted(found), np.uint64))
+            sieve[exact >> np.uint64(44)] = True
+            item, offset = (np.array([x[i] for x in found], np.int64)[order] for i in (1, 2))
+            self.pieces[m] = (sieve, exact, np.r_[start, len(h)], item, offset)
 
     @staticmethod
     def _hash(ids: np.ndarray, m: int, before: np.ndarray | None = None) -> np.ndarray:
@@ -108,26 +112,31 @@ class Matcher:
         mixed = (ids[m - 1 :] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         return mixed ^ mixed >> np.uint64(29) if m == 1 else before[: len(mixed)] * _BASE + (mixed ^ mixed >> np.uint64(29))
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, offset in the item) of every whole piece in a run of word numbers (0: not in any item)."""
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, item and offset in the item of every whole piece in a run of word numbers (0: not in any item)."""
         known = ids > 0
         last = np.where(known, len(ids), np.arange(len(ids)))
         run = np.minimum.accumulate(last[::-1])[::-1] - np.arange(len(ids))
-        h = None
+        h, out = None, []
         for m in range(1, max(self.pieces, default=0) + 1):
             if len(ids) < m:
                 break
             h = self._hash(ids, m, h)
             if m not in self.pieces:
                 continue
-            sieve, exact = self.sieves[m]
+            sieve, exact, start, item, offset = self.pieces[m]
             at = np.flatnonzero(run[: len(h)] >= m)
             at = at[sieve[h[at] >> np.uint64(44)]]
             place = np.minimum(np.searchsorted(exact, h[at]), len(exact) - 1)
-            at = at[exact[place] == h[at]]
-            for p in at.tolist():
-                for item, offset in self.pieces[m][int(h[p])]:
-                    yield p, item, offset
+            same = exact[place] == h[at]
+            at, place = at[same], place[same]
+            # Each place meets all items that have the piece.
+            times = start[place + 1] - start[place]
+            own = gather(np.arange(len(item)), start[place], times)
+            out.append((np.repeat(at, times), item[own], offset[own]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, distance, budget, first word, word behind the last) of every match."""
@@ -139,33 +148,35 @@ class Matcher:
         owner = np.repeat(np.arange(len(counts)), counts)
         spread[np.arange(len(ids)) + owner] = ids
         starts = begins + np.arange(len(counts))
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, item, offset in self.hits(spread):
-            text = int(np.searchsorted(starts, p, "right")) - 1
-            k, n = self.budgets[item], len(self.patterns[item])
-            lo, hi = starts[text], starts[text] + counts[text]
-            found.setdefault((text, item), []).append((max(lo, p - offset - k), min(hi, p - offset + n + k)))
-        out = []
-        for (text, item), spans in found.items():
-            pattern, k = self.patterns[item], self.budgets[item]
-            best = None
-            spans = sorted(set(spans))
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                window = spread[int(a) : int(b)].tolist()
-                distance, end = myers(pattern, window)
-                if distance <= k and (best is None or distance < best[0]):
-                    back = myers(pattern[::-1], window[:end][::-1])[1]
-                    first = int(a - starts[text])
-                    best = (distance, first + end - back, first + end)
-            if best:
-                out.append((text, item, best[0], k, best[1], best[2]))
-        return out
+        p, item, offset = self.hits(spread)
+        if not len(p):
+            return []
+        text = np.searchsorted(starts, p, "right") - 1
+        k, n = self.budgets[item], self.lengths[item]
+        a = np.maximum(starts[text], p - offset - k)
+        b = np.minimum(starts[text] + counts[text], p - offset + n + k)
+        # Stretches of one text and item that overlap are one.
+        order = np.lexsort((a, item, text))
+        text, item, a, b = text[order], item[order], a[order], b[order]
+        pair = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]
+        base = np.cumsum(pair) * (len(spread) + 1)
+        reach = np.maximum.accumulate(b + base)
+        new = pair | np.r_[True, (a + base)[1:] > reach[:-1]]
+        first = np.flatnonzero(new)
+        text, item, a, b = text[first], item[first], a[first], np.maximum.reduceat(b, first)
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for t, i, lo, hi in zip(text.tolist(), item.tolist(), a.tolist(), b.tolist()):
+            k, pattern = int(self.budgets[i]), self.patterns[i]
+            window = spread[lo:hi].astype(np.int64)
+            # Words of the item that the stretch lacks must all be edited.
+            if len(pattern) - np.count_nonzero(np.isin(pattern, window)) > k:
+                continue
+            distance, end = myers(pattern.tolist(), window.tolist())
+            if distance <= k and ((t, i) not in out or distance < out[t, i][0]):
+                back = myers(pattern[::-1].tolist(), window[:end][::-1].tolist())[1]
+                at = lo - int(starts[t])
+                out[t, i] = (distance, at + end - back, at + end)
+        return [(t, i, d, int(self.budgets[i]), x, y) for (t, i), (d, x, y) in out.items()]
 
 
 def find_items(
@@ -173,7 +184,6 @@ def find_items(
     items: DataFrame,
     *,
     rate: float = 0.2,
-    min_words: int = 5,
     block_chars: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -194,7 +204,7 @@ def find_items(
         shared = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in part])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate, min_words)
+            matcher = Matcher(shared.value, rate)
             for batch in batches:
                 rows = matcher.matches(batch.column(1).fill_null("")) if matcher.names else []
                 at = pa.array([r[0] for r in rows], pa.int64())

@@ -3,15 +3,16 @@
 Each document gets word, symbol and repetition counts; four statistics made of them are
 transformed and compared with the minimum-covariance-determinant estimate of the document's
 language and source. A document far from it by Mahalanobis distance, or failing the base
-rule, is not kept. The estimate comes from C-steps: start at medians and quartile ranges,
-then again and again take the share ``support`` of a group with the least distances and
-compute its mean and covariance. All of it is per-group aggregation with partial sums, so a
-group that holds a third of the rows is no more work for any one task than another.
+rule, is not kept. The estimate comes from C-steps: again and again the share ``support`` of a
+group with the least distances gives the next mean and covariance. Three deterministic starts
+take two steps each; the one with the least determinant goes on until that stops falling.
+All of it is per-group aggregation with partial sums, so a group that holds a third of the rows
+is no more work for any one task than another.
 
 Defined cases: a null text has no words and fails the base rule; null languages and sources
-are groups of their own; groups with fewer than ``min_group`` documents that pass the base
-rule share one estimate; with no such document at all there is nothing to estimate and the
-base rule alone decides; constant statistics are held off singularity by ``FLOORS``; equal
+are groups of their own; a group with fewer than ``min_group`` documents that pass the base
+rule is judged by the estimate of its whole language, a language with fewer by that of all
+documents; with fewer in all nothing is estimated and the base rule alone decides; constant statistics are held off singularity by ``FLOORS``; equal
 rows get equal verdicts; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -97,14 +98,15 @@ def _consistency(support: float) -> float:
 CUTOFF = _quantile(0.999)
 
 
-def _cholesky(params: DataFrame) -> DataFrame:
-    """m0.. and the lower Cholesky factor l00, l10, .. of the covariances c00, c10, .. ."""
+def _cholesky(params: DataFrame, *keys: str) -> DataFrame:
+    """m0.. and the lower Cholesky factor l00, l10, .. of the covariances c00, c10, .. , and ln of their determinant."""
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        params = params.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.select("g_", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS])
+        params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(DIMS)), F.lit(0.0))
+    return params.select(*keys, *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS], det.alias("log_det"))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -119,27 +121,66 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", total)
 
 
-def mcd(rows: DataFrame, *, support: float = 0.75, steps: int = 4) -> DataFrame:
-    """A row per group g_ with the mean and Cholesky factor of its minimum-covariance-determinant estimate."""
+def _moments(rows: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """Mean and covariance of each group, the latter enlarged by what trimming took off, and held off singularity."""
+    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
+    prods = [F.covar_pop(XS[i], XS[j]).alias(f"v{i}{j}") for i, j in PAIRS]
+    covs = [(F.col(f"v{i}{j}") * factor + (FLOORS[XS[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return rows.groupBy(*keys).agg(*means, *prods).select(*keys, *[f"m{i}" for i in range(DIMS)], *covs)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates for each group, by s_: medians with quartile ranges alone; with the correlations of the
+    hyperbolic tangents of the scaled values; mean and covariance of the half nearest to the medians."""
     quartiles = rows.groupBy("g_").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q_{x}") for x in XS])
-    start = [F.col(f"q_{x}")[1].alias(f"m{i}") for i, x in enumerate(XS)]
-    for i, j in PAIRS:
-        spread = (F.col(f"q_{XS[i]}")[2] - F.col(f"q_{XS[i]}")[0]) / 1.349
-        start.append((spread * spread + FLOORS[XS[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}"))
-    params = written(_cholesky(quartiles.select("g_", *start)), "mcd")
-    factor = _consistency(support)
-    for _ in range(steps):
-        seen = _distance(rows.join(params, "g_"))
-        # Written, so that its size is known: Spark broadcasts it as long as that is small.
-        inner = written(seen.groupBy("g_").agg(F.percentile_approx("d2", support, 2000).alias("r2")), "mcd")
-        subset = seen.join(inner, "g_").where(F.col("d2") <= F.col("r2"))
-        means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
-        # Products of centred values: the last mean is near enough to keep the digits.
-        prods = [F.covar_pop(XS[i], XS[j]).alias(f"v{i}{j}") for i, j in PAIRS]
-        covs = [(F.col(f"v{i}{j}") * factor + (FLOORS[XS[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-        fitted = subset.groupBy("g_").agg(*means, *prods).select("g_", *[f"m{i}" for i in range(DIMS)], *covs)
-        params = written(_cholesky(fitted), "mcd")
-    return params
+    scale = lambda x: F.sqrt(F.pow((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, 2) + FLOORS[x] ** 2)
+    centre = written(quartiles.select("g_", *[F.col(f"q_{x}")[1].alias(f"m{i}") for i, x in enumerate(XS)], *[scale(x).alias(f"s{i}") for i, x in enumerate(XS)]), "mcd")
+    scaled = rows.join(centre, "g_").withColumns({f"u{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(XS)})
+    scaled = scaled.withColumn("norm", sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(DIMS)), F.lit(0.0)))
+    half = written(scaled.groupBy("g_").agg(F.percentile_approx("norm", 0.5, 2000).alias("half")), "mcd")
+    means = [f"m{i}" for i in range(DIMS)]
+    plain = centre.select("g_", F.lit(0).alias("s_"), *means, *[(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    tanh = lambda i: F.tanh(f"u{i}")
+    alike = lambda i, j: F.try_divide(F.covar_pop(tanh(i), tanh(j)), F.stddev_pop(tanh(i)) * F.stddev_pop(tanh(j)))
+    # A constant statistic goes with no other.
+    like = scaled.groupBy("g_").agg(*[F.coalesce(alike(i, j), F.lit(0.0)).alias(f"r{i}{j}") for i, j in PAIRS if i != j])
+    # A little less than the correlations found, so that the matrix has an inverse.
+    shaped = centre.join(like, "g_").select(
+        "g_", F.lit(1).alias("s_"), *means, *[(F.col(f"s{i}") * F.col(f"s{j}") * (1.0 if i == j else 0.95 * F.col(f"r{i}{j}"))).alias(f"c{i}{j}") for i, j in PAIRS]
+    )
+    near = _moments(scaled.join(half, "g_").where("norm <= half"), _consistency(0.5), "g_").withColumn("s_", F.lit(2))
+    return written(_cholesky(plain.unionByName(shaped).unionByName(near), "g_", "s_"), "mcd")
+
+
+def _step(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
+    """One C-step of each estimate: the share ``support`` of its group with the least distances gives the next one."""
+    seen = _distance(rows.join(params, "g_"))
+    # Written, so that its size is known: Spark broadcasts it as long as that is small.
+    inner = written(seen.groupBy("g_", "s_").agg(F.percentile_approx("d2", support, 2000).alias("r2")), "mcd")
+    subset = seen.join(inner, ["g_", "s_"]).where(F.col("d2") <= F.col("r2"))
+    return written(_cholesky(_moments(subset, _consistency(support), "g_", "s_"), "g_", "s_"), "mcd")
+
+
+def mcd(rows: DataFrame, *, support: float = 0.75, max_steps: int = 12, tolerance: float = 1e-3) -> DataFrame:
+    """A row per group g_ with the mean and Cholesky factor of its minimum-covariance-determinant estimate.
+
+    Two C-steps from each of three starts; then each group goes on from the one with the least determinant, until no
+    group's logarithm of it falls by more than the tolerance.
+    """
+    params = _starts(rows)
+    for _ in range(2):
+        params = _step(rows, params, support)
+    names = [c for c in params.columns if c != "g_"]
+    best = params.groupBy("g_").agg(F.min_by(F.struct(*names), F.struct("log_det", "s_")).alias("b"))
+    params = written(best.select("g_", "b.*"), "mcd")
+    for _ in range(2, max_steps):
+        after = _step(rows, params, support)
+        # A number goes to the driver.
+        fall = after.join(params.select("g_", F.col("log_det").alias("before")), "g_").agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        params = after
+        if fall is None or fall <= tolerance:
+            break
+    return params.drop("s_", "log_det")
 
 
 def judge(
@@ -150,23 +191,30 @@ def judge(
     text_col: str = "text",
     cutoff: float = CUTOFF,
     support: float = 0.75,
-    steps: int = 4,
-    min_group: int = 100,
+    max_steps: int = 12,
+    min_group: int = 50,
 ) -> DataFrame:
     """docs without the text, with the counts, ``distance2`` (null if nothing was estimated) and ``kept``."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     own = [c for c in docs.columns if c not in (text_col, *added, "distance2", "kept")]
     # The document's own columns travel as one, so that no name can clash.
-    name = F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
-    rows = docs.select(F.struct(*own).alias("row_"), name.alias("g_"), F.col(text_col).alias("text_"))
-    stats = written(_statistics(counts(rows, "text_")), "doc-stats")
+    row = F.struct(*own) if own else F.struct(F.lit(0).alias("none_"))
+    names = [
+        F.concat(F.lit("2"), F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s")))).alias("g2"),
+        F.concat(F.lit("1"), F.to_json(F.struct(F.col(lang_col).alias("l")))).alias("g1"),
+        F.lit("0").alias("g0"),
+    ]
+    stats = written(_statistics(counts(docs.select(row.alias("row_"), *names, F.col(text_col).alias("text_")), "text_")), "doc-stats")
     sound = stats.where(~F.col("base_failed"))
-    sizes = sound.groupBy("g_").agg(F.count("*").alias("size_")).where(F.col("size_") >= min_group).select("g_", F.lit(True).alias("large_"))
-    sizes = written(sizes, "group-sizes")
-    # Rows of small groups go to the common estimate, named ''.
-    grouped = stats.join(sizes, "g_", "left").withColumn("g_", F.when(F.col("large_"), F.col("g_")).otherwise(F.lit(""))).drop("large_")
-    fit = grouped.where(~F.col("base_failed")).select("g_", *XS)
-    params = mcd(fit, support=support, steps=steps)
+    each = sound.select(F.explode(F.array("g2", "g1", "g0")).alias("g_"), *XS)
+    large = written(each.groupBy("g_").agg(F.count("*").alias("size_")).where(F.col("size_") >= min_group).select("g_"), "group-sizes")
+    # A document is judged by its language and source, or else its language, or else all.
+    grouped = stats
+    for g in ("g2", "g1", "g0"):
+        grouped = grouped.join(large.select(F.col("g_").alias(g), F.lit(True).alias(f"{g}_")), g, "left")
+    grouped = grouped.withColumn("g_", F.coalesce(*[F.when(F.col(f"{g}_"), F.col(g)) for g in ("g2", "g1", "g0")])).drop("g2_", "g1_", "g0_")
+    used = written(grouped.select("g_").where("g_ IS NOT NULL").distinct(), "groups-used")
+    params = mcd(each.join(used, "g_"), support=support, max_steps=max_steps)
     seen = _distance(grouped.join(params, "g_", "left"))
     return seen.select(
         *[F.col("row_").getField(c).alias(c) for c in own],

@@ -126,15 +126,12 @@ def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat(means, spans)
 
 
-def fit(train: DataFrame, *, features: int = 384, width: float = 5.0, ridge: float = 1e-3, seed: int = 7, max_train: int = 200_000) -> Model | None:
+def fit(train: DataFrame, *, features: int = 384, width: float = 5.0, ridge: float = 1e-3, seed: int = 7) -> Model | None:
     """train: half (0 or 1), y (double), stats. None if there is no row."""
-    n = train.count()
-    if n > max_train:
-        train = train.where(F.pmod(F.xxhash64("key", F.lit("train")), F.lit(1_000_000)) < int(1e6 * max_train / n))
-    if not n:
+    if train.isEmpty():
         return None
     # A bounded number of rows: a few tasks, each of which sends one set of sums.
-    train = train.select("half", "y", "stats").coalesce(16)
+    train = train.select("half", "y", "stats").repartition(16)
     dims = len(STATISTICS)
     moments = train.agg(*[f(F.col("stats")[i]).alias(f"{k}{i}") for i in range(dims) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     rng = np.random.default_rng(seed)
@@ -212,9 +209,12 @@ def score_text(model: Model | None) -> Callable[[Column], Column]:
 def fit_labelled(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_train: int = 200_000) -> Model | None:
     """stats: id and statistics of the documents whose labels may be used."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.avg(label_col).cast("double").alias("y"))
+    n = known.count()
+    if n > max_train:
+        # The sample is taken before anything meets: only its rows are written and read again.
+        known = known.where(F.pmod(F.xxhash64("key", F.lit("train")), F.lit(1_000_000)) < int(1e6 * max_train / n))
     train = stats.select(F.col(id_col).alias("key"), "stats").join(known, "key")
-    train = written(train.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")), "quality-train")
-    return fit(train, max_train=max_train)
+    return fit(written(train.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")), "quality-train"))
 
 
 def classify(

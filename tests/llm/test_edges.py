@@ -90,6 +90,33 @@ def test_lines(spark, docs, none):
         assert (r.n_dropped, r.kept) == ((0, r.text) if r.doc_id == 8 else (2, f"own {r.doc_id}") if r.doc_id is not None else (1, ""))
 
 
+def test_lines_stream(spark):
+    """Keys over batches and partitions of all sizes, against a plain count."""
+    import collections
+
+    rng = np.random.default_rng(8)
+    line = [f"{'abcdefghij' * 4} line number {i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        own = [line[min(int(rng.zipf(1.4)) - 1, 29)] for _ in range(int(rng.integers(0, 12)))]
+        rows.append((int(rng.integers(0, 300)), "\n".join(own + ([line[0]] * 50 if i == 7 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            if x:
+                holders[x].add(i)
+    want = collections.Counter((i, "\n".join(x for x in t.split("\n") if not x or len(holders[x]) < 5 or max(holders[x]) == i)) for i, t in rows)
+    for size in (1, 7, 100, 512):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        before, lines.small_batches = lines.small_batches, lambda s: None
+        try:
+            got = lines.dedup_lines(docs).collect()
+        finally:
+            lines.small_batches = before
+        assert collections.Counter((r.doc_id, r.kept) for r in got) == want, size
+
+
 def test_jaccard(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
     got = jaccard.near_duplicates(docs).collect()
@@ -125,9 +152,9 @@ def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, item)], "item_id long, text string")
     assert decontaminate.find_items(none, items).count() == 0
     assert decontaminate.find_items(docs, items.where("false")).count() == 0
-    texts = [(1, f"x y {item.upper()}! z"), (2, item.replace("gamma", "gumma").replace("iota ", "")), (3, item.replace("beta", "b").replace("delta", "d").replace("zeta", "z")), (4, None), (5, item[:20])]
+    texts = [(1, f"x y {item.upper()}! z"), (2, item.replace("gamma", "gumma").replace("iota ", "")), (3, item.replace("beta", "b").replace("delta", "d").replace("zeta", "z")), (4, None), (5, item[:20]), (6, "it is Too short.")]
     got = decontaminate.find_items(spark.createDataFrame(texts, "doc_id long, text string"), items, block_chars=40).collect()
-    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (1, 4, 0), (2, 1, 2), (2, 4, 2)]
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (1, 4, 0), (2, 1, 2), (2, 4, 2), (6, 3, 0)]
     assert {(r.start_word, r.end_word) for r in got if r.doc_id == 1} == {(2, 12)}
 
 

@@ -80,7 +80,7 @@ def test_decontamination_stage(spark, stages):
         words = [w for w in decontaminate.plain_words(r.text or "") if w]
         number = {w: i for i, w in enumerate(dict.fromkeys(words))}
         for item in items:
-            if len(item) >= 5 and decontaminate.myers([number.get(w, -1 - i) for i, w in enumerate(item)], [number[w] for w in words])[0] <= len(item) // 5:
+            if item and decontaminate.myers([number.get(w, -1 - i) for i, w in enumerate(item)], [number[w] for w in words])[0] <= len(item) // 5:
                 hit.add(r.doc_id)
     assert ids(stages[4]) == sorted(set(ids(stages[3])) - hit)
 
@@ -107,3 +107,28 @@ def test_bitmaps_are_small(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in lines.keep_bitmaps(docs).collect():
         assert 0 < len(r.keep) < 2000 and r.n_drop > 0
+
+
+ROWS = [
+    (1, None), (2, ""), (2, ""), (3, "long " * 60000), (4, "same words in this text here now"), (4, "same words in this text here now"),
+    (5, "same words in this text here now"), (None, "same words in this text here now"), (7, "first own text of number seven here"),
+    (7, "second and other text of number seven"), (None, "only a null id has this text here"), (None, "only a null id has this text here"), (8, "\n\n"),
+]
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_edges_of_stages(spark, name, stage):
+    """Nulls, empty and long texts, repeated rows, an empty table and further columns, for every stage."""
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 0.5, "x") for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long, score double, th string")
+    got = stage(spark, docs, SF).collect()
+    last = stage is pipeline.STAGES[-1][1]
+    assert last or all(r.__fields__ == pipeline.COLUMNS for r in got)
+    if last:
+        assert len(got) == len(ROWS) and all(r.n_tokens == len(r.ids) for r in got)
+    if name == "n-gram Jaccard join":
+        key = lambda rows: sorted(((i is None, i or 0, t or "") for i, t in rows))
+        want = [ROWS[i] for i in (0, 1, 2, 3, 4, 8, 9, 10, 12)]
+        assert key((r.doc_id, r.text) for r in got) == key(want)
+    if name in ("line dedup", "benchmark decontamination"):
+        assert len(got) == len(ROWS)
+    assert stage(spark, docs.where("false"), SF).count() == 0
