@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crumbtrail.plans.params import GOV_SUFFIXES, TWO_LABEL_SUFFIXES
@@ -15,6 +15,28 @@ def registered_domain(host: Column) -> Column:
     return F.when(last(2).isin(TWO_LABEL_SUFFIXES), last(3)).otherwise(last(2))
 
 
+def registered_by_list(hosts: DataFrame, suffixes: DataFrame, host_col: str = "host") -> DataFrame:
+    """hosts with ``registered``: the public suffix and one label more. suffixes: suffix, of any number of labels, with
+    rules such as ``*.ck`` and exceptions such as ``!www.ck``; of several that fit the longest counts, an exception before all.
+    A host without a known suffix gives its last label. Both sides meet by key, so the list may be of any size."""
+    own = hosts.select(host_col).distinct().withColumn("clean_", F.lower(F.ltrim(F.regexp_replace(F.regexp_replace(host_col, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[/:?#].*$", ""), F.lit("."))))
+    parts = F.split("clean_", r"\.")
+    n = F.size(parts)
+    tail = lambda k: F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), F.least(k, n)), ".")
+    # Each host by all its endings, exact ones and with a star for the first label.
+    forms = lambda k: F.array(
+        F.struct(tail(k).alias("suffix"), k.alias("labels"), F.lit(0).alias("exact")),
+        F.struct(F.concat(F.lit("*."), tail(k - 1)).alias("suffix"), k.alias("labels"), F.lit(1).alias("exact")),
+        F.struct(F.concat(F.lit("!"), tail(k)).alias("suffix"), (k - 1).alias("labels"), F.lit(-1).alias("exact")),
+    )
+    each = own.select(host_col, "clean_", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), forms))).alias("f")).select(host_col, "clean_", "f.*")
+    fits = each.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
+    best = fits.groupBy(host_col).agg(F.max_by("labels", F.struct(F.col("exact") == -1, "labels")).alias("labels_"))
+    found = own.join(best, host_col, "left").withColumn("labels_", F.coalesce("labels_", F.lit(0)))
+    registered = F.when(F.col("labels_") >= n, F.col("clean_")).otherwise(tail(F.col("labels_") + 1))
+    return hosts.join(found.select(host_col, registered.alias("registered")), host_col, "left")
+
+
 def is_third_party(host: Column, site: Column) -> Column:
     return registered_domain(host) != registered_domain(site)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,13 +10,41 @@ from pyspark.sql import functions as F
 
 from crumbtrail.plans.params import DOUBLE_NEGATIVES, GRADES
 
-#: Letters with accents and what they fold to.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+
+
+def _folded() -> tuple[str, str]:
+    """Characters whose compatibility decomposition is one character with marks, and that character."""
+    pairs = []
+    for first, last in ((0xA0, 0x24F), (0x370, 0x52F), (0x1E00, 0x1FFF), (0xFF01, 0xFF5E)):
+        for c in map(chr, range(first, last + 1)):
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(bare) == 1 and bare != c:
+                pairs.append((c, bare))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+#: Letters with accents, and other forms of a character, and what they fold to.
+ACCENTS = _folded()
+
+
+def fold_accents(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, *ACCENTS), r"\p{M}+", "")
 
 
 def normalize(text: Column) -> Column:
     """Lower case, without accents, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, *ACCENTS)), r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold_accents(text)), r"[ \t\n\r]+", " "))
+
+
+def folded(words: list[str]) -> list[str]:
+    """The same for a list of terms; each once, in order."""
+    bare = ("".join(x for x in unicodedata.normalize("NFKD", w) if not unicodedata.combining(x)) for w in words)
+    return list(dict.fromkeys(" ".join(w.lower().split()) for w in bare))
+
+
+def null_like(v: Column) -> Column:
+    """Null for blank text and for what other tools write in place of a missing value."""
+    return F.when(~F.lower(F.trim(v)).isin("", "nan", "none", "null"), F.trim(v))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -34,7 +63,7 @@ def words_per_sentence(text: Column) -> Column:
 
 
 def double_negative(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), "(" + "|".join(DOUBLE_NEGATIVES) + ")", 1)
+    return F.regexp_extract(text, "(?i)(" + "|".join(DOUBLE_NEGATIVES) + ")", 1)
 
 
 def parse_px(v: Column) -> Column:

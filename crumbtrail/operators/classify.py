@@ -24,17 +24,21 @@ def block_lists(spark: SparkSession) -> DataFrame:
 
 def by_name(name: Column) -> tuple[Column, Column]:
     """Vendor and category of the first name pattern that matches; null if none does."""
-    low = F.lower(name)
     vendor, category = F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern, v, c in reversed(P.HEURISTICS):
-        hit = low.rlike(pattern)
+        hit = name.rlike("(?i)" + pattern)
         vendor, category = F.when(hit, v).otherwise(vendor), F.when(hit, c).otherwise(category)
     return vendor, category
 
 
-def classify_cookies(cookies: DataFrame, trackers: DataFrame, lists: DataFrame) -> DataFrame:
-    """Adds registered, third_party, age_days, vendor, category, is_tracker and source. In this order the first
-    hit counts: tracker map by registered domain, by host, block lists, name pattern."""
+def fallback_map(spark: SparkSession) -> DataFrame:
+    return spark.sql(P.values(P.FALLBACK_TRACKERS, "domain, vendor, category"))
+
+
+def classify_cookies(cookies: DataFrame, trackers: DataFrame, lists: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Adds registered, third_party, age_days, vendor, category, is_tracker and source. In this order the first hit counts:
+    tracker map by registered domain, then by host; the two block lists by either; fallback map by registered domain; name
+    pattern. What is left of a site's own cookies is functional if its host serves files or it ends with the session."""
     hosts = cookies.withColumn("host", F.ltrim("cookie_domain", F.lit("."))).withColumn("registered", D.registered_domain(F.col("cookie_domain")))
     t = trackers.dropDuplicates(["domain"])
     t1 = t.select(F.col("domain").alias("registered"), F.col("vendor").alias("v1"), F.col("category").alias("k1"))
@@ -42,24 +46,33 @@ def classify_cookies(cookies: DataFrame, trackers: DataFrame, lists: DataFrame)
     best = lists.groupBy("domain").agg(F.max("list").alias("l"))  # easyprivacy before easylist
     l1 = best.select(F.col("domain").alias("registered"), F.col("l").alias("l1"))
     l2 = best.select(F.col("domain").alias("host"), F.col("l").alias("l2"))
-    df = hosts.join(t1, "registered", "left").join(t2, "host", "left").join(l1, "registered", "left").join(l2, "host", "left")
+    f1 = fallback.dropDuplicates(["domain"]).select(F.col("domain").alias("registered"), F.col("vendor").alias("v3"), F.col("category").alias("k3"))
+    df = hosts.join(t1, "registered", "left").join(t2, "host", "left").join(l1, "registered", "left").join(l2, "host", "left").join(f1, "registered", "left")
     nv, nc = by_name(F.col("name"))
     listed = F.greatest("l1", "l2")
-    source = (
-        F.when(F.coalesce("v1", "v2").isNotNull(), "map").when(listed.isNotNull(), listed).when(nv.isNotNull(), "name").otherwise("unknown")
-    )
-    df = df.withColumn("source", source)
-    pick = lambda m, name, unknown: F.when(F.col("source") == "map", m).when(F.col("source") == "name", name).otherwise(F.lit(unknown))
-    listed_category = F.when(F.col("source") == "easyprivacy", "Analytics").when(F.col("source") == "easylist", "Advertising")
+    df = df.withColumns({"third_party": D.is_third_party(F.col("cookie_domain"), F.col("site")), "age_days": D.expiration_days(F.col("expires"), F.col("as_of"))})
+    files = F.lower("cookie_domain").rlike("cdn|static|assets")
+    own = ~F.col("third_party") & (files | (F.col("age_days") == 0))
+    step = (
+        F.when(F.coalesce("v1", "v2").isNotNull(), "disconnect").when(listed.isNotNull(), listed).when(F.col("v3").isNotNull(), "fallback")
+        .when(nv.isNotNull(), "name").when(own, "own").otherwise("unknown")
+    )
+    df = df.withColumn("step", step)
+    at = lambda name: F.col("step") == name
+    vendor = F.when(at("disconnect"), F.coalesce("v1", "v2")).when(at("fallback"), F.col("v3")).when(at("name"), nv).otherwise("Unknown")
+    category = (
+        F.when(at("disconnect"), F.coalesce("k1", "k2")).when(at("easyprivacy"), "Analytics").when(at("easylist"), "Advertising").when(at("fallback"), F.col("k3"))
+        .when(at("name"), nc).when(at("own"), "Functional").otherwise("Unknown")
+    )
     return df.select(
         *cookies.columns,
         "registered",
-        D.is_third_party(F.col("cookie_domain"), F.col("site")).alias("third_party"),
-        D.expiration_days(F.col("expires"), F.col("as_of")).alias("age_days"),
-        pick(F.coalesce("v1", "v2"), nv, "Unknown").alias("vendor"),
-        F.coalesce(listed_category, pick(F.coalesce("k1", "k2"), nc, "Unknown")).alias("category"),
-        (F.col("source") != "unknown").alias("is_tracker"),
-        "source",
+        "third_party",
+        "age_days",
+        vendor.alias("vendor"),
+        category.alias("category"),
+        (~F.col("step").isin("own", "unknown")).alias("is_tracker"),
+        F.when(F.col("step").isin("name", "own"), "heuristic").otherwise(F.col("step")).alias("source"),
     )
 
 
@@ -78,16 +91,35 @@ def pre_consent_signals(classified: DataFrame, requests: DataFrame) -> DataFrame
 
 
 def new_after_interaction(cookies: DataFrame, state: str) -> DataFrame:
-    """Distinct cookies of a later state that were not there before the choice."""
-    keys = ["site", "name", "cookie_domain"]
+    """Distinct cookies of a later state, by name, domain and path, that were not there before the choice."""
+    keys = ["site", "name", "cookie_domain", "path"]
     before = cookies.where("state = 'pre'").select(keys)
     return cookies.where(F.col("state") == state).select(keys).distinct().join(before, keys, "left_anti")
 
 
-def blocked_requests(requests: DataFrame, trackers: DataFrame, lists: DataFrame) -> DataFrame:
-    """Per site: requests, those that a broad and a narrow list would stop, and what is left."""
-    broad = trackers.select("domain").union(lists.select("domain")).distinct().withColumn("broad", F.lit(1))
-    narrow = lists.where("list = 'easyprivacy'").select("domain").distinct().withColumn("narrow", F.lit(1))
+def third_parties(requests: DataFrame) -> DataFrame:
+    """Each site's third-party domains, and in which states they were asked for: site, domain, pre, accept, reject."""
+    third = requests.where(D.is_third_party(F.col("host"), F.col("site"))).select("site", D.registered_domain(F.col("host")).alias("domain"), "state")
+    return third.groupBy("site", "domain").agg(*[F.bool_or(F.col("state") == s).alias(s) for s in ("pre", "accept", "reject")])
+
+
+def all_lists(trackers: DataFrame, lists: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The distinct domains of the tracker map, both block lists and the fallback map."""
+    return trackers.select("domain").union(lists.select("domain")).union(fallback.select("domain")).distinct()
+
+
+def tracker_domains(third: DataFrame, known: DataFrame) -> DataFrame:
+    """Per site and state: third parties, and those on any list. third: as from third_parties()."""
+    long = third.select("site", "domain", F.explode(F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in ("pre", "accept", "reject")]))).alias("state"))
+    met = long.join(known.withColumn("known", F.lit(1)), "domain", "left")
+    return met.groupBy("site", "state").agg(F.count("*").alias("third_parties"), F.count("known").alias("tracker_domains"))
+
+
+def blocked_requests(requests: DataFrame, trackers: DataFrame, lists: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Per site: requests, those that a broad list (all four) and a narrow one (one block list and the fallback map) would
+    stop, and what is left."""
+    broad = all_lists(trackers, lists, fallback).withColumn("broad", F.lit(1))
+    narrow = lists.where("list = 'easyprivacy'").select("domain").union(fallback.select("domain")).distinct().withColumn("narrow", F.lit(1))
     df = requests.withColumn("domain", D.registered_domain(F.col("host"))).join(broad, "domain", "left").join(narrow, "domain", "left")
     out = df.groupBy("site").agg(F.count("*").alias("total"), F.count("broad").alias("blocked_broad"), F.count("narrow").alias("blocked_narrow"))
     return out.withColumn("net_broad", F.col("total") - F.col("blocked_broad"))
@@ -103,16 +135,40 @@ def adblock_domains(lines: DataFrame, col: str = "line") -> DataFrame:
 
 def classify_labels(labels: DataFrame, vocabulary: DataFrame, two_pass: bool = False) -> DataFrame:
     """Action of each distinct label: of the vocabulary's terms that it equals or contains, the first by action and kind
-    (two_pass: by kind, then action)."""
+    (two_pass: by kind, then action; dismissal only by equality). vocabulary: action, kind, ord, term, any number of rows.
+
+    Exact terms meet labels by key; terms to be contained are tried on each distinct label, broadcast while they are few.
+    """
     from crumbtrail.functions.text import normalize
 
     distinct = labels.select("label").distinct().withColumn("text", normalize(F.col("label")))
-    hit = ((F.col("kind") == "exact") & (F.col("text") == F.col("term"))) | ((F.col("kind") == "contains") & F.contains("text", "term"))
-    exact = F.when(F.col("kind") == "exact", 0).otherwise(1)
-    key = F.struct(exact, F.col("ord")) if two_pass else F.struct(F.col("ord"), exact)
-    # Terms are a parameter list; the join is |distinct labels| x |terms|.
-    met = distinct.join(F.broadcast(vocabulary), hit, "left").groupBy("label").agg(F.min_by("action", key).alias("action"))
-    return met.select("label", F.coalesce("action", F.lit("unknown")).alias("action"))
+    terms = vocabulary.select("action", "kind", "ord", normalize(F.col("term")).alias("term")).where("term <> ''")
+    exact = distinct.join(terms.where("kind = 'exact'"), F.col("text") == F.col("term"))
+    # A term inside a label: broadcast only while small, and tried on distinct labels alone.
+    inner = terms.where("kind = 'contains'")
+    if two_pass:
+        exact, inner = exact.where("action <> 'dismiss'"), inner.where("action <> 'dismiss'")
+    n = inner.count()
+    side = F.broadcast(inner) if n <= 10_000 else inner
+    hits = exact.unionByName(distinct.join(side, F.contains("text", "term")))
+    first = F.when(F.col("kind") == "exact", 0).otherwise(1)
+    key = F.struct(first, F.col("ord")) if two_pass else F.struct(F.col("ord"), first)
+    best = hits.groupBy("label").agg(F.min_by("action", key).alias("action"))
+    return distinct.join(best, "label", "left").select("label", F.coalesce("action", F.lit("unknown")).alias("action"))
+
+
+def classify_interactions(labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """What a click on a label does: dismiss and confirm by their own lists, then in two passes; a refusal that speaks of
+    necessary things is ``essential``."""
+    from crumbtrail.functions.text import contains_any, folded, normalize
+
+    two = classify_labels(labels, vocabulary, two_pass=True).withColumn("text", normalize(F.col("label")))
+    dismiss = vocabulary.where("action = 'dismiss'").select(normalize(F.col("term")).alias("text"), F.lit(True).alias("dismisses")).distinct()
+    action = (
+        F.when(F.col("dismisses"), "dismiss").when(F.col("text").isin(folded(P.CONFIRM)), "confirm")
+        .when((F.col("action") == "reject") & contains_any(F.col("text"), folded(P.NECESSARY)), "essential").otherwise(F.col("action"))
+    )
+    return two.join(dismiss, "text", "left").select("label", action.alias("action"))
 
 
 def third_party_prevalence(requests: DataFrame, at_least: int = 3) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TCF = ["__tcfapi", "__cmp", "tcfapi"]
+from crumbtrail.plans import params as P
+from crumbtrail.plans.store import stored
 
 
 def pick_candidate(candidates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -17,8 +18,9 @@ def detect_tcf(banners: DataFrame, requests: DataFrame) -> DataFrame:
     """Whether a site's banner, or else one of its first requests, names the consent framework's interface."""
     from crumbtrail.functions.text import contains_any
 
-    own = banners.select("domain", contains_any(F.lower(F.concat_ws(" ", "html", "banner_text")), TCF).alias("own"))
-    asked = requests.where("state = 'pre'").where(contains_any(F.lower("url"), TCF)).select(F.col("site").alias("domain")).distinct().withColumn("asked", F.lit(True))
+    words = [w.lower() for w in P.TCF]
+    own = banners.select("domain", contains_any(F.lower(F.concat_ws(" ", "html", "banner_text")), words).alias("own"))
+    asked = requests.where("state = 'pre'").where(contains_any(F.lower("url"), words)).select(F.col("site").alias("domain")).distinct().withColumn("asked", F.lit(True))
     return own.join(asked, "domain", "left").select("domain", (F.col("own") | F.coalesce("asked", F.lit(False))).alias("tcf"))
 
 
@@ -65,36 +67,54 @@ def state_means(sites: DataFrame, states: DataFrame) -> DataFrame:
     return df.groupBy(name.alias("category")).agg(F.avg("n_pre").alias("pre"), F.avg(F.coalesce("n_accept", "n_pre")).alias("accept"), F.avg(F.coalesce("n_reject", "n_pre")).alias("reject"))
 
 
-def explain_c2(found: Column, has_reject: Column, clicks: Column) -> Column:
-    return (
-        F.when(~found, "no banner").when(has_reject & (clicks == 1), "reject is offered at once")
-        .when(clicks < 999, F.format_string("reject takes %d clicks", clicks)).otherwise("reject cannot be reached")
-    )
-
-
-def dp_mean(stats: DataFrame) -> DataFrame:
-    """metric, mean, n, lo, hi: one noisy mean per epsilon, with sensitivity (hi - lo) / n, inside the range."""
-    from crumbtrail.operators.privacy import epsilons, laplace
-
-    key = F.concat_ws("|", "metric", F.col("epsilon").cast("int").cast("string"), F.lit("mean"))
-    noisy = laplace(F.col("mean"), (F.col("hi") - F.col("lo")) / F.greatest("n", F.lit(1)), F.col("epsilon"), key)
-    return epsilons(stats).select("metric", "epsilon", "mean", F.greatest(F.col("lo").cast("double"), F.least(noisy, F.col("hi").cast("double"))).alias("noisy"))
-
-
 def renumber(sites: DataFrame) -> DataFrame:
     """Site lists put together: the first entry of a domain counts, and ranks run from one in list order.
 
-    The numbering is a range sort with per-partition offsets, so that no single task holds the list.
+    The numbering is a range sort with per-partition offsets, so that no single task holds the list. The sorted table is
+    written: its partitions are then the same in both uses.
     """
     first = sites.groupBy("domain").agg(F.min("seq").alias("seq"))
-    ranged = first.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("p_", F.spark_partition_id())
+    ranged = stored(first.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("p_", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("p_").agg(F.count("*").alias("c_"))
     before = Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.withColumn("o_", F.coalesce(F.sum("c_").over(before), F.lit(0))).drop("c_")
     inside = Window.partitionBy("p_").orderBy("seq")
+    # A row per partition of the sort.
     return ranged.join(F.broadcast(offsets), "p_").select("domain", (F.col("o_") + F.row_number().over(inside)).cast("int").alias("rank"))
 
 
+def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
+    """Each value once, with the place where it came first; sort by that."""
+    return df.groupBy(value).agg(F.min(position).alias(position))
+
+
 def top_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key; a top-k report."""
     return df.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("n_") <= n).drop("n_")
+
+
+def site_snapshot(classified: DataFrame) -> DataFrame:
+    """Per site the numbers of cookies, trackers and third-party cookies, the longest life, and maps from category, and from
+    vendor of trackers, to numbers."""
+    one = classified.groupBy("site").agg(F.count("*").alias("cookies"), F.count_if("is_tracker").alias("trackers"), F.count_if("third_party").alias("third_party"), F.max("age_days").alias("longest"))
+
+    def counts(df: DataFrame, key: str, name: str) -> DataFrame:
+        # Counted first: a site has few categories and vendors, however many cookies.
+        return df.groupBy("site", key).agg(F.count("*").alias("n")).groupBy("site").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    out = one.join(counts(classified, "category", "categories"), "site").join(counts(classified.where("is_tracker"), "vendor", "vendors"), "site", "left")
+    return out.withColumn("vendors", F.coalesce("vendors", empty))
+
+
+def advice(issues: DataFrame, profiles: DataFrame, top: int = 3) -> DataFrame:
+    """For each site the tools that help most with its issues, at most ``top``, with reasons; a top-k report. issues: site,
+    issue, points; profiles: tool, issue, ord (place of the issue in the tool's list), weight (of the tool among equals)."""
+    from crumbtrail.functions.labels import ISSUES, named, why_helps
+
+    reason = named(F.col("issue"), ISSUES, F.replace("issue", F.lit("_"), F.lit(" ")))
+    met = issues.join(profiles, "issue").groupBy("site", "tool").agg(
+        F.sum("points").alias("relevance"), F.max("weight").alias("weight"), F.transform(F.sort_array(F.collect_list(F.struct("ord", reason.alias("why")))), lambda r: r["why"]).alias("reasons")
+    )
+    best = top_per_key(met, "site", [F.desc("relevance"), F.desc("weight"), F.col("tool")], top)
+    return best.select("site", "tool", "relevance", why_helps(F.slice(F.array_distinct("reasons"), 1, 3)).alias("why"))

@@ -26,10 +26,12 @@ def violations(sites: DataFrame, signals: DataFrame) -> DataFrame:
     return out.select("category", (F.col("g") == 1).alias("overall"), "sites", "violating", safe_pct(F.col("violating"), F.col("sites")).alias("pct"), "mean_signals", "median_signals")
 
 
-def vendor_prevalence(classified: DataFrame, n_sites: Column, top: int) -> DataFrame:
-    """The vendors on most sites; a top-k report."""
+def vendor_prevalence(classified: DataFrame, n_sites: DataFrame, top: int) -> DataFrame:
+    """The vendors on most sites, with their share of all crawled sites; a top-k report. n_sites: one row, column n."""
     out = classified.where("is_tracker").groupBy("vendor").agg(F.count_distinct("site").alias("sites"), F.count("*").alias("cookies"))
-    return out.orderBy(F.desc("sites"), F.desc("cookies"), "vendor").limit(top)
+    head = out.orderBy(F.desc("sites"), F.desc("cookies"), "vendor").limit(top)
+    # One row beside the few of the report.
+    return head.crossJoin(F.broadcast(n_sites.select("n").limit(1))).select("vendor", "sites", "cookies", safe_pct(F.col("sites"), F.col("n")).alias("pct"))
 
 
 def with_others(counts: DataFrame, key: str, value: str, top: int) -> DataFrame:
@@ -69,6 +71,12 @@ def pattern_prevalence(patterns: DataFrame) -> DataFrame:
     return each.crossJoin(F.broadcast(total)).select("pattern", "sites", safe_pct(F.col("sites"), F.col("total")).alias("pct"))
 
 
+def pattern_totals(patterns: DataFrame) -> DataFrame:
+    """Sites looked at, those with any pattern, their share, and the mean number."""
+    out = patterns.agg(F.count("*").alias("sites"), F.count_if(F.col("n_patterns") > 0).alias("any_pattern"), F.avg("n_patterns").alias("mean_patterns"))
+    return out.withColumn("pct", safe_pct(F.col("any_pattern"), F.col("sites")))
+
+
 def score_stats(scores: DataFrame, key: str | None = None) -> DataFrame:
     s = "overall"
     aggs = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sd"), F.min(s).alias("least"), F.max(s).alias("most")]
@@ -100,3 +108,21 @@ def density(scores: DataFrame, points: int = 200, hi: float = 100.0) -> DataFram
 
 def pivot_mean(df: DataFrame, row: str, col: str, value: str, columns: list[str]) -> DataFrame:
     return df.groupBy(row).pivot(col, columns).agg(F.avg(value))
+
+
+def pivot_regions(df: DataFrame, row: str, region: str, cmp: str, value: str, regions: list[str], platforms: list[str]) -> DataFrame:
+    """Means by row and region, or by row and platform where there are fewer than three regions."""
+    n = df.agg(F.count_distinct(region).alias("n")).first().n
+    return pivot_mean(df, row, region, value, regions) if n >= 3 else pivot_mean(df, row, cmp, value, platforms)
+
+
+def ends(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """The n best and the n worst rows; a top-k report."""
+    best = df.orderBy(F.desc(value), key).limit(n).select(F.lit("top").alias("end"), key, value)
+    return best.unionByName(df.orderBy(value, key).limit(n).select(F.lit("bottom").alias("end"), key, value))
+
+
+def run_summary(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by each of several columns, in one pass: name of the column, value, n."""
+    sets = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x"))
+    return sets.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))

@@ -10,24 +10,68 @@ from crumbtrail.functions.text import safe_pct
 NO_CMP = "No CMP Detected"
 
 
-def cmp_effectiveness(sites: DataFrame, banners: DataFrame, scores: DataFrame, patterns: DataFrame, states: DataFrame) -> DataFrame:
-    """One row per platform; sites without any are a platform of their own."""
-    df = (
-        sites.select("domain", F.coalesce("cmp", F.lit(NO_CMP)).alias("cmp"))
-        .join(banners.select("domain", "has_reject"), "domain", "left")
-        .join(scores.select("domain", "overall"), "domain", "left")
-        .join(patterns.select("domain", "n_patterns"), "domain", "left")
-        .join(states.withColumnRenamed("site", "domain"), "domain", "left")
+def cmp_sites(sites: DataFrame, banners: DataFrame, scores: DataFrame, patterns: DataFrame, states: DataFrame, signals: DataFrame, tcf: DataFrame) -> DataFrame:
+    """A row per site with what platforms are compared by; sites without any are a platform of their own."""
+    site = lambda df: df.withColumnRenamed("site", "domain")
+    return (
+        sites.select("domain", "success", F.coalesce("cmp", F.lit(NO_CMP)).alias("cmp"))
+        .join(banners.select("domain", "has_reject", "reject_clicks"), "domain", "left")
+        .join(scores.select("domain", "overall", "grade"), "domain", "left")
+        .join(patterns.select("domain", "n_patterns", "names"), "domain", "left")
+        .join(site(states), "domain", "left")
+        .join(site(signals), "domain", "left")
+        .join(tcf.select("domain", "tcf"), "domain", "left")
     )
+
+
+def cmp_effectiveness(sites: DataFrame) -> DataFrame:
+    """One row per platform, over the rows of cmp_sites()."""
+    ok, has = F.col("success"), F.col("success") & F.col("n_reject").isNotNull()
     pre, rej = F.coalesce("n_pre", F.lit(0)), F.col("n_reject")
-    works = rej.isNotNull() & (rej < pre)
-    cut = F.when(rej.isNotNull(), F.when(pre > 0, (pre - rej) / pre).otherwise(0.0))
-    out = df.groupBy("cmp").agg(
-        F.count("*").alias("sites"), F.coalesce(F.avg("overall"), F.lit(0.0)).alias("mean_score"), F.count_if("has_reject").alias("n_reject"),
-        F.count_if(works).alias("n_works"), F.count_if(F.col("n_patterns") > 0).alias("n_dark"), F.coalesce(F.avg(cut), F.lit(0.0)).alias("mean_cut"),
+    cut = F.when(has, F.when(pre > 0, (pre - rej) / pre).otherwise(0.0))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    grades = [F.count_if(F.col("grade") == g).alias(f"grade_{g}") for g in "ABCDF"]
+    out = sites.groupBy("cmp").agg(
+        F.count("*").alias("sites"), mean("overall").alias("mean_score"), F.coalesce(F.median("overall"), F.lit(0.0)).alias("median_score"), *grades,
+        F.count_if(ok & (pre > 0)).alias("n_tracking"), mean(F.when(ok, F.coalesce("trackers", F.lit(0)))).alias("mean_trackers"), mean(F.when(ok, pre)).alias("mean_domains"),
+        F.count_if(ok & F.col("has_reject")).alias("n_reject"), mean(F.when(ok & F.col("has_reject") & (F.col("reject_clicks") < 999), F.col("reject_clicks"))).alias("mean_clicks"),
+        F.count_if(has).alias("n_data"), F.count_if(has & (rej < pre)).alias("n_works"), mean(cut).alias("mean_cut"),
+        F.count_if(has & (rej == 0)).alias("eliminates"), F.count_if(has & (pre > 0) & (rej >= pre)).alias("no_effect"), mean(F.when(has, rej)).alias("mean_after"),
+        F.count_if(F.col("n_patterns") > 0).alias("n_dark"), F.count_if("tcf").alias("n_tcf"),
     )
-    pct = lambda c: safe_pct(F.col(c), F.col("sites"))
-    return out.select("cmp", "sites", "mean_score", pct("n_works").alias("works_pct"), pct("n_reject").alias("reject_pct"), pct("n_dark").alias("dark_pct"), "mean_cut")
+    pct = lambda n, of="sites": safe_pct(F.col(n), F.col(of))
+    shares = {"tracking_pct": pct("n_tracking"), "reject_pct": pct("n_reject"), "works_pct": pct("n_works", "n_data"), "dark_pct": pct("n_dark"), "tcf_pct": pct("n_tcf")}
+    return out.withColumns(shares).drop("n_tracking", "n_reject", "n_data", "n_works", "n_dark", "n_tcf")
+
+
+def cmp_patterns(sites: DataFrame) -> DataFrame:
+    """Per platform the most common pattern (by name among equals) and all with their numbers."""
+    each = sites.select("cmp", F.explode("names").alias("pattern")).groupBy("cmp", "pattern").agg(F.count("*").alias("n"))
+    per = each.groupBy("cmp").agg(F.min_by("pattern", F.struct(-F.col("n"), "pattern")).alias("most_common"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern", "n")))).alias("breakdown"))
+    return sites.select("cmp").distinct().join(per, "cmp", "left")
+
+
+def cmp_table(effect: DataFrame, ranking: DataFrame, common: DataFrame) -> DataFrame:
+    """The published table of platforms."""
+    cols = ["cmp", "sites", "mean_score", "tracking_pct", "reject_pct", "works_pct", "mean_cut", "dark_pct", "tcf_pct", "most_common", "pet_score", "rank"]
+    return effect.join(ranking.select("cmp", "pet_score", "rank"), "cmp").join(common.select("cmp", "most_common"), "cmp").select(*cols)
+
+
+def enough_sites(effect: DataFrame) -> DataFrame:
+    """Platforms with at least three sites if there are more than five platforms, else all; none that is no platform."""
+    named = effect.where(F.col("cmp") != NO_CMP)
+    # One row per platform, so one window over all is small.
+    counted = named.withColumn("n_", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return counted.where(F.col("sites") >= F.when(F.col("n_") > 5, 3).otherwise(1)).drop("n_")
+
+
+def sites_by_cmp(sites: DataFrame) -> DataFrame:
+    """Sites of each platform in numbered chunks of at most 1000 names, so that no row grows with the corpus."""
+    named = sites.select(F.coalesce("cmp", F.lit(NO_CMP)).alias("cmp"), "domain")
+    chunk = F.pmod(F.xxhash64("domain"), F.lit(1 << 20))
+    n = named.groupBy("cmp").agg(F.count("*").alias("n"))
+    dealt = named.join(n, "cmp").withColumn("chunk", F.floor(chunk * F.ceil(F.col("n") / 500) / (1 << 20)).cast("int"))
+    return dealt.groupBy("cmp", "chunk").agg(F.sort_array(F.collect_list("domain")).alias("domains"))
 
 
 def cmp_ranking(effect: DataFrame) -> DataFrame:
@@ -106,8 +150,74 @@ def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
 
 
 def baseline_asof(events: DataFrame) -> DataFrame:
-    """For each click the last snapshot of its tab before it: one window over both, no range join."""
-    w = Window.partitionBy("tab").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    """For each click the last snapshot of its tab and page before it: one window over both, no range join."""
+    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     shot = F.when(F.col("kind") == "snapshot", F.struct("event_id", "trackers", "third_parties", "cookies"))
     df = events.where("kind IN ('click', 'snapshot')").withColumn("base", F.last(shot, ignorenulls=True).over(w))
-    return df.where("kind = 'click'").select("event_id", "tab", "label", "trackers", "third_parties", "cookies", "base")
+    return df.where("kind = 'click'").select("event_id", "ts", "tab", "page", "label", "trackers", "third_parties", "cookies", "base")
+
+
+def pending_actions(events: DataFrame, actions: DataFrame, window: float = 2.5) -> DataFrame:
+    """Clicks whose action is believed because the banner was gone soon after: the next event of the tab and page, within the
+    window, is a snapshot (which only pages without a banner give). Settings and unknown clicks are never pending."""
+    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id")
+    df = events.withColumns({"next_kind": F.lead("kind").over(w), "next_us": F.unix_micros(F.lead("ts").over(w).cast("timestamp"))})
+    clicks = df.where("kind = 'click'").join(actions, "label").where(~F.col("action").isin("settings", "unknown"))
+    soon = (F.col("next_kind") == "snapshot") & (F.col("next_us") - F.unix_micros(F.col("ts").cast("timestamp")) <= int(window * 1e6))
+    return clicks.select("event_id", "tab", "page", "action", F.coalesce(soon, F.lit(False)).alias("promoted"))
+
+
+def armed_outcomes(events: DataFrame, timeout: float = 120.0) -> DataFrame:
+    """For each sight of a banner what became of the watch that it armed: the first click of the tab and page within the
+    timeout completes it, otherwise it is cleared."""
+    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    click = F.when(F.col("kind") == "click", F.struct("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
+    df = events.where("kind IN ('click', 'banner_seen')").withColumn("next", F.first(click, ignorenulls=True).over(w)).where("kind = 'banner_seen'")
+    late = F.col("next.us") - F.unix_micros(F.col("ts").cast("timestamp"))
+    hit = F.coalesce(late <= int(timeout * 1e6), F.lit(False))
+    return df.select("event_id", "tab", "page", F.when(hit, F.col("next.event_id")).alias("click"), F.when(hit, "completed").otherwise("cleared").alias("status"))
+
+
+def captures_after(events: DataFrame, within: float = 3.0, slot: int = 3600) -> DataFrame:
+    """The richest snapshot of the tab and page in the seconds after each click. Clicks and snapshots meet within slots of
+    time, each click in its own and the next one, so that no tab's whole history meets in one task. within is at most a slot."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    number = F.floor(F.col("us") / (slot * 1_000_000)).cast("bigint")
+    clicks = events.where("kind = 'click'").select(F.col("event_id").alias("click"), us("ts").alias("us"), "tab", "page")
+    clicks = clicks.withColumn("slot", F.explode(F.array(number, number + 1))).withColumnRenamed("us", "at")
+    shots = events.where("kind = 'snapshot'").select("tab", "page", us("ts").alias("us"), "event_id", "trackers", "third_parties", "cookies").withColumn("slot", number)
+    worth = 100 * F.col("trackers") + 10 * F.col("third_parties") + F.col("cookies")
+    met = clicks.join(shots, ["tab", "page", "slot"]).where((F.col("us") >= F.col("at")) & (F.col("us") <= F.col("at") + int(within * 1_000_000)))
+    pick = F.max_by(F.struct("event_id", "trackers", "third_parties", "cookies"), F.struct(worth, "us", "event_id"))
+    return met.groupBy("click").agg(pick.alias("c"), F.count("*").alias("captures")).select("click", "captures", "c.*")
+
+
+STATUSES = {"completed": 4, "observed": 3, "armed": 2, "unknown_current_state": 1}
+
+
+def best_session(sessions: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """The session of each key by status, then an observed action, then the latest, then the lowest frame (null last), then
+    a last column that tells all apart."""
+    rank = F.lit(0)
+    for status, n in STATUSES.items():
+        rank = F.when(F.col("status") == status, n).otherwise(rank)
+    order = [rank.desc(), F.desc("observed"), F.desc("updated"), F.asc_nulls_last("frame"), F.col(last)]
+    return sessions.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n_ = 1").drop("n_")
+
+
+def pet_availability(runs: DataFrame, pets: list[str], available: list[str]) -> DataFrame:
+    """The runs of the chosen tools that are available, and a failed row, marked SKIPPED, for each site and tool that is not."""
+    kept = runs.where(F.col("pet").isin([p for p in pets if p in available])).withColumn("error", F.lit(None).cast("string"))
+    gone = [p for p in pets if p not in available]
+    sites = runs.select("domain", "category").distinct()
+    rows = sites.withColumn("pet", F.explode(F.array(*[F.lit(p) for p in gone]))) if gone else sites.where("false").withColumn("pet", F.lit(""))
+    skipped = rows.select("domain", "category", "pet", F.lit(False).alias("success"), F.lit("SKIPPED: tool is not available").alias("error"))
+    return kept.unionByName(skipped, allowMissingColumns=True)
+
+
+def with_category(runs: DataFrame, sites: DataFrame) -> DataFrame:
+    """The runs' own categories; where they have none at all, those of the sites. What is still missing is Unknown."""
+    if runs.where("category IS NOT NULL").isEmpty():
+        lookup = sites.groupBy("domain").agg(F.min("category").alias("category"))
+        runs = runs.drop("category").join(lookup, "domain", "left")
+    return runs.withColumn("category", F.coalesce("category", F.lit("Unknown")))

@@ -14,18 +14,20 @@ from crumbtrail.plans import params as P
 from crumbtrail.plans import queries as Q
 from crumbtrail.plans.adapters import duck, load
 from crumbtrail.plans.queries import query
+from crumbtrail.plans.store import new_folder
 from crumbtrail.sources import readers, sinks
 from crumbtrail.streaming import audit
 
 
 @query(duck("""SELECT domain, pos, CAST(replace(width, 'px', '') AS DOUBLE) AS width, CASE font_weight WHEN 'bold' THEN 700 WHEN 'normal' THEN 400 ELSE CAST(font_weight AS INT) END AS weight,
-  CASE color WHEN '#bbb' THEN 187 WHEN '#333333' THEN 51 ELSE 255 END AS red FROM a_buttons"""))
+  CASE color WHEN '#bbb' THEN 187 WHEN '#333333' THEN 51 ELSE 255 END AS red,
+  CASE color WHEN '#bbb' THEN 187 WHEN '#333333' THEN 51 ELSE 255 END AS green, CASE color WHEN '#bbb' THEN 187 WHEN '#333333' THEN 51 ELSE 255 END AS blue, CASE background WHEN '#0055aa' THEN 85 ELSE 255 END AS ground FROM a_buttons"""))
 def parse_css(s, d):
     b = load(s, d, "a_buttons")
-    return b.select("domain", "pos", X.parse_px(F.col("width")).alias("width"), X.font_weight(F.col("font_weight")).alias("weight"), X.rgb(F.col("color"))[0].alias("red"))
+    return b.select("domain", "pos", X.parse_px(F.col("width")).alias("width"), X.font_weight(F.col("font_weight")).alias("weight"), *[c.alias(n) for n, c in zip(("red", "green", "blue"), X.rgb(F.col("color")))], X.rgb(F.col("background"))[1].alias("ground"))
 
 
-@query(duck(f"SELECT domain, round(({O._LUM['white']} + 0.05) / ((CASE color WHEN '#bbb' THEN {O._LUM['bbb']} ELSE {O._LUM['333']} END) + 0.05), 6) AS contrast FROM a_buttons WHERE kind = 'reject'"))
+@query(duck(f"SELECT domain, round(({O._LUM['white']} + 0.05) / ((CASE color WHEN '#bbb' THEN {O._LUM['bbb']} WHEN 'white' THEN {O._LUM['white']} ELSE {O._LUM['333']} END) + 0.05), 6) AS contrast FROM a_buttons WHERE kind = 'reject'"))
 def contrast_ratio(s, d):
     return load(s, d, "a_buttons").where("kind = 'reject'").select("domain", F.round(X.contrast(F.col("color"), F.col("background")), 6).alias("contrast"))
 
@@ -44,22 +46,21 @@ def tracker_lists_merge(s, d):
     return readers.merge_tracker_lists([classify.tracker_map(s), seen])
 
 
-@query()
+@query(O.after("signals", """SELECT d AS domain, max_by(state, resource_type || ' ' || state) AS vendor, max_by(resource_type, resource_type || ' ' || state) AS category
+  FROM (SELECT resource_type, state, REG AS d FROM a_requests WHERE REG <> SITE) x GROUP BY d""".replace("REG", O.reg("host")).replace("SITE", O.reg("site"))))
 def tracker_services(s, d):
-    """A services document made of the request log, read back."""
-    pairs = load(s, d, "a_requests").select(F.col("resource_type").alias("cat"), F.col("state").alias("company"), D.registered_domain(F.col("host")).alias("dom")).distinct()
+    """Services documents made of the request log, one for each category and company, read back."""
+    third = load(s, d, "a_requests").where(D.is_third_party(F.col("host"), F.col("site")))
+    pairs = third.select(F.col("resource_type").alias("cat"), F.col("state").alias("company"), D.registered_domain(F.col("host")).alias("dom")).distinct()
     companies = pairs.groupBy("cat", "company").agg(F.sort_array(F.collect_set("dom")).alias("doms"))
     entry = F.create_map("company", F.create_map(F.concat(F.lit("http://"), "company"), F.col("doms")))
-    cats = companies.groupBy("cat").agg(F.sort_array(F.collect_list(F.to_json(entry))).alias("es"))
-    one = F.concat(F.lit('"'), "cat", F.lit('": ['), F.array_join("es", ", "), F.lit("]"))
-    doc = cats.agg(F.concat(F.lit('{"categories": {'), F.array_join(F.sort_array(F.collect_list(one)), ", "), F.lit("}}")).alias("json"))
-    return readers.tracker_services(doc)
+    json = F.to_json(F.struct(F.create_map(F.col("cat"), F.array(entry)).alias("categories")))
+    return readers.tracker_services(companies.select(F.concat_ws(" ", "cat", "company").alias("place"), json.alias("json")), order="place")
 
 
-@query(duck("""SELECT b.domain, contains(lower(html || ' ' || banner_text), '__tcfapi') OR contains(lower(html || ' ' || banner_text), '__cmp') OR contains(lower(html || ' ' || banner_text), 'tcfapi')
-  OR b.domain IN (SELECT site FROM a_requests WHERE state = 'pre' AND contains(url, '__cmp')) AS tcf FROM a_banners b"""))
+@query(duck(f"WITH {Q._TCF} SELECT * FROM o_tcf"))
 def detect_tcf(s, d):
-    return extras.detect_tcf(load(s, d, "a_banners"), load(s, d, "a_requests"))
+    return Q.tcf(s, d)
 
 
 @query(duck("""SELECT site, host, area FROM (SELECT site, host, min(area) AS area, row_number() OVER (PARTITION BY site ORDER BY min(area), host) AS r FROM (SELECT site, host, length(url) * (event_id % 97 + 1) AS area FROM a_requests) x GROUP BY site, host) WHERE r = 1"""))
@@ -114,35 +115,72 @@ def state_by_category(s, d):
     return extras.state_means(load(s, d, "a_sites"), Q.states(s, d)).withColumns({c: F.round(c, 6) for c in ("pre", "accept", "reject")})
 
 
-@query(duck("""SELECT domain, CASE WHEN NOT found THEN 'no banner' WHEN has_reject AND reject_clicks = 1 THEN 'reject is offered at once' WHEN reject_clicks < 999 THEN 'reject takes ' || reject_clicks || ' clicks' ELSE 'reject cannot be reached' END AS why FROM a_banners"""))
-def explain_reject(s, d):
-    return load(s, d, "a_banners").select("domain", extras.explain_c2(F.col("found"), F.col("has_reject"), F.col("reject_clicks")).alias("why"))
-
-
-@query(O.after("scores", f"""WITH {Q._COUNTS}, m AS (SELECT 'score' AS metric, avg(overall) AS mean, count(*) AS n, 0 AS lo, 100 AS hi FROM o_scores UNION ALL SELECT 'patterns', avg(n_patterns), count(*), 0, 50 FROM o_patterns),
-  k AS (SELECT *, metric || '|' || {Q._INT} || '|mean' AS key FROM m, o_eps) SELECT metric, epsilon, round(mean, 6) AS mean, round(greatest(lo, least(hi, mean - (hi - lo)::DOUBLE / n / epsilon * sign({Q._U('key')} - 0.5) * ln(1 - 2 * abs({Q._U('key')} - 0.5)))), 6) AS noisy FROM k"""))
-def dp_means(s, d):
-    one = lambda df, name, col, hi: df.agg(F.avg(col).alias("mean"), F.count("*").alias("n")).select(F.lit(name).alias("metric"), "mean", "n", F.lit(0).alias("lo"), F.lit(hi).alias("hi"))
-    stats = one(Q.scores(s, d), "score", "overall", 100).unionByName(one(Q.patterns(s, d), "patterns", "n_patterns", 50))
-    return extras.dp_mean(stats).withColumns({c: F.round(c, 6) for c in ("mean", "noisy")})
-
-
-@query(duck("SELECT domain, CAST(row_number() OVER (ORDER BY min(seq)) AS INT) AS rank FROM (SELECT domain, site_id * 2 AS seq FROM a_sites WHERE site_id % 3 <> 0 UNION ALL SELECT domain, site_id * 2 + 1001 FROM a_sites) u GROUP BY domain"))
+@query(O.after("scores", f"""SELECT p.domain, CASE WHEN coalesce(trackers + third_parties, 0) = 0 THEN 'no tracking signals before consent' ELSE coalesce(trackers + third_parties, 0) || ' tracking signals before consent' END AS c1,
+  CASE WHEN NOT found THEN 'no banner' WHEN has_reject AND reject_clicks = 1 THEN 'reject is offered at once' WHEN reject_clicks < 999 THEN 'reject takes ' || reject_clicks || ' clicks' ELSE 'reject cannot be reached' END AS c2,
+  CASE WHEN reject_clicks >= 999 AND accept_clicks >= 999 THEN 'neither choice can be reached' WHEN reject_clicks >= 999 THEN 'reject cannot be reached' WHEN reject_clicks <= accept_clicks THEN 'rejecting is as easy as accepting' ELSE 'rejecting takes ' || (reject_clicks - accept_clicks) || ' more clicks' END AS c3,
+  CASE WHEN n_patterns = 0 THEN 'no dark patterns' ELSE n_patterns || ' dark patterns' END AS c4,
+  CASE WHEN NOT found THEN 'not available without a banner' WHEN NOT (has_reject OR reject_clicks < 999) THEN 'no way to reject' WHEN n_reject IS NULL THEN 'no data after rejecting' WHEN NOT reject_done THEN 'rejecting failed'
+    WHEN coalesce(n_new, 0) = 0 AND n_reject <= coalesce(n_pre, 0) THEN 'nothing new after rejecting' WHEN n_accept IS NOT NULL AND n_reject < n_accept THEN 'something new, but less than after accepting' WHEN n_accept IS NOT NULL THEN 'no better than after accepting'
+    WHEN coalesce(n_new, 0) > 0 THEN n_new || ' new signals after rejecting' ELSE 'partial' END AS c5,
+  CASE WHEN banner_text = '' AND html = '' THEN 'no text' ELSE coalesce(nullif(concat_ws(', ', CASE WHEN {O.has_any("lower(banner_text)", P.PURPOSES)} THEN 'purposes' END, CASE WHEN {O.has_any("lower(banner_text)", P.VENDORS)} THEN 'vendors' END,
+    CASE WHEN {O.has_any("lower(html)", P.PRIVACY_LINKS)} THEN 'privacy link' END, CASE WHEN coalesce({O.CLARITY}, 99) < 30 THEN 'clear sentences' END), ''), 'nothing named') END AS c6
+  FROM o_patterns p LEFT JOIN o_signals s ON s.site = p.domain LEFT JOIN o_states t ON t.site = p.domain"""))
+def explain_criteria(s, d):
+    """Why each site got its points, by criterion."""
+    site = lambda df: df.withColumnRenamed("site", "domain")
+    df = load(s, d, "a_banners").join(site(Q.signals(s, d)), "domain", "left").join(Q.patterns(s, d).select("domain", "n_patterns"), "domain", "left").join(site(Q.states(s, d)), "domain", "left")
+    df = df.withColumn("n_signals", F.coalesce(F.col("trackers") + F.col("third_parties"), F.lit(0)))
+    return df.select("domain", *[why.alias(c) for c, why in scoring.explanations().items()])
+
+
+@query(duck("SELECT domain, CAST(row_number() OVER (ORDER BY min(seq)) AS INT) AS rank FROM (SELECT domain, site_id * 2 AS seq FROM a_sites WHERE category IS NOT NULL UNION ALL SELECT domain, site_id * 2 + 1001 FROM a_sites) u GROUP BY domain"))
 def merge_site_lists(s, d):
     sites = load(s, d, "a_sites")
-    return extras.renumber(sites.where("site_id % 3 <> 0").select("domain", (F.col("site_id") * 2).alias("seq")).union(sites.select("domain", F.col("site_id") * 2 + 1001)))
+    return extras.renumber(sites.where("category IS NOT NULL").select("domain", (F.col("site_id") * 2).alias("seq")).union(sites.select("domain", F.col("site_id") * 2 + 1001)))
+
 
+_SNAP = "(SELECT site, count(*) AS cookies, count(*) FILTER (is_tracker) AS trackers, count(*) FILTER (third_party) AS third_party, max(age_days) AS longest FROM o_classified GROUP BY site)"
+_LISTED = lambda key, where: f"(SELECT site, string_agg(k || '=' || n, ',' ORDER BY k) AS v FROM (SELECT site, {key} AS k, count(*) AS n FROM o_classified {where} GROUP BY site, {key}) x GROUP BY site)"
 
-@query(O.after("classified", "SELECT site, count(*) AS cookies, count(*) FILTER (is_tracker) AS trackers, count(*) FILTER (third_party) AS third_party, max(age_days) AS longest FROM o_classified GROUP BY site"))
+
+@query(O.after("classified", f"SELECT s.*, c.v AS categories, coalesce(t.v, '') AS vendors FROM {_SNAP} s JOIN {_LISTED('category', '')} c ON c.site = s.site LEFT JOIN {_LISTED('vendor', 'WHERE is_tracker')} t ON t.site = s.site"))
 def site_snapshot(s, d):
-    return Q.classified(s, d).groupBy("site").agg(F.count("*").alias("cookies"), F.count_if("is_tracker").alias("trackers"), F.count_if("third_party").alias("third_party"), F.max("age_days").alias("longest"))
+    """Counts of each site's cookies, with maps of categories and of trackers by vendor, here as text."""
+    made = extras.site_snapshot(Q.classified(s, d))
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return made.withColumns({c: text(c) for c in ("categories", "vendors")})
+
+
+def _study(s, d):
+    sites, patterns = Q.report_sites(s, d), Q.patterns(s, d)
+    share = lambda name: F.avg(F.array_contains("names", name).cast("double"))
+    after = metrics.before_after(load(s, d, "a_requests"), D.is_third_party(F.col("host"), F.col("site")), D.registered_domain(F.col("host")))
+    public = sites.where(D.is_public_sector(F.col("domain"))).agg(F.count("*").alias("public_sites"), F.avg("overall").alias("public_score"), F.avg((F.col("n_signals") > 0).cast("double")).alias("public_tracking"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    one = metrics.crawl_summary(load(s, d, "a_banners")).crossJoin(patterns.agg(share("missing_reject").alias("missing_reject_rate"), share("multi_layer").alias("multi_layer_rate")))
+    one = one.crossJoin(after.select(ratio("reduces", "sites").alias("reduces_rate"), ratio("eliminates", "sites").alias("eliminates_rate"))).crossJoin(sites.agg(F.avg("overall").alias("mean_score"))).crossJoin(public)
+    stats = studies.pet_baseline(load(s, d, "a_pet_runs")).join(studies.pet_ranking(studies.pet_baseline(load(s, d, "a_pet_runs"))).select("pet", "rank"), "pet")
+    tools = stats.select("rank", F.col("pet").alias("name"), "sites", F.round("tracker_cut", 6).alias("tracker_pct"), F.round("request_cut", 6).alias("request_pct"), F.format_string("%s avg tracker reduction in study", L.signed_percent(F.col("tracker_cut"))).alias("label"))
+    ranked = studies.cmp_ranking(studies.enough_sites(Q.effect(s, d)))
+    platforms = ranked.join(Q.effect(s, d).select("cmp", "mean_score", "reject_pct"), "cmp").select("rank", F.col("cmp").alias("name"), "sites", F.round("mean_score", 6).alias("score"), F.round(F.col("reject_pct") / 100, 6).alias("reject_rate"), "pet_score")
+    return one, tools, platforms
+
+
+@query(O.after("scores", f"""WITH {Q._SITES} SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success AND found) AS with_banner, count(*) FILTER (success AND NOT found) AS without_banner FROM a_banners) a,
+  (SELECT round(avg(f3::INT), 6) AS missing_reject_rate, round(avg(f6::INT), 6) AS multi_layer_rate FROM o_patterns) b,
+  (SELECT round(count(*) FILTER (nullif(rej, 0) < nullif(pre, 0))::DOUBLE / count(*), 6) AS reduces_rate, round(count(*) FILTER (rej = 0)::DOUBLE / count(*), 6) AS eliminates_rate FROM (SELECT site, count(DISTINCT d) FILTER (state = 'pre') AS pre, count(DISTINCT d) FILTER (state = 'reject') AS rej FROM o_third GROUP BY site) x) c,
+  (SELECT round(avg(overall), 6) AS mean_score FROM o_rep) e, (SELECT count(*) AS public_sites, round(avg(overall), 6) AS public_score, round(avg((n_signals > 0)::INT), 6) AS public_tracking FROM o_rep WHERE ends_with(domain, '.gov.uk')) f"""))
+def study_figures(s, d):
+    """The single figures of a published study."""
+    one = _study(s, d)[0]
+    return one.withColumns({c: F.round(c, 6) for c in one.columns if c.endswith("rate") or c in ("mean_score", "public_score", "public_tracking")})
 
 
 @query()
 def study_snapshot(s, d):
-    """The published figures of a study as one row of JSON."""
-    stats = studies.pet_baseline(load(s, d, "a_pet_runs")).select("pet", (F.col("tracker_cut") / 100).alias("tracker_ratio"), (F.col("request_cut") / 100).alias("request_ratio"))
-    return sinks.report_row({"crawl": metrics.crawl_summary(load(s, d, "a_banners")), "tools": stats, "platforms": studies.cmp_ranking(Q.effect(s, d))})
+    """The published figures of a study as one row of JSON: what study_figures, pet_ranking and cmp_ranking compare."""
+    one, tools, platforms = _study(s, d)
+    return sinks.report_row({"metadata": one, "tools": tools, "platforms": platforms})
 
 
 @query(O.after("scores", "SELECT domain, c1, c2, c3, c4, c6, round(" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in P.LEGACY_WEIGHTS.items() if c != "c5") + " + coalesce(c5, 0) * 0.15::DOUBLE, 6) AS legacy FROM o_scores"))
@@ -152,37 +190,56 @@ def legacy_scores(s, d):
 
 
 # Streams over the event table, run to the end of what is there.
-def _stream(s, d):
-    # One canonical table of the events, then read as a stream of its files.
-    from crumbtrail.plans.adapters import stream_dir
-
-    path = stream_dir(s)
-    load(s, d, "a_interactions").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "tab", "page", "label", "kind").write.parquet(f"{path}/in")
+def _stream(s, d, end: bool):
+    """The events as a stream of files in order of time; end: with marks that close what is open."""
+    path = new_folder(s, "stream")
+    events = load(s, d, "a_interactions").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "tab", "page", "label", "kind")
+    (audit.ended(events) if end else events).write.parquet(f"{path}/in")
     return s.readStream.schema(audit.EVENTS).parquet(f"{path}/in"), path
 
 
-@query()
+@query(duck("""WITH m AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 10 MINUTES OR lag(page) OVER w <> page THEN 1 ELSE 0 END AS new FROM a_interactions WINDOW w AS (PARTITION BY tab ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY tab ORDER BY ts, event_id) AS session FROM m)
+  SELECT tab, any_value(page) AS page, min(event_id) AS first_event, count(*) AS n, count(*) FILTER (kind = 'click') AS clicks, bool_or(kind = 'banner_seen') AS armed, bool_or(kind = 'banner_seen') AND count(*) FILTER (kind = 'click') > 0 AS completed FROM n GROUP BY tab, session"""))
 def session_stream(s, d):
-    events, path = _stream(s, d)
+    events, path = _stream(s, d, True)
     return audit.run_to_table(audit.sessions(events), f"{path}/out", f"{path}/cp")
 
 
-@query()
+@query(duck("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, kind, count(*) AS n FROM a_interactions GROUP BY 1, 2"))
 def rate_window_stream(s, d):
-    events, path = _stream(s, d)
-    return audit.run_to_table(audit.rates(events), f"{path}/out", f"{path}/cp")
+    events, path = _stream(s, d, True)
+    out = audit.run_to_table(audit.rates(events), f"{path}/out", f"{path}/cp")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query(duck("""WITH w AS (SELECT kind, date_trunc('hour', ts) - to_minutes(60 * i) AS start FROM a_interactions, range(2) t(i)) SELECT CAST(start AS VARCHAR) AS start, kind, count(*) AS n FROM w GROUP BY 1, 2"""))
+def sliding_window_stream(s, d):
+    """Rates over windows of two hours, a new one each hour."""
+    events, path = _stream(s, d, True)
+    out = audit.run_to_table(audit.rates(events, "2 hours", slide="1 hour"), f"{path}/out", f"{path}/cp")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(O.after("signals", "SELECT d AS domain, 3 AS first_parties FROM o_third GROUP BY d HAVING count(DISTINCT site) >= 3"))
 def prevalence_stream(s, d):
-    from crumbtrail.plans.adapters import stream_dir
+    """Trackers as a stream learns them: each once, when it meets the third site."""
+    path = new_folder(s, "stream")
+    load(s, d, "a_requests").select("host", "site").write.parquet(f"{path}/in")
+    stream = s.readStream.schema("host string, site string").parquet(f"{path}/in")
+    return audit.run_to_table(audit.learned_trackers(stream), f"{path}/out", f"{path}/cp")
+
 
-    path = stream_dir(s)
-    requests = load(s, d, "a_requests").join(load(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id")
-    requests.select("ts", "host", "site").write.parquet(f"{path}/in")
-    stream = s.readStream.schema("ts timestamp, host string, site string").parquet(f"{path}/in")
-    pairs = audit.run_to_table(audit.new_first_parties(stream), f"{path}/out", f"{path}/cp")
-    return pairs.groupBy("domain").agg(F.count_distinct("site").alias("first_parties")).where("first_parties >= 3")
+@query(duck("SELECT domain, min(CASE WHEN cmp IS NULL THEN 1 ELSE 0 END) AS batch FROM a_sites GROUP BY domain"))
+def incremental_ingest(s, d):
+    """Sites that come in two deliveries, the second with all that the first had: each is taken up once."""
+    path = new_folder(s, "ingest")
+    sites = load(s, d, "a_sites").select("domain", "cmp")
+    sites.where("cmp IS NOT NULL").select("domain", F.lit(0).alias("batch")).write.parquet(f"{path}/in")
+    stream = lambda: s.readStream.schema("domain string, batch int").parquet(f"{path}/in")
+    audit.ingest(stream(), f"{path}/out", f"{path}/cp", "domain")
+    sites.select("domain", F.lit(1).alias("batch")).write.mode("append").parquet(f"{path}/in")
+    return audit.ingest(stream(), f"{path}/out", f"{path}/cp", "domain")
 
 
 # Phrases.
@@ -205,20 +262,37 @@ def compare_buttons(s, d):
     return df.select("domain", F.concat_ws("; ", issues).alias("issues"))
 
 
-@query(O.after("scores", f"WITH {Q._TRIALS} SELECT metric, epsilon, CASE epsilon WHEN 0.1 THEN 'Low (high privacy)' WHEN 0.5 THEN 'Moderate' WHEN 1.0 THEN 'Balanced (recommended)' WHEN 2.0 THEN 'Good utility' WHEN 5.0 THEN 'High utility' WHEN 10.0 THEN 'Near-exact' END AS utility, CASE WHEN epsilon <= 0.1 THEN 'Very high privacy, low utility' WHEN epsilon <= 0.5 THEN 'High privacy, moderate utility' WHEN epsilon <= 1 THEN 'Good privacy-utility balance' WHEN epsilon <= 2 THEN 'Moderate privacy, good utility' ELSE 'Low privacy, high utility' END AS note FROM o_trials"))
+@query(O.after("scores", f"WITH {Q._CATALOGUE} SELECT metric, epsilon, CASE epsilon WHEN 0.1 THEN 'Low (high privacy)' WHEN 0.5 THEN 'Moderate' WHEN 1.0 THEN 'Balanced (recommended)' WHEN 2.0 THEN 'Good utility' WHEN 5.0 THEN 'High utility' WHEN 10.0 THEN 'Near-exact' END AS utility, CASE WHEN epsilon <= 0.1 THEN 'Very high privacy, low utility' WHEN epsilon <= 0.5 THEN 'High privacy, moderate utility' WHEN epsilon <= 1 THEN 'Good privacy-utility balance' WHEN epsilon <= 2 THEN 'Moderate privacy, good utility' ELSE 'Low privacy, high utility' END AS note FROM o_queries, o_eps"))
 def epsilon_notes(s, d):
-    df = privacy.epsilons(Q.counts(s, d).select("metric"))
+    df = privacy.epsilons(Q.catalogue(s, d).select("metric"))
     return df.select("metric", "epsilon", L.utility(F.col("epsilon")).alias("utility"), L.epsilon_note(F.col("epsilon")).alias("note"))
 
 
-_HELPS = [("missing_reject", "beta", 2), ("missing_reject", "gamma", 1), ("confusing", "beta", 1), ("multi_layer", "alpha", 2), ("asymmetric", "gamma", 1), ("preselected", "alpha", 1), ("hidden_reject", "delta", 2)]
-
-
-@query(O.after("patterns", f"""WITH u AS (SELECT domain, x.p AS issue FROM o_patterns, LATERAL (VALUES {Q._NAMES}) AS x(p, f) WHERE f), h AS ({P.values(_HELPS, 'issue, pet, relevance')}),
-  m AS (SELECT domain, pet, CAST(sum(relevance) AS BIGINT) AS relevance FROM u JOIN h USING (issue) GROUP BY ALL)
-  SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY relevance DESC, pet) AS r FROM m) WHERE r <= 3"""))
+# Tools by weight, and what they help with.
+PROFILES = {
+    "Brave Shields": (100, ["pre_consent_trackers", "advertising", "fingerprinting", "analytics"]),
+    "Privacy Badger": (90, ["pre_consent_trackers", "fingerprinting"]),
+    "uBlock Origin": (80, ["pre_consent_trackers", "advertising", "analytics"]),
+    "Firefox ETP Strict": (65, ["pre_consent_trackers", "fingerprinting", "social"]),
+    "Firefox ETP Standard": (55, ["pre_consent_trackers", "social"]),
+    "Consent-O-Matic": (50, ["dark_patterns", "reject_effort"]),
+}
+_HELPS = [(tool, issue, i, weight) for tool, (weight, issues) in PROFILES.items() for i, issue in enumerate(issues)]
+
+
+@query(O.after("scores", f"""WITH h AS ({P.values(_HELPS, 'tool, issue, ord, weight')}), c AS (SELECT DISTINCT site, lower(category) AS category FROM o_classified WHERE is_tracker),
+  i AS (SELECT DISTINCT site, 'pre_consent_trackers' AS issue, 2 AS points FROM c UNION ALL SELECT site, category, 1 FROM c
+    UNION ALL SELECT domain, 'reject_effort', 2 FROM o_patterns WHERE NOT has_reject OR reject_clicks > accept_clicks OR n_patterns > 0 UNION ALL SELECT domain, 'dark_patterns', 2 FROM o_patterns WHERE n_patterns > 0),
+  w AS (SELECT *, CASE issue WHEN 'pre_consent_trackers' THEN 'pre-consent trackers' WHEN 'dark_patterns' THEN 'dark patterns' WHEN 'reject_effort' THEN 'reject friction' WHEN 'fingerprinting' THEN 'fingerprinting signals' ELSE issue || ' trackers' END AS why FROM i JOIN h USING (issue)),
+  m AS (SELECT site, tool, CAST(sum(points) AS BIGINT) AS relevance, max(weight) AS weight, list(why ORDER BY ord) AS reasons FROM w GROUP BY site, tool),
+  r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY relevance DESC, weight DESC, tool) AS r FROM m)
+  SELECT site, tool, relevance, CASE len(reasons) WHEN 1 THEN 'Helps with ' || reasons[1] || '.' WHEN 2 THEN 'Helps with ' || reasons[1] || ' and ' || reasons[2] || '.' ELSE 'Helps with ' || reasons[1] || ', ' || reasons[2] || ', and ' || reasons[3] || '.' END AS why FROM r WHERE r <= 3"""))
 def site_tool_advice(s, d):
     """For each site the three tools that help most with its issues; a top-k report."""
-    issues = Q.patterns(s, d).select("domain", F.explode("names").alias("issue"))
-    met = issues.join(s.sql(P.values(_HELPS, "issue, pet, relevance")), "issue").groupBy("domain", "pet").agg(F.sum("relevance").alias("relevance"))
-    return extras.top_per_key(met, "domain", [F.desc("relevance"), F.col("pet")], 3)
+    kinds = Q.classified(s, d).where("is_tracker").select("site", F.lower("category").alias("category")).distinct()
+    b = load(s, d, "a_banners").join(Q.patterns(s, d).select("domain", "n_patterns"), "domain")
+    effort = ~F.col("has_reject") | (F.col("reject_clicks") > F.col("accept_clicks")) | (F.col("n_patterns") > 0)
+    row = lambda df, site, issue, points: df.select(F.col(site).alias("site"), issue.alias("issue"), F.lit(points).alias("points"))
+    issues = row(kinds.select("site").distinct(), "site", F.lit("pre_consent_trackers"), 2).unionByName(row(kinds, "site", F.col("category"), 1))
+    issues = issues.unionByName(row(b.where(effort), "domain", F.lit("reject_effort"), 2)).unionByName(row(b.where("n_patterns > 0"), "domain", F.lit("dark_patterns"), 2))
+    return extras.advice(issues, s.sql(P.values(_HELPS, "tool, issue, ord, weight")))

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crumbtrail.functions import domains as D
+from crumbtrail.functions import labels as L
 from crumbtrail.functions import text as X
 from crumbtrail.operators import banner as B
 from crumbtrail.operators import bloom, classify, metrics, privacy, scoring, studies
 from crumbtrail.plans import oracle as O
 from crumbtrail.plans import params as P
-from crumbtrail.plans.adapters import duck, load
+from crumbtrail.plans.adapters import EXPECTED_BUTTONS, duck, load
+from crumbtrail.plans.store import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,37 +31,80 @@ def query(sql: str | None = None):
     return add
 
 
-# Steps that several queries start from.
+# Steps that several queries start from; each is written at its first use.
 def classified(s: SparkSession, d: str) -> DataFrame:
-    return classify.classify_cookies(load(s, d, "a_cookies"), classify.tracker_map(s), classify.block_lists(s))
+    make = lambda: classify.classify_cookies(load(s, d, "a_cookies"), classify.tracker_map(s), classify.block_lists(s), classify.fallback_map(s))
+    return once(s, d, "classified", make)
 
 
 def signals(s: SparkSession, d: str) -> DataFrame:
-    return classify.pre_consent_signals(classified(s, d), load(s, d, "a_requests"))
+    return once(s, d, "signals", lambda: classify.pre_consent_signals(classified(s, d), load(s, d, "a_requests")))
+
+
+def third_parties(s: SparkSession, d: str) -> DataFrame:
+    return once(s, d, "third_parties", lambda: classify.third_parties(load(s, d, "a_requests")))
 
 
 def states(s: SparkSession, d: str) -> DataFrame:
-    third = load(s, d, "a_requests").select("site", "state", D.registered_domain(F.col("host")).alias("dom"), D.is_third_party(F.col("host"), F.col("site")).alias("third")).where("third")
-    n = lambda x: F.count_distinct(F.when(F.col("state") == x, F.col("dom")))
-    out = third.groupBy("site").agg(n("pre").alias("n_pre"), F.nullif(n("reject"), F.lit(0)).alias("n_reject"), F.nullif(n("accept"), F.lit(0)).alias("n_accept"))
+    """Third parties of each site in each state, and what is new after rejecting: cookies and third parties."""
+    n = F.count_if
+    out = third_parties(s, d).groupBy("site").agg(
+        n("pre").alias("n_pre"), F.nullif(n("reject"), F.lit(0)).alias("n_reject"), F.nullif(n("accept"), F.lit(0)).alias("n_accept"), n(F.col("reject") & ~F.col("pre")).alias("third")
+    )
     new = classify.new_after_interaction(load(s, d, "a_cookies"), "reject").groupBy("site").agg(F.count("*").alias("n"))
-    return out.join(new, "site", "left").select("site", "n_pre", "n_reject", "n_accept", F.coalesce("n", F.lit(0)).alias("n_new"))
+    total = F.coalesce("n", F.lit(0)) + F.col("third")
+    return once(s, d, "states", lambda: out.join(new, "site", "left").select("site", "n_pre", "n_reject", "n_accept", total.alias("n_new")))
 
 
 def patterns(s: SparkSession, d: str) -> DataFrame:
-    return B.dark_patterns(load(s, d, "a_banners"), load(s, d, "a_buttons"))
+    return once(s, d, "patterns", lambda: B.dark_patterns(load(s, d, "a_banners"), load(s, d, "a_buttons")))
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
-    return scoring.site_scores(load(s, d, "a_banners"), signals(s, d), patterns(s, d), states(s, d))
+    return once(s, d, "scores", lambda: scoring.site_scores(load(s, d, "a_banners"), signals(s, d), patterns(s, d), states(s, d)))
+
+
+def tcf(s: SparkSession, d: str) -> DataFrame:
+    from crumbtrail.operators import extras
+
+    return once(s, d, "tcf", lambda: extras.detect_tcf(load(s, d, "a_banners"), load(s, d, "a_requests")))
+
 
+def report_sites(s: SparkSession, d: str) -> DataFrame:
+    """What reports count, a row per crawled site."""
 
-def counts(s: SparkSession, d: str) -> DataFrame:
-    """Counts to publish under differential privacy: metric, n, total."""
-    total = scores(s, d).agg(F.count("*").alias("total"))
-    grades = metrics.grade_distribution(scores(s, d)).select(F.concat(F.lit("grade_"), "grade").alias("metric"), "n")
-    dark = metrics.pattern_prevalence(patterns(s, d)).select(F.concat(F.lit("pattern_"), "pattern").alias("metric"), F.col("sites").alias("n"))
-    return grades.unionByName(dark).crossJoin(F.broadcast(total))
+    def make() -> DataFrame:
+        df = load(s, d, "a_sites").where("success").select("domain", "category", "region", "cmp").join(load(s, d, "a_banners").select("domain", "found", "has_reject"), "domain")
+        df = df.join(scores(s, d).select("domain", "overall", "grade"), "domain").join(patterns(s, d).select("domain", "n_patterns", "names"), "domain")
+        n = F.coalesce(F.col("trackers") + F.col("third_parties"), F.lit(0))
+        return df.join(signals(s, d).withColumnRenamed("site", "domain"), "domain", "left").withColumn("n_signals", n).drop("trackers", "third_parties")
+
+    return once(s, d, "report_sites", make)
+
+
+def catalogue(s: SparkSession, d: str) -> DataFrame:
+    """The queries to publish under differential privacy: metric, kind, value, n, lo, hi."""
+    sites = report_sites(s, d)
+    count = lambda df, metric, cond, of=None: df.agg(F.count_if(cond).cast("double").alias("value"), (F.count("*") if of is None else F.count_if(of)).alias("n")).select(F.lit(metric).alias("metric"), F.lit("count").alias("kind"), "value", "n")
+    out = count(sites, "pre_consent_tracker_percentage", F.col("n_signals") > 0)
+    out = out.unionByName(count(sites, "sites_with_reject_button_percentage", F.col("found") & F.col("has_reject"), F.col("found")))
+    out = out.unionByName(count(sites, "sites_with_dark_patterns_percentage", F.col("n_patterns") > 0))
+    total = sites.agg(F.count("*").alias("n"))
+    few = lambda df, prefix, key: df.crossJoin(F.broadcast(total)).select(F.concat(F.lit(prefix), key, F.lit("_percentage")).alias("metric"), F.lit("count").alias("kind"), F.col("c").cast("double").alias("value"), "n")
+    out = out.unionByName(few(metrics.grade_distribution(sites).withColumnRenamed("n", "c"), "grade_", "grade"))
+    out = out.unionByName(few(sites.select(F.explode("names").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("c")), "dp_", "pattern"))
+    per = sites.where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("n_signals") > 0).cast("double").alias("with"), F.avg("overall").alias("mean"))
+    name = lambda suffix: F.concat(F.lit("cat_"), "category", F.lit(suffix)).alias("metric")
+    out = out.unionByName(per.select(name("_pre_consent_tracker_pct"), F.lit("count").alias("kind"), F.col("with").alias("value"), "n"))
+    out = out.withColumns({"lo": F.lit(0.0), "hi": F.lit(100.0)})
+    mean = lambda df, m, v, hi: df.select(m, F.lit("mean").alias("kind"), v.alias("value"), "n", F.lit(0.0).alias("lo"), F.lit(hi).alias("hi"))
+    both = sites.agg(F.count("*").alias("n"), F.avg("overall").alias("score"), F.avg("n_signals").alias("tracking"))
+    out = out.unionByName(mean(both, F.lit("avg_compliance_score").alias("metric"), F.col("score"), 100.0)).unionByName(mean(both, F.lit("avg_pre_consent_trackers").alias("metric"), F.col("tracking"), 50.0))
+    # Sums of floats depend on their order; the noise must not.
+    return out.unionByName(mean(per, name("_avg_score"), F.col("mean"), 100.0)).withColumn("value", F.round("value", 6))
+
+
+KEY = privacy.Key(P.TEST_SECRET, "check")
 
 
 # Functions over domains, URLs and texts.
@@ -74,10 +119,25 @@ def url_host_page_key(s, d):
     return load(s, d, "pages").select("page_id", D.url_host(F.col("url")).alias("host"), D.page_key(F.col("url")).alias("page_key"))
 
 
-@query(duck("SELECT domain, list_sort(list_transform(range(1, greatest(len(string_split(domain, '.')), 2)), lambda i: array_to_string(string_split(domain, '.')[i:], '.')))[1] IS NOT NULL AS ok, CAST(greatest(len(string_split(domain, '.')) - 1, 1) AS INT) AS n, array_to_string(string_split(domain, '.')[-2:], '.') AS top FROM a_sites"))
+_PARTS = "string_split(host, '.')"
+
+
+@query(duck(f"""WITH h AS (SELECT DISTINCT host FROM a_requests)
+  SELECT host, CAST(i - 1 AS INT) AS pos, array_to_string({_PARTS}[i:], '.') AS parent FROM h, LATERAL (SELECT unnest(range(1, greatest(len({_PARTS}), 2))) AS i) x"""))
 def explode_subdomains(s, d):
-    p = D.parent_domains(F.col("domain"))
-    return load(s, d, "a_sites").select("domain", (F.size(p) > 0).alias("ok"), F.size(p).alias("n"), F.element_at(p, -1).alias("top"))
+    """Each host with its parents, down to two labels."""
+    return load(s, d, "a_requests").select("host").distinct().select("host", F.posexplode(D.parent_domains(F.col("host"))).alias("pos", "parent"))
+
+
+_SUFFIXES = [("com",), ("net",), ("io",), ("org",), ("uk",), ("co.uk",), ("gov.uk",), ("*.city.gov.uk",), ("!maps.city.gov.uk",)]
+
+
+@query(duck(f"""WITH h AS (SELECT DISTINCT host FROM a_requests) SELECT host, CASE WHEN ends_with(host, '.city.gov.uk') THEN 'maps.city.gov.uk'
+  WHEN ends_with(host, '.co.uk') OR ends_with(host, '.gov.uk') THEN array_to_string({_PARTS}[-3:], '.') ELSE array_to_string({_PARTS}[-2:], '.') END AS registered FROM h"""))
+def registered_by_list(s, d):
+    """Registered domains by a list of public suffixes with a star rule and an exception."""
+    suffixes = s.createDataFrame(_SUFFIXES, "suffix string")
+    return D.registered_by_list(load(s, d, "a_requests").select("host").distinct(), suffixes)
 
 
 @query(duck("SELECT domain, regexp_matches(domain, '(" + "|".join(x.replace(".", "\\.") for x in P.GOV_SUFFIXES) + ")$') AS gov FROM a_sites"))
@@ -101,9 +161,11 @@ def sentence_clarity(s, d):
     return load(s, d, "documents").select("doc_id", F.round(X.words_per_sentence(F.col("text")), 6).alias("clarity"))
 
 
-def _labels_sql(order: str) -> str:
-    voc = P.values(P.vocabulary_rows(), "action, kind, ord, term")
-    return duck(f"""WITH voc AS ({voc}), l AS (SELECT DISTINCT label, {O.norm('label')} AS t FROM a_interactions),
+_VOC = f"SELECT action, kind, ord, {O.norm('raw')} AS term FROM ({P.values(P.vocabulary_rows(), 'action, kind, ord, raw')}) v"
+
+
+def _labels_sql(order: str, where: str = "") -> str:
+    return duck(f"""WITH voc AS (SELECT * FROM ({_VOC}) w {where}), l AS (SELECT DISTINCT label, {O.norm('label')} AS t FROM a_interactions),
       m AS (SELECT l.label, action, row_number() OVER (PARTITION BY l.label ORDER BY {order}, action) AS r FROM l JOIN voc ON (kind = 'exact' AND t = term) OR (kind = 'contains' AND contains(t, term)))
       SELECT l.label, coalesce(m.action, 'unknown') AS action FROM l LEFT JOIN m ON m.label = l.label AND m.r = 1""")
 
@@ -117,11 +179,28 @@ def classify_action(s, d):
     return classify.classify_labels(load(s, d, "a_interactions"), _vocabulary(s))
 
 
-@query(_labels_sql("kind = 'contains', ord"))
+@query(_labels_sql("kind = 'contains', ord", "WHERE action <> 'dismiss'"))
 def classify_action_two_pass(s, d):
     return classify.classify_labels(load(s, d, "a_interactions"), _vocabulary(s), two_pass=True)
 
 
+#: What the labels of the interactions do, written by hand.
+_DOES = [
+    ("Accept all", "accept"), ("Reject all", "reject"), ("Manage preferences", "settings"), ("OK", "accept"), ("Refuser", "reject"), ("Ablehnen", "reject"), ("Close", "dismiss"),
+    ("Only essential cookies", "essential"), ("I agree", "accept"), ("Einstellungen", "settings"), ("Learn more", "unknown"), ("Aceptar todo", "accept"),
+    ("Continue without accepting", "reject"), ("Reject Optional Cookies", "reject"), ("Not now", "dismiss"), ("Tylko niezbędne pliki cookie", "essential"),
+    ("Nastavení cookies", "settings"), ("Προβολή επιλογών", "settings"), ("Çerez ayarları", "settings"), ("Aċċetta kollox", "accept"), ("Save choices", "confirm"),
+    ("Vain välttämättömät evästeet", "essential"), ("  I   ACCEPT ", "accept"), ("", "unknown"),
+]
+_ACTED = f"does AS ({P.values(_DOES, 'label, action')})"
+
+
+@query(duck(f"WITH {_ACTED} SELECT label, action FROM does WHERE label IN (SELECT label FROM a_interactions)"))
+def classify_interaction(s, d):
+    """Actions of labels, with confirmation and essential choices, against a table written by hand."""
+    return classify.classify_interactions(load(s, d, "a_interactions"), _vocabulary(s))
+
+
 # Lists, cookies, requests.
 @query(duck("""SELECT DISTINCT lower(regexp_extract(line, '^\\|\\|([A-Za-z0-9._-]+)\\^', 1)) AS domain FROM a_filter_text
   WHERE NOT starts_with(line, '!') AND NOT contains(line, '##') AND regexp_extract(line, '^\\|\\|([A-Za-z0-9._-]+)\\^', 1) <> ''"""))
@@ -154,10 +233,11 @@ def state_counts(s, d):
     return states(s, d)
 
 
-@query(O.after("classified", f"""WITH q AS (SELECT site, {O.reg('host')} AS dom FROM a_requests) SELECT site, count(*) AS total, count(*) FILTER (dom IN (SELECT domain FROM tmap) OR dom IN (SELECT domain FROM lists)) AS blocked_broad,
-  count(*) FILTER (dom IN (SELECT domain FROM lists WHERE l = 'easyprivacy')) AS blocked_narrow, count(*) FILTER (NOT (dom IN (SELECT domain FROM tmap) OR dom IN (SELECT domain FROM lists))) AS net_broad FROM q GROUP BY site"""))
+@query(O.after("classified", f"""WITH q AS (SELECT site, {O.reg('host')} AS dom FROM a_requests) SELECT site, count(*) AS total, count(*) FILTER (dom IN (SELECT domain FROM tmap) OR dom IN (SELECT domain FROM lists) OR dom IN (SELECT domain FROM fmap)) AS blocked_broad,
+  count(*) FILTER (dom IN (SELECT domain FROM lists WHERE l = 'easyprivacy') OR dom IN (SELECT domain FROM fmap)) AS blocked_narrow,
+  count(*) FILTER (NOT (dom IN (SELECT domain FROM tmap) OR dom IN (SELECT domain FROM lists) OR dom IN (SELECT domain FROM fmap))) AS net_broad FROM q GROUP BY site"""))
 def blocked_requests(s, d):
-    return classify.blocked_requests(load(s, d, "a_requests"), classify.tracker_map(s), classify.block_lists(s))
+    return classify.blocked_requests(load(s, d, "a_requests"), classify.tracker_map(s), classify.block_lists(s), classify.fallback_map(s))
 
 
 @query(O.after("signals", "SELECT d AS domain, count(DISTINCT site) AS first_parties, count(DISTINCT site) >= 3 AS tracking FROM o_third GROUP BY d"))
@@ -181,10 +261,19 @@ def best_action(s, d):
 
 
 # Banners and dark patterns.
-@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*[^>]*>')) AS raw, generate_subscripts(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*[^>]*>'), 1) - 1 AS pos FROM pages)
-  SELECT page_id, CAST(pos AS INT) AS pos, lower(regexp_extract(raw, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_extract(raw, '\\sid="([^"]*)"', 1) AS id, regexp_extract(raw, '\\sclass="([^"]*)"', 1) AS class, regexp_extract(raw, '\\shref="([^"]*)"', 1) AS href FROM t""")
+_TAGS = """regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9-]*(?:[^>"'']|"[^"]*"|''[^'']*'')*>')"""
+_PAIRS = r"""regexp_extract_all(raw, '[^\s=>"''/]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+)')"""
+
+
+@query(f"""WITH t AS (SELECT page_id, unnest({_TAGS}) AS raw, generate_subscripts({_TAGS}, 1) - 1 AS pos FROM pages),
+  p AS (SELECT page_id, pos, raw, list_transform({_PAIRS}, lambda x: {{'k': lower(trim(split_part(x, '=', 1))), 'v': trim(x[strpos(x, '=') + 1:])}}) AS kv FROM t)
+  SELECT page_id, CAST(pos AS INT) AS pos, lower(regexp_extract(raw, '<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag, len(list_distinct(list_transform(kv, lambda x: x.k))) AS n_attrs,
+    regexp_replace(list_filter(kv, lambda x: x.k = 'id')[1].v, '^["'']|["'']$', '', 'g') AS id, regexp_replace(list_filter(kv, lambda x: x.k = 'class')[1].v, '^["'']|["'']$', '', 'g') AS class,
+    regexp_replace(list_filter(kv, lambda x: x.k = 'href')[1].v, '^["'']|["'']$', '', 'g') AS href FROM p""")
 def html_elements(s, d):
-    return B.html_elements(load(s, d, "pages"), "page_id", "html")
+    df = B.html_elements(load(s, d, "pages"), "page_id", "html")
+    attr = lambda k: F.element_at("attrs", k).alias(k)
+    return df.select("page_id", "pos", "tag", F.size("attrs").cast("long").alias("n_attrs"), attr("id"), attr("class"), attr("href"))
 
 
 @query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS h FROM pages""")
@@ -192,21 +281,26 @@ def visible_text(s, d):
     return load(s, d, "pages").select("page_id", F.md5(B.visible_text(F.col("html")).cast("binary")).alias("h"))
 
 
-@query(duck("SELECT domain, CASE " + " ".join(f"WHEN {O.has_any('lower(html)', m)} THEN '{n}'" for n, m in P.CMP_SIGNATURES) + " END AS detected FROM a_banners"))
+@query(duck("SELECT domain, CASE " + " ".join(f"WHEN {O.has_any('lower(html)', [x.lower() for x in m])} THEN '{n}'" for n, m in P.CMP_SIGNATURES) + " END AS detected FROM a_banners"))
 def detect_cmp(s, d):
     return load(s, d, "a_banners").select("domain", B.detect_cmp(F.col("html")).alias("detected"))
 
 
-_BUTTONS_SQL = """o_btn AS (SELECT domain, unnest(regexp_extract_all(html, '<button[^>]*>[^<]*</button>')) AS raw, generate_subscripts(regexp_extract_all(html, '<button[^>]*>[^<]*</button>'), 1) - 1 AS pos FROM a_banners),
-  o_buttons AS (SELECT domain, CAST(pos AS INT) AS pos, regexp_extract(raw, 'id="([^"]*)"', 1) AS id, trim(regexp_extract(raw, '>([^<]*)<', 1)) AS label FROM o_btn)"""
+@query(duck("SELECT domain, CASE template WHEN 1 THEN 'OneTrust' WHEN 3 THEN 'Cookiebot' WHEN 4 THEN 'Didomi' WHEN 6 THEN 'Usercentrics' WHEN 9 THEN 'TrustArc' END AS detected FROM a_banners"))
+def detect_cmp_tokens(s, d):
+    """Platforms by ids, classes and data attributes alone."""
+    return load(s, d, "a_banners").select("domain", B.detect_cmp_tokens(B.elements(F.col("html"))).alias("detected"))
+
+
+_BUTTONS_SQL = f"""o_buttons AS (SELECT domain, t.pos, t.tag, t.id, t.label FROM a_banners b JOIN ({P.values(EXPECTED_BUTTONS, 'template, pos, tag, id, label')}) t ON t.template = b.template)"""
 
 
 @query(duck(f"WITH {_BUTTONS_SQL} SELECT * FROM o_buttons"))
 def extract_buttons(s, d):
-    return B.extract_buttons(load(s, d, "a_banners"))
+    return B.extract_buttons(load(s, d, "a_banners")).drop("element")
 
 
-@query(duck(f"""WITH {_BUTTONS_SQL}, voc AS ({P.values(P.vocabulary_rows(), 'action, kind, ord, term')}), l AS (SELECT DISTINCT label, {O.norm('label')} AS t FROM o_buttons),
+@query(duck(f"""WITH {_BUTTONS_SQL}, voc AS ({_VOC}), l AS (SELECT DISTINCT label, {O.norm('label')} AS t FROM o_buttons),
   m AS (SELECT l.label, action, row_number() OVER (PARTITION BY l.label ORDER BY ord, kind = 'contains') AS r FROM l JOIN voc ON (kind = 'exact' AND t = term) OR (kind = 'contains' AND contains(t, term))),
   h AS (SELECT domain, coalesce(bool_or(action = 'accept'), false) AS has_accept, coalesce(bool_or(action = 'reject'), false) AS has_reject, coalesce(bool_or(action = 'settings'), false) AS has_settings
     FROM o_buttons b LEFT JOIN m ON m.label = b.label AND r = 1 GROUP BY domain)
@@ -218,13 +312,14 @@ def banner_summary(s, d):
 
 @query(O.after("d1", "SELECT domain, round(size_ratio, 6) AS size_ratio, round(font_ratio, 6) AS font_ratio, weight_diff, round(contrast, 6) AS contrast, d1 FROM o_d1"))
 def d1_asymmetric(s, d):
-    df = B.asymmetric(B.pick_buttons(load(s, d, "a_buttons")))
+    df = B.asymmetric(B.pick_buttons(load(s, d, "a_buttons"))).drop("hidden")
     return df.withColumns({c: F.round(c, 6) for c in ("size_ratio", "font_ratio", "contrast")})
 
 
-@query(O.after("patterns", "SELECT domain, f1 AS d1, f2 AS d2, f3 AS d3, f4 AS d4, f5 AS d5, f6 AS d6, f7 AS d7, n_patterns FROM o_patterns"))
+@query(O.after("patterns", """SELECT domain, f1 AS d1, f2 AS d2, f3 AS d3, f4 AS d4, f5 AS d5, f6 AS d6, f7 AS d7, n_patterns,
+  CASE WHEN accept_clicks > 0 AND accept_clicks < 999 THEN round(reject_clicks::DOUBLE / accept_clicks, 2) END AS click_ratio FROM o_patterns"""))
 def dark_pattern_report(s, d):
-    return patterns(s, d).drop("names")
+    return patterns(s, d).drop("names", "boxes", "phrases")
 
 
 # Scores and metrics.
@@ -244,9 +339,9 @@ def violations_grouping_sets(s, d):
     return metrics.violations(load(s, d, "a_sites"), signals(s, d))
 
 
-@query(O.after("classified", "SELECT vendor, count(DISTINCT site) AS sites, count(*) AS cookies FROM o_classified WHERE is_tracker GROUP BY vendor ORDER BY sites DESC, cookies DESC, vendor LIMIT 15"))
+@query(O.after("classified", "SELECT vendor, count(DISTINCT site) AS sites, count(*) AS cookies, 100.0::DOUBLE * count(DISTINCT site) / (SELECT count(*) FROM a_sites WHERE success) AS pct FROM o_classified WHERE is_tracker GROUP BY vendor ORDER BY sites DESC, cookies DESC, vendor LIMIT 15"))
 def vendor_prevalence(s, d):
-    return metrics.vendor_prevalence(classified(s, d), F.lit(0), 15)
+    return metrics.vendor_prevalence(classified(s, d), load(s, d, "a_sites").where("success").agg(F.count("*").alias("n")), 15)
 
 
 @query(O.after("classified", "WITH v AS (SELECT vendor, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, vendor) AS r FROM o_classified GROUP BY vendor) SELECT CASE WHEN r <= 4 THEN vendor ELSE 'Others' END AS vendor, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY 1"))
@@ -339,21 +434,36 @@ def cmp_distribution(s, d):
 
 
 # Platforms and tools.
-_EFFECT = """o_effect AS (SELECT coalesce(cmp, 'No CMP Detected') AS cmp, count(*) AS sites, coalesce(avg(overall), 0) AS mean_score,
-  100.0::DOUBLE * count(*) FILTER (n_reject < coalesce(n_pre, 0)) / count(*) AS works_pct, 100.0::DOUBLE * count(*) FILTER (b.has_reject) / count(*) AS reject_pct, 100.0::DOUBLE * count(*) FILTER (b.n_patterns > 0) / count(*) AS dark_pct,
-  coalesce(avg(CASE WHEN n_reject IS NOT NULL THEN CASE WHEN coalesce(n_pre, 0) > 0 THEN (n_pre - n_reject)::DOUBLE / n_pre ELSE 0 END END), 0) AS mean_cut
-  FROM a_sites a LEFT JOIN o_patterns b ON b.domain = a.domain LEFT JOIN o_scores s ON s.domain = a.domain LEFT JOIN o_states t ON t.site = a.domain GROUP BY 1)"""
+_TCF = """o_tcf AS (SELECT b.domain, contains(lower(html || ' ' || banner_text), '__tcfapi') OR contains(lower(html || ' ' || banner_text), '__cmp') OR contains(lower(html || ' ' || banner_text), 'tcfapi')
+  OR b.domain IN (SELECT site FROM a_requests WHERE state = 'pre' AND (contains(lower(url), '__cmp') OR contains(lower(url), 'tcfapi'))) AS tcf FROM a_banners b)"""
+_EFFECT = _TCF + """, o_all AS (SELECT coalesce(cmp, 'No CMP Detected') AS cmp, a.success AS ok, a.success AND n_reject IS NOT NULL AS has, overall, grade, b.n_patterns, b.has_reject, b.reject_clicks, coalesce(n_pre, 0) AS n_pre, n_reject, coalesce(g.trackers, 0) AS trackers, tcf,
+    f1, f2, f3, f4, f5, f6, f7
+  FROM a_sites a LEFT JOIN o_patterns b ON b.domain = a.domain LEFT JOIN o_scores s ON s.domain = a.domain LEFT JOIN o_states t ON t.site = a.domain LEFT JOIN o_signals g ON g.site = a.domain LEFT JOIN o_tcf c ON c.domain = a.domain),
+  o_effect AS (SELECT cmp, count(*) AS sites, coalesce(avg(overall), 0) AS mean_score, coalesce(median(overall), 0) AS median_score,
+  count(*) FILTER (grade = 'A') AS "grade_A", count(*) FILTER (grade = 'B') AS "grade_B", count(*) FILTER (grade = 'C') AS "grade_C", count(*) FILTER (grade = 'D') AS "grade_D", count(*) FILTER (grade = 'F') AS "grade_F",
+  coalesce(avg(trackers) FILTER (ok), 0) AS mean_trackers, coalesce(avg(n_pre) FILTER (ok), 0) AS mean_domains, coalesce(avg(reject_clicks) FILTER (ok AND has_reject AND reject_clicks < 999), 0) AS mean_clicks,
+  coalesce(avg(CASE WHEN n_pre > 0 THEN (n_pre - n_reject)::DOUBLE / n_pre ELSE 0 END) FILTER (has), 0) AS mean_cut, count(*) FILTER (has AND n_reject = 0) AS eliminates, count(*) FILTER (has AND n_pre > 0 AND n_reject >= n_pre) AS no_effect,
+  coalesce(avg(n_reject) FILTER (has), 0) AS mean_after, 100.0::DOUBLE * count(*) FILTER (ok AND n_pre > 0) / count(*) AS tracking_pct, 100.0::DOUBLE * count(*) FILTER (ok AND has_reject) / count(*) AS reject_pct,
+  coalesce(100.0::DOUBLE * count(*) FILTER (has AND n_reject < n_pre) / nullif(count(*) FILTER (has), 0), 0) AS works_pct, 100.0::DOUBLE * count(*) FILTER (n_patterns > 0) / count(*) AS dark_pct, 100.0::DOUBLE * count(*) FILTER (tcf) / count(*) AS tcf_pct FROM o_all GROUP BY cmp)"""
 _SCORE = "round(0.30::DOUBLE * mean_score + 0.25::DOUBLE * works_pct + 0.20::DOUBLE * reject_pct + 0.15::DOUBLE * greatest(0, 100 - dark_pct) + 10.0::DOUBLE * mean_cut, 6)"
 _RANKED = f"{_EFFECT}, o_rank AS (SELECT cmp, sites, {_SCORE} AS pet_score FROM o_effect)"
 
 
+def cmp_sites(s, d):
+    return once(s, d, "cmp_sites", lambda: studies.cmp_sites(load(s, d, "a_sites"), load(s, d, "a_banners"), scores(s, d), patterns(s, d), states(s, d), signals(s, d), tcf(s, d)))
+
+
 def effect(s, d):
-    return studies.cmp_effectiveness(load(s, d, "a_sites"), load(s, d, "a_banners"), scores(s, d), patterns(s, d), states(s, d))
+    return once(s, d, "effect", lambda: studies.cmp_effectiveness(cmp_sites(s, d)))
+
 
+_MEANS = ["mean_score", "median_score", "mean_trackers", "mean_domains", "mean_clicks", "mean_cut", "mean_after", "tracking_pct", "reject_pct", "works_pct", "dark_pct", "tcf_pct"]
+_COUNTS_OF = ["cmp", "sites", "eliminates", "no_effect"] + [f'"grade_{g}"' for g in "ABCDF"]
 
-@query(O.after("scores", f"WITH {_EFFECT} SELECT cmp, sites, round(mean_score, 6) AS mean_score, round(works_pct, 6) AS works_pct, round(reject_pct, 6) AS reject_pct, round(dark_pct, 6) AS dark_pct, round(mean_cut, 6) AS mean_cut FROM o_effect"))
+
+@query(O.after("scores", f"WITH {_EFFECT} SELECT {', '.join(_COUNTS_OF)}, " + ", ".join(f"round({c}, 6) AS {c}" for c in _MEANS) + " FROM o_effect"))
 def cmp_effectiveness(s, d):
-    return effect(s, d).withColumns({c: F.round(c, 6) for c in ("mean_score", "works_pct", "reject_pct", "dark_pct", "mean_cut")})
+    return effect(s, d).withColumns({c: F.round(c, 6) for c in _MEANS})
 
 
 @query(O.after("scores", f"WITH {_RANKED} SELECT *, CAST(row_number() OVER (ORDER BY pet_score DESC, cmp) AS INT) AS rank FROM o_rank"))
@@ -391,13 +501,15 @@ def pet_cmp_combos(s, d):
 
 # Merging, provenance, captures.
 def _batches(s, d):
-    runs = load(s, d, "a_pet_runs").select("domain", "pet", "tracker_domains", F.col("site_id").alias("seq"))
-    b = lambda k, cond: runs.where(cond).select("*", F.lit(k).alias("batch"), F.lit(f"real_{k}").alias("source_mode"))
-    return b(0, "seq % 2 = 0").unionByName(b(1, "seq % 3 = 0")).unionByName(b(2, "seq % 5 = 0"), allowMissingColumns=True)
+    """All runs in a first batch, those that failed again in a second, those with trackers in a third."""
+    runs = load(s, d, "a_pet_runs").select("domain", "pet", "tracker_domains", F.col("site_id").alias("seq"), "success")
+    b = lambda k, df: df.drop("success").withColumns({"batch": F.lit(k), "source_mode": F.lit(f"real_{k}")})
+    again = runs.where("NOT success").withColumn("tracker_domains", F.col("tracker_domains") + 1)
+    return b(0, runs).unionByName(b(1, again)).unionByName(b(2, runs.where("tracker_domains > 0")), allowMissingColumns=True)
 
 
-@query(duck("""WITH u AS (SELECT domain, pet, tracker_domains, site_id AS seq, 0 AS batch FROM a_pet_runs WHERE site_id % 2 = 0 UNION ALL SELECT domain, pet, tracker_domains, site_id, 1 FROM a_pet_runs WHERE site_id % 3 = 0
-    UNION ALL SELECT domain, pet, tracker_domains, site_id, 2 FROM a_pet_runs WHERE site_id % 5 = 0)
+@query(duck("""WITH u AS (SELECT domain, pet, tracker_domains, site_id AS seq, 0 AS batch FROM a_pet_runs UNION ALL SELECT domain, pet, tracker_domains + 1, site_id, 1 FROM a_pet_runs WHERE NOT success
+    UNION ALL SELECT domain, pet, tracker_domains, site_id, 2 FROM a_pet_runs WHERE tracker_domains > 0)
   SELECT domain, pet, tracker_domains, seq, batch, 'real' AS source_mode FROM (SELECT *, row_number() OVER (PARTITION BY domain, pet ORDER BY batch DESC, seq DESC) AS r FROM u) WHERE r = 1"""))
 def merge_batches(s, d):
     return studies.merge_batches(_batches(s, d), ["domain", "pet"], "real")
@@ -428,7 +540,7 @@ def session_batch(s, d):
     return studies.sessions(load(s, d, "a_interactions"))
 
 
-_BASE = """o_base AS (SELECT event_id, tab, label, trackers, third_parties, cookies, kind, last_value(CASE WHEN kind = 'snapshot' THEN {'e': event_id, 't': trackers, 'p': third_parties, 'c': cookies} END IGNORE NULLS) OVER (PARTITION BY tab ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+_BASE = """o_base AS (SELECT event_id, tab, label, trackers, third_parties, cookies, kind, last_value(CASE WHEN kind = 'snapshot' THEN {'e': event_id, 't': trackers, 'p': third_parties, 'c': cookies} END IGNORE NULLS) OVER (PARTITION BY tab, page ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
     FROM a_interactions WHERE kind IN ('click', 'snapshot'))"""
 
 
@@ -439,68 +551,119 @@ def baseline_asof(s, d):
     return df.select("event_id", "tab", F.col("base.event_id").alias("base_event"), delta("trackers").alias("d_trackers"), delta("third_parties").alias("d_third"), delta("cookies").alias("d_cookies"))
 
 
-@query(duck(f"""WITH {_BASE}, v AS (SELECT *, CASE WHEN label IN ('Accept all', 'OK', 'I agree', 'Aceptar todo') THEN 'accept' WHEN label IN ('Reject all', 'Refuser', 'Ablehnen', 'Only essential cookies') THEN 'reject'
-      WHEN label IN ('Manage preferences', 'Einstellungen') THEN 'settings' WHEN label = 'Close' THEN 'dismiss' ELSE 'unknown' END AS action FROM o_base WHERE kind = 'click'),
-    h AS (SELECT *, CASE WHEN action = 'accept' THEN 'not_applicable' WHEN action NOT IN ('reject', 'essential', 'settings') THEN 'unknown' WHEN trackers > 0 OR coalesce(third_parties > b.p, false) THEN 'dishonest' WHEN cookies > 0 THEN 'mixed' ELSE 'honest' END AS verdict FROM v)
-  SELECT event_id, action, verdict, round((0.35 * (CASE WHEN trackers <= 0 THEN 100 WHEN trackers <= 2 THEN 60 WHEN trackers <= 5 THEN 30 WHEN trackers <= 10 THEN 10 ELSE 0 END)
+@query(duck(f"""WITH {_ACTED}, {_BASE.replace("cookies, kind,", "cookies, new_trackers, other_cookies, plain_cookies, kind,")}, v AS (SELECT x.*, action FROM o_base x JOIN does ON does.label = x.label WHERE kind = 'click'),
+    h AS (SELECT *, CASE WHEN action = 'accept' THEN 'not_applicable' WHEN action IN ('unknown', 'dismiss') THEN 'unknown' WHEN trackers = 0 AND other_cookies = 0 AND plain_cookies > 0 THEN 'mixed'
+      WHEN trackers > 0 OR new_trackers > 0 OR coalesce(third_parties > b.p, false) OR other_cookies > 0 THEN 'dishonest' ELSE 'honest' END AS verdict FROM v)
+  SELECT event_id, action, verdict, CAST(CASE verdict WHEN 'not_applicable' THEN 1 WHEN 'unknown' THEN 1 WHEN 'honest' THEN 1 ELSE CAST(trackers > 0 AS INT) + CAST(new_trackers > 0 AS INT) + CAST(coalesce(third_parties > b.p, false) AS INT)
+      + CAST(other_cookies > 0 AND trackers = 0 AS INT) + CAST(verdict = 'mixed' AS INT) END AS INT) AS n_findings,
+    CASE verdict WHEN 'honest' THEN 'Supports banner claim' WHEN 'mixed' THEN 'Partially supports banner claim' WHEN 'dishonest' THEN 'Weakens banner claim' WHEN 'not_applicable' THEN 'Not an honesty-scored action' ELSE 'Could not verify' END AS trust,
+    round((0.35 * (CASE WHEN trackers <= 0 THEN 100 WHEN trackers <= 2 THEN 60 WHEN trackers <= 5 THEN 30 WHEN trackers <= 10 THEN 10 ELSE 0 END)
     + 0.2 * (CASE WHEN third_parties <= 0 THEN 100 WHEN third_parties <= 2 THEN 60 WHEN third_parties <= 5 THEN 30 WHEN third_parties <= 10 THEN 10 ELSE 0 END)
     + 0.1 * (CASE WHEN cookies <= 2 THEN 100 WHEN cookies <= 5 THEN 80 WHEN cookies <= 10 THEN 50 WHEN cookies <= 20 THEN 20 ELSE 0 END)
     + coalesce(0.35 * (CASE verdict WHEN 'honest' THEN 100 WHEN 'mixed' THEN 60 WHEN 'dishonest' THEN 0 END), 0))::DOUBLE / (CASE WHEN verdict IN ('honest', 'mixed', 'dishonest') THEN 1.0 ELSE 0.65 END), 6) AS outcome FROM h"""))
 def interaction_outcome(s, d):
-    df = studies.baseline_asof(load(s, d, "a_interactions"))
-    df = df.join(classify.classify_labels(df, _vocabulary(s)), "label")
-    grown = F.coalesce(F.col("third_parties") > F.col("base.third_parties"), F.lit(False))
-    df = df.withColumn("verdict", scoring.honesty(F.col("action"), F.col("trackers"), F.lit(0), grown, F.col("cookies")))
-    out = scoring.state_outcome(F.col("trackers"), F.col("third_parties"), F.col("cookies"), F.col("verdict"))
-    return df.select("event_id", "action", "verdict", F.round(out, 6).alias("outcome"))
+    events = load(s, d, "a_interactions")
+    df = studies.baseline_asof(events).join(events.select("event_id", "new_trackers", "other_cookies", "plain_cookies"), "event_id")
+    df = df.join(classify.classify_interactions(df, _vocabulary(s)), "label")
+    grown = F.col("third_parties") > F.col("base.third_parties")
+    df = df.withColumn("h", scoring.honesty(F.col("action"), F.col("trackers"), F.col("new_trackers"), grown, F.col("other_cookies"), F.col("plain_cookies")))
+    out = scoring.state_outcome(F.col("trackers"), F.col("third_parties"), F.col("cookies"), F.col("h.verdict"))
+    return df.select("event_id", "action", "h.verdict", F.size("h.findings").alias("n_findings"), L.trust_label(F.col("h.verdict")).alias("trust"), F.round(out, 6).alias("outcome"))
+
+
+# Differential privacy. The secret of these queries is public, so that their results can be compared.
+_U = lambda k: f"(('0x' || substr(sha256({k}), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(2, 52)"
+_SECRET = f"'{P.TEST_SECRET}|check|'"
+_SITES = """o_rep AS (SELECT a.domain, category, region, a.cmp, b.found, b.has_reject, s.overall, s.grade, p.n_patterns, f1, f2, f3, f4, f5, f6, f7, coalesce(g.trackers + g.third_parties, 0) AS n_signals
+  FROM a_sites a JOIN a_banners b ON b.domain = a.domain JOIN o_scores s ON s.domain = a.domain JOIN o_patterns p ON p.domain = a.domain LEFT JOIN o_signals g ON g.site = a.domain WHERE a.success)"""
+_CATALOGUE = f"""{_SITES}, o_queries AS (SELECT metric, kind, round(value, 6) AS value, n, 0.0::DOUBLE AS lo, hi FROM (
+  SELECT 'pre_consent_tracker_percentage' AS metric, 'count' AS kind, count(*) FILTER (n_signals > 0)::DOUBLE AS value, count(*) AS n, 100.0::DOUBLE AS hi FROM o_rep
+  UNION ALL SELECT 'sites_with_reject_button_percentage', 'count', count(*) FILTER (found AND has_reject), count(*) FILTER (found), 100 FROM o_rep
+  UNION ALL SELECT 'sites_with_dark_patterns_percentage', 'count', count(*) FILTER (n_patterns > 0), count(*), 100 FROM o_rep
+  UNION ALL SELECT 'grade_' || g.grade || '_percentage', 'count', count(r.grade), (SELECT count(*) FROM o_rep), 100 FROM ({P.values([(g,) for _, g in P.GRADES], 'grade')}) g LEFT JOIN o_rep r ON r.grade = g.grade GROUP BY g.grade
+  UNION ALL SELECT 'dp_' || x.p || '_percentage', 'count', count(*), (SELECT count(*) FROM o_rep), 100 FROM o_rep, LATERAL (VALUES {_NAMES}) AS x(p, f) WHERE f GROUP BY x.p
+  UNION ALL SELECT 'cat_' || category || '_pre_consent_tracker_pct', 'count', count(*) FILTER (n_signals > 0), count(*), 100 FROM o_rep WHERE category IS NOT NULL GROUP BY category
+  UNION ALL SELECT 'avg_compliance_score', 'mean', avg(overall), count(*), 100 FROM o_rep
+  UNION ALL SELECT 'avg_pre_consent_trackers', 'mean', avg(n_signals), count(*), 50 FROM o_rep
+  UNION ALL SELECT 'cat_' || category || '_avg_score', 'mean', avg(overall), count(*), 100 FROM o_rep WHERE category IS NOT NULL GROUP BY category) q),
+  o_eps AS (SELECT CAST(e AS DOUBLE) AS epsilon FROM (VALUES {', '.join(f'({e})' for e in P.EPSILONS)}) t(e))"""
+_KEYED = lambda mech, draw: f"{_SECRET} || metric || '|' || CAST(epsilon AS VARCHAR) || '|{mech}|' || {draw}"
+_LAP = lambda key: f"value - (CASE kind WHEN 'count' THEN 1.0::DOUBLE ELSE (hi - lo) / greatest(n, 1) END) / epsilon * sign({_U(key)} - 0.5) * ln(1 - 2 * abs({_U(key)} - 0.5))"
+_GAUSS = lambda key: f"value + (CASE kind WHEN 'count' THEN 1.0::DOUBLE ELSE (hi - lo) / greatest(n, 1) END) * sqrt(2 * ln(1.25 / 1e-5)) / epsilon * sqrt(-2 * ln({_U(key + chr(32) + '||' + chr(32) + chr(39) + '|a' + chr(39))})) * cos(2 * pi() * {_U(key + chr(32) + '||' + chr(32) + chr(39) + '|b' + chr(39))})"
+_OUT = lambda x: f"CASE kind WHEN 'count' THEN coalesce(100.0::DOUBLE * round(greatest(0, least({x}, n::DOUBLE)), 1) / nullif(n, 0), 0) ELSE round(greatest(lo, least({x}, hi)), 2) END"
+_TRUTH = "CASE kind WHEN 'count' THEN coalesce(100.0::DOUBLE * value / nullif(n, 0), 0) ELSE value END"
 
 
-# Differential privacy.
-_U = lambda k: f"(('0x' || substr(md5({k}), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(2, 52)"
-_COUNTS = f"""o_total AS (SELECT count(*) AS total FROM o_scores), o_counts AS (SELECT 'grade_' || g.grade AS metric, count(s.grade) AS n, any_value(total) AS total FROM ({P.values([(g,) for _, g in P.GRADES], 'grade')}) g LEFT JOIN o_scores s ON s.grade = g.grade CROSS JOIN o_total GROUP BY g.grade
-  UNION ALL SELECT 'pattern_' || x.p, count(*), any_value(total) FROM o_patterns, LATERAL (VALUES {_NAMES}) AS x(p, f), o_total WHERE f GROUP BY x.p),
-  o_eps AS (SELECT CAST(e AS DOUBLE) AS epsilon FROM (VALUES {', '.join(f'({e})' for e in P.EPSILONS)}) t(e))"""
-_INT = "CAST(CAST(floor(epsilon) AS INT) AS VARCHAR)"
-_LAP = lambda key: f"n - 1.0::DOUBLE / epsilon * sign({_U(key)} - 0.5) * ln(1 - 2 * abs({_U(key)} - 0.5))"
+def _release_sql(noise, mech: str) -> str:
+    return O.after("scores", f"WITH {_CATALOGUE}, k AS (SELECT *, {_KEYED(mech, chr(39) + '0' + chr(39))} AS key FROM o_queries, o_eps), m AS (SELECT *, {noise('key')} AS x FROM k) SELECT metric, epsilon, round({_TRUTH}, 6) AS truth, round({_OUT('x')}, 4) AS noisy FROM m")
+
+
+@query(_release_sql(_LAP, "laplace"))
+def laplace_release(s, d):
+    return privacy.release(catalogue(s, d), KEY).withColumns({"truth": F.round("truth", 6), "noisy": F.round("noisy", 4)})
 
 
-@query(O.after("scores", f"""WITH {_COUNTS}, k AS (SELECT *, metric || '|' || {_INT} || '|laplace' AS key FROM o_counts, o_eps) SELECT metric, epsilon, n, round(greatest(0, least(total::DOUBLE, {_LAP('key')})), 6) AS noisy FROM k"""))
-def laplace_counts(s, d):
-    return privacy.release_counts(counts(s, d)).withColumn("noisy", F.round("noisy", 6))
+@query(_release_sql(_GAUSS, "gaussian"))
+def gaussian_release(s, d):
+    return privacy.release(catalogue(s, d), KEY, "gaussian").withColumns({"truth": F.round("truth", 6), "noisy": F.round("noisy", 4)})
 
 
-@query(O.after("scores", f"""WITH {_COUNTS}, k AS (SELECT *, metric || '|' || {_INT} || '|gaussian' AS key FROM o_counts, o_eps) SELECT metric, epsilon, n,
-  round(greatest(0, least(total::DOUBLE, n + sqrt(2 * ln(1.25 / 1e-5)) / epsilon * sqrt(-2 * ln({_U("key || '|a'")})) * cos(2 * pi() * {_U("key || '|b'")}))), 6) AS noisy FROM k"""))
-def gaussian_counts(s, d):
-    return privacy.release_counts(counts(s, d), "gaussian").withColumn("noisy", F.round("noisy", 6))
+_TRIALS = f"""{_CATALOGUE}, t AS (SELECT metric, epsilon, t, {_TRUTH} AS truth, kind, value, n, lo, hi, {_KEYED("laplace", "t")} AS key FROM o_queries, o_eps, range(1, 101) r(t)),
+  w AS (SELECT *, {_LAP('key')} AS y FROM t), v AS (SELECT *, {_OUT('y')} AS x FROM w),
+  u AS (SELECT *, row_number() OVER (PARTITION BY metric, epsilon ORDER BY x, t) AS r FROM v),
+  o_trials AS (SELECT metric, epsilon, max(truth) AS truth, avg(x) AS mean, stddev_samp(x) AS sd, avg(abs(x - truth)) AS mae, max(x) FILTER (r = 3) AS ci_lo, max(x) FILTER (r = 98) AS ci_hi FROM u GROUP BY metric, epsilon)"""
+_RECOMMEND = f"""{_TRIALS}, o_good AS (SELECT epsilon, avg(CASE WHEN truth > 0 THEN mae / truth < 0.05 ELSE truth = 0 AND mae < 1 END::INT) AS p FROM o_trials WHERE metric IN ({', '.join(repr(m) for m in privacy.KEY_METRICS)}) GROUP BY epsilon),
+  o_best AS (SELECT coalesce(min(epsilon), 1.0)::DOUBLE AS epsilon FROM o_good WHERE p >= 0.6)"""
 
 
-_TRIALS = f"""{_COUNTS}, t AS (SELECT metric, epsilon, n, t, greatest(0, least(total::DOUBLE, {_LAP(f"metric || '|' || {_INT} || '|' || t")})) AS x FROM o_counts, o_eps, range(1, 101) r(t)),
-  u AS (SELECT *, row_number() OVER (PARTITION BY metric, epsilon ORDER BY x, t) AS r FROM t),
-  o_trials AS (SELECT metric, epsilon, max(n) AS n, avg(x) AS mean, stddev_samp(x) AS sd, avg(abs(x - n)) AS mae, max(x) FILTER (r = 3) AS ci_lo, max(x) FILTER (r = 98) AS ci_hi FROM u GROUP BY metric, epsilon)"""
+def dp_stats(s, d):
+    return once(s, d, "dp_trials", lambda: privacy.trials(catalogue(s, d), KEY))
 
 
-@query(O.after("scores", f"WITH {_TRIALS} SELECT metric, epsilon, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(mae, 5) AS mae, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi FROM o_trials"))
+_ROUNDED = ("truth", "mean", "sd", "mae", "ci_lo", "ci_hi")
+
+
+@query(O.after("scores", f"WITH {_TRIALS} SELECT metric, epsilon, " + ", ".join(f"round({c}, 4) AS {c}" for c in _ROUNDED) + " FROM o_trials"))
 def dp_trials(s, d):
-    return privacy.trials(counts(s, d)).withColumns({c: F.round(c, 5) for c in ("mean", "sd", "mae", "ci_lo", "ci_hi")})
+    return dp_stats(s, d).withColumns({c: F.round(c, 4) for c in _ROUNDED})
 
 
-@query(O.after("scores", f"WITH {_TRIALS}, g AS (SELECT epsilon, avg(CASE WHEN n = 0 THEN mae < 1 ELSE mae / n < 0.05 END::INT) AS p FROM o_trials GROUP BY epsilon) SELECT coalesce(min(epsilon), 1.0)::DOUBLE AS epsilon FROM g WHERE p >= 0.6"))
+@query(O.after("scores", f"WITH {_RECOMMEND} SELECT epsilon FROM o_best"))
 def recommend_epsilon(s, d):
-    return privacy.recommend_epsilon(privacy.trials(counts(s, d)))
+    return privacy.recommend_epsilon(dp_stats(s, d))
+
 
+@query(O.after("scores", f"WITH {_RECOMMEND} SELECT metric, o_trials.epsilon, round(mean, 2) AS protected FROM o_trials JOIN o_best ON o_best.epsilon = o_trials.epsilon"))
+def protected_release(s, d):
+    return privacy.protected(dp_stats(s, d), privacy.recommend_epsilon(dp_stats(s, d)))
 
-@query(O.after("scores", f"WITH {_TRIALS} SELECT epsilon, round(avg(mae), 5) AS mean_mae, count(*) AS queries FROM o_trials GROUP BY epsilon"))
+
+@query(O.after("scores", f"WITH {_TRIALS} SELECT epsilon, round(avg(mae), 4) AS mean_mae, count(*) AS queries FROM o_trials GROUP BY epsilon"))
 def dp_cost(s, d):
-    return privacy.cost(privacy.trials(counts(s, d))).withColumn("mean_mae", F.round("mean_mae", 5))
+    return privacy.cost(dp_stats(s, d)).withColumn("mean_mae", F.round("mean_mae", 4))
+
+
+@query(O.after("scores", f"WITH {_TRIALS} SELECT metric, " + ", ".join(f"round(max(mae) FILTER (epsilon = {e}), 4) AS e{str(e).replace('.', '_')}" for e in P.EPSILONS) + " FROM o_trials GROUP BY metric"))
+def dp_error_matrix(s, d):
+    out = privacy.error_matrix(dp_stats(s, d))
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "metric"})
 
 
-@query(duck(f"""WITH e AS (SELECT CAST(x AS DOUBLE) AS epsilon FROM (VALUES {', '.join(f'({e})' for e in P.EPSILONS)}) t(x)) SELECT epsilon, count(*) AS sites, count(*) FILTER (found) AS true_n,
-  count(*) FILTER (CASE WHEN {_U(f"domain || '|' || {_INT}")} < exp(epsilon) / (1 + exp(epsilon)) THEN found ELSE NOT found END) AS said FROM a_banners, e GROUP BY epsilon"""))
+@query(O.after("scores", f"WITH {_TRIALS} SELECT metric, epsilon, round(mae, 4) AS mae, round(greatest(0, mae - 0.3 * sd), 4) AS low, round(mae + 0.3 * sd, 4) AS high, min(CASE WHEN mae < 5 THEN epsilon END) OVER (PARTITION BY metric) AS enough FROM o_trials"))
+def dp_trade_off(s, d):
+    return privacy.trade_off(dp_stats(s, d)).withColumns({c: F.round(c, 4) for c in ("mae", "low", "high")})
+
+
+@query(O.after("scores", f"""WITH {_SITES}, e AS (SELECT CAST(x AS DOUBLE) AS epsilon FROM (VALUES {', '.join(f'({e})' for e in P.EPSILONS)}) t(x)),
+  a AS (SELECT domain, 'has_pre_consent_trackers' AS attribute, n_signals > 0 AS truth FROM o_rep UNION ALL SELECT domain, 'has_reject_button', found AND has_reject FROM o_rep),
+  r AS (SELECT attribute, epsilon, t, truth, CASE WHEN {_U(f"{_SECRET} || attribute || '|' || domain || '|' || CAST(epsilon AS VARCHAR) || '|' || t")} < exp(epsilon) / (1 + exp(epsilon)) THEN truth ELSE NOT truth END AS said FROM a, e, range(1, 21) g(t)),
+  p AS (SELECT attribute, epsilon, t, count(*) AS n, count(*) FILTER (truth) AS true_n, greatest(0, least(1, (count(*) FILTER (said)::DOUBLE / count(*) - (1 - exp(epsilon) / (1 + exp(epsilon)))) / (2 * exp(epsilon) / (1 + exp(epsilon)) - 1))) AS estimate FROM r GROUP BY attribute, epsilon, t)
+  SELECT attribute, epsilon, max(n) AS n, round(max(true_n::DOUBLE / n), 6) AS truth, round(avg(estimate), 6) AS estimate, round(abs(avg(estimate) - max(true_n::DOUBLE / n)), 6) AS error,
+    CASE WHEN epsilon <= 0.1 THEN 'Very high privacy, low utility' WHEN epsilon <= 0.5 THEN 'High privacy, moderate utility' WHEN epsilon <= 1 THEN 'Good privacy-utility balance' WHEN epsilon <= 2 THEN 'Moderate privacy, good utility' ELSE 'Low privacy, high utility' END AS note FROM p GROUP BY attribute, epsilon"""))
 def randomized_response(s, d):
-    df = privacy.epsilons(load(s, d, "a_banners").select("domain", "found"))
-    said = privacy.randomized_response(F.col("found"), F.col("epsilon"), F.concat_ws("|", "domain", F.col("epsilon").cast("int").cast("string")))
-    return df.groupBy("epsilon").agg(F.count("*").alias("sites"), F.count_if("found").alias("true_n"), F.count_if(said).alias("said"))
+    rows = report_sites(s, d).select("domain", (F.col("n_signals") > 0).alias("has_pre_consent_trackers"), (F.col("found") & F.col("has_reject")).alias("has_reject_button"))
+    out = privacy.response_trials(rows, "domain", ["has_pre_consent_trackers", "has_reject_button"], KEY)
+    return out.withColumns({c: F.round(c, 6) for c in ("truth", "estimate", "error")})
 
 
 # Bloom index.
@@ -511,7 +674,16 @@ def bloom_build(s, d):
     return bloom.build(classify.adblock_domains(load(s, d, "a_filter_text")))
 
 
-@query()
+@query(duck(f"""WITH dom AS (SELECT DISTINCT lower(regexp_extract(line, '^\\|\\|([A-Za-z0-9._-]+)\\^', 1)) AS d FROM a_filter_text WHERE NOT starts_with(line, '!') AND NOT contains(line, '##'))
+  SELECT DISTINCT host AS domain, true AS maybe FROM a_requests WHERE host IN (SELECT d FROM dom)"""))
 def bloom_probe(s, d):
+    """Hosts of requests that the index may hold and that are on the list: all of the list's, as a filter loses none."""
+    listed = classify.adblock_domains(load(s, d, "a_filter_text"))
+    found = bloom.probe(load(s, d, "a_requests").select(F.col("host").alias("domain")), bloom.build(listed)).where("maybe")
+    return found.join(listed, "domain", "left_semi")
+
+
+@query()
+def bloom_candidates(s, d):
     index = bloom.build(classify.adblock_domains(load(s, d, "a_filter_text")))
     return bloom.probe(load(s, d, "a_requests").select(F.col("host").alias("domain")), index)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-SITES = "domain string, category string, region string, rank int"
 _COOKIE = "struct<name: string, value: string, domain: string, path: string, expires: double, httpOnly: boolean, secure: boolean, sameSite: string>"
 _REQUEST = "struct<url: string, method: string, resource_type: string, domain: string, cookie_header: string, referer: string>"
 _STATE = (
@@ -26,8 +25,13 @@ CRAWL = (
 
 
 def read_sites(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """Site list with a header; rows without domain are dropped. first: the n best-ranked sites."""
-    df = spark.read.csv(path, header=True, schema=SITES).where("domain IS NOT NULL")
+    """Site list with a header; rows without domain are dropped. Without a column of that name the first one holds the
+    domains. first: the n best-ranked sites."""
+    df = spark.read.csv(path, header=True)
+    name = "domain" if "domain" in df.columns else df.columns[0]
+    kinds = {"category": "string", "region": "string", "rank": "int"}
+    rest = [F.col(c).try_cast(t).alias(c) if c in df.columns and c != name else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    df = df.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("domain"), *rest)
     return df.orderBy("rank", "domain").limit(first) if first else df
 
 
@@ -67,19 +71,20 @@ def hosts_domains(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.select(found.alias("domain")).where("domain <> ''").distinct()
 
 
-def tracker_services(docs: DataFrame, col: str = "json") -> DataFrame:
+def tracker_services(docs: DataFrame, col: str = "json", order: str | None = None) -> DataFrame:
     """domain, vendor, category of a services document {categories: {category: [{company: {url: [domains]}}]}};
-    flags named dnt and performance are not lists of domains; the last entry of a domain counts."""
+    flags named dnt and performance are not lists of domains; the last entry of a domain counts. order: the column by which
+    several documents follow each other."""
     kinds = "map<string, array<map<string, map<string, string>>>>"
-    top = docs.select(F.from_json(F.get_json_object(col, "$.categories"), kinds).alias("m"))
-    cats = top.select(F.posexplode(F.map_entries("m")).alias("i", "e")).select("i", F.col("e.key").alias("category"), F.col("e.value").alias("list"))
-    entries = cats.select("i", "category", F.posexplode("list").alias("j", "entry")).select("i", "j", "category", F.posexplode(F.map_entries("entry")).alias("k", "c"))
-    pairs = entries.select("i", "j", "k", "category", F.col("c.key").alias("vendor"), F.posexplode(F.map_entries("c.value")).alias("l", "p"))
+    top = docs.select((F.col(order) if order else F.lit(0)).alias("o"), F.from_json(F.get_json_object(col, "$.categories"), kinds).alias("m"))
+    cats = top.select("o", F.posexplode(F.map_entries("m")).alias("i", "e")).select("o", "i", F.col("e.key").alias("category"), F.col("e.value").alias("list"))
+    entries = cats.select("o", "i", "category", F.posexplode("list").alias("j", "entry")).select("o", "i", "j", "category", F.posexplode(F.map_entries("entry")).alias("k", "c"))
+    pairs = entries.select("o", "i", "j", "k", "category", F.col("c.key").alias("vendor"), F.posexplode(F.map_entries("c.value")).alias("l", "p"))
     pairs = pairs.where(~F.col("p.key").isin("dnt", "performance"))
     listed = F.from_json(F.col("p.value"), "array<string>")
     own = F.when(F.contains(F.col("p.key"), F.lit(".")) & ~F.col("p.value").startswith("["), F.array(F.col("p.key")))
-    rows = pairs.select("i", "j", "k", "l", "category", "vendor", F.posexplode(F.coalesce(own, listed)).alias("m", "d"))
-    last = F.max_by(F.struct("vendor", "category"), F.struct("i", "j", "k", "l", "m"))
+    rows = pairs.select("o", "i", "j", "k", "l", "category", "vendor", F.posexplode(F.coalesce(own, listed)).alias("m", "d"))
+    last = F.max_by(F.struct("vendor", "category"), F.struct("o", "i", "j", "k", "l", "m"))
     return rows.groupBy(F.lower("d").alias("domain")).agg(last.alias("x")).select("domain", "x.vendor", "x.category")
 
 
@@ -113,3 +118,14 @@ def unwrap(docs: DataFrame, json_col: str, key: str, element: str) -> DataFrame:
     inside = F.from_json(F.get_json_object(json_col, f"$.{key}"), f"array<{element}>")
     rest = [c for c in docs.columns if c != json_col]
     return docs.select(*rest, F.explode(F.when(F.ltrim(json_col).startswith("["), bare).otherwise(inside)).alias("item"))
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of consent buttons from JSON lines or documents {action: {exact: [..], contains: [..]}}: action, kind, ord, term,
+    of any number. ord follows reject, accept, settings, dismiss, others."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<exact: array<string>, contains: array<string>>>").alias("m"))
+    each = raw.select(F.explode("m").alias("action", "t"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"t.{k}").alias("terms")) for k in ("exact", "contains")])
+    rows = each.select("action", F.explode(kinds).alias("k")).select("action", "k.kind", F.explode("k.terms").alias("term"))
+    place = F.array_position(F.array(*[F.lit(a) for a in ("reject", "accept", "settings", "dismiss")]), F.col("action"))
+    return rows.select("action", "kind", F.when(place > 0, place - 1).otherwise(4).cast("int").alias("ord"), "term").where("term IS NOT NULL")

@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PET_FIELDS = ["domain", "category", "pet", "success", "total_requests", "blocked_requests", "tracker_domains"]
+# The columns of published tables, in their order.
+PET_FIELDS = [
+    "domain", "source_mode", "run_id", "category", "pet_name", "measurement_mode", "browser_name", "browser_version", "extension_name", "extension_version",
+    "extension_path", "extension_enabled", "consent_banner_detected", "page_load_time_ms", "total_cookies", "tracker_cookies", "tracker_domains",
+    "total_third_party_domains", "total_requests", "blocked_requests", "blocked_tracker_requests", "success", "error",
+]
+SCORE_FIELDS = [
+    "domain", "source_mode", "run_id", "category", "region", "rank", "overall_score", "grade", "no_pre_consent_trackers", "reject_option_available",
+    "equal_accept_reject_effort", "no_dark_patterns", "post_reject_compliance", "transparent_information", "cmp_detected", "dark_pattern_count",
+    "pre_consent_tracker_count", "total_pre_consent_cookies",
+]
+CMP_FIELDS = [
+    "source_mode", "run_id", "cmp_name", "site_count", "avg_compliance_score", "median_compliance_score", "pct_with_reject_button", "pct_reject_works",
+    "avg_tracker_reduction", "pct_with_dark_patterns", "pet_score", "rank",
+]
+ENVELOPE = ["source_mode", "run_id", "generated_at", "proxy_used", "browser_name", "browser_version", "site_list_source"]
+HEAVY = ["cookies", "http_requests"]
 
 
 def stamp(df: DataFrame, **run: str) -> DataFrame:
@@ -20,6 +36,24 @@ def per_site(rows: DataFrame, site: str, name: str) -> DataFrame:
     return rows.groupBy(site).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
 
 
+def in_order(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields of a published table; what df lacks is null, what it has beyond is left out."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields])
+
+
+def envelope(rows: DataFrame, site: str, name: str, run: dict[str, str]) -> DataFrame:
+    """One document per site: the run's provenance, then its rows under a name. run: values of ENVELOPE; others are null."""
+    if not set(run) <= set(ENVELOPE):
+        raise ValueError(f"no fields of the envelope: {sorted(set(run) - set(ENVELOPE))}")
+    docs = per_site(rows, site, name)
+    return docs.select(site, *[F.lit(run.get(c)).cast("string").alias(c) for c in ENVELOPE], name)
+
+
+def slim(docs: DataFrame) -> DataFrame:
+    """Documents without their heavy columns."""
+    return docs.drop(*HEAVY)
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -12,7 +12,7 @@ def one(spark, column, **values):
 
 
 def test_registered_domain(spark):
-    cases = {".stats.g.doubleclick.net": "doubleclick.net", "a.b.co.uk": "b.co.uk", "localhost": "localhost", "WWW.Example.COM": "example.com"}
+    cases = {".stats.g.doubleclick.net": "doubleclick.net", "a.b.co.uk": "b.co.uk", "localhost": "localhost", "WWW.Example.COM": "example.com", "shop.com.eg": "shop.com.eg", "a.shop.com.pe": "shop.com.pe"}
     for host, want in cases.items():
         assert one(spark, D.registered_domain(F.col("h")), h=host) == want
 
@@ -41,6 +41,15 @@ def test_css(spark):
 
 def test_text(spark):
     assert one(spark, X.normalize(F.col("t")), t="  Paramètres \n Refusés ") == "parametres refuses"
+    assert one(spark, X.normalize(F.col("t")), t="\u1e9e \uff21\uff22 Ά e\u0301") == "ß ab α e"
+    assert [one(spark, X.null_like(F.col("t")), t=t) for t in (" x ", "", "NaN", "None", "null")] == ["x", None, None, None, None]
     assert one(spark, X.words_per_sentence(F.col("t")), t="One two. Three! ?") == 1.5
-    assert one(spark, X.double_negative(F.col("t")), t="Please DON'T reject us") == "don't reject"
+    assert one(spark, X.double_negative(F.col("t")), t="Please DON'T reject us") == "DON'T reject"
     assert [one(spark, X.grade(F.col("s")), s=s) for s in (90.0, 89.99, 60.0, 0.0)] == ["A", "B", "C", "F"]
+
+
+def test_registered_by_list(spark):
+    suffixes = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",), ("ck",)], "suffix string")
+    want = {"https://a.b.co.uk/x": "b.co.uk", ".a.b.com": "b.com", "co.uk": "co.uk", "x.y.z.ck": "y.z.ck", "a.www.ck": "www.ck", "host": "host", "p.q": "q", "b.uk": "b.uk"}
+    got = D.registered_by_list(spark.createDataFrame([(h,) for h in want], "host string"), suffixes).collect()
+    assert {r.host: r.registered for r in got} == want

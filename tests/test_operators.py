@@ -17,9 +17,12 @@ def test_cascade(spark):
     rows = [
         (0, "example.com", "pre", "x", ".stats.doubleclick.net", "/", 0, 0), (1, "example.com", "pre", "_ga", ".example.com", "/", 0, 86400 * 2),
         (2, "example.com", "pre", "q", ".ib.adnxs.com", "/", 0, 0), (3, "example.com", "pre", "q", ".script.hotjar.com", "/", 0, 0), (4, "example.com", "pre", "q", "example.com", "/", 0, 0),
+        (5, "example.com", "pre", "q", ".platform.twitter.com", "/", 0, 0), (6, "example.com", "pre", "q", ".cdn.other.org", "/", 0, 0), (7, "example.com", "pre", "q", ".example.com", "/", 0, 86400 * 9),
+        (8, "example.com", "pre", "q", ".static.example.com", "/", 0, 86400 * 9),
     ]
-    got = {r.seq: r for r in classify.classify_cookies(cookies(spark, rows), classify.tracker_map(spark), classify.block_lists(spark)).collect()}
-    assert [got[i].source for i in range(5)] == ["map", "name", "easylist", "map", "unknown"]
+    got = {r.seq: r for r in classify.classify_cookies(cookies(spark, rows), classify.tracker_map(spark), classify.block_lists(spark), classify.fallback_map(spark)).collect()}
+    assert [got[i].source for i in range(9)] == ["disconnect", "heuristic", "easylist", "disconnect", "heuristic", "fallback", "unknown", "unknown", "heuristic"]
+    assert [(got[i].category, got[i].is_tracker) for i in (4, 5, 6, 7, 8)] == [("Functional", False), ("Social", True), ("Unknown", False), ("Unknown", False), ("Functional", False)]
     assert (got[0].vendor, got[0].category, got[0].third_party) == ("Google", "Advertising", True)
     assert (got[1].vendor, got[1].age_days, got[1].third_party, got[4].is_tracker) == ("Google", 2, False, False)
 
@@ -78,11 +81,36 @@ def test_state_outcome(spark):
     assert row(scoring.state_outcome(*n(20, 20, 50, "not_applicable"))) == 0
 
 
+#: Labels in many languages and what they do.
+LABELS = {
+    "I Accept": "accept", "I Accept Cookies": "accept", "Accept and continue": "accept", "Reject Optional Cookies": "reject", "Essential cookies only": "reject", "Necessary cookies only": "reject",
+    "Continue without accepting": "reject", "Manage Preferences": "settings", "Not now": "dismiss", "Einstellungen": "settings", "Continuer sans accepter": "reject", "Cookie-instellingen": "settings",
+    "Aceptar todo": "accept", "Solo cookie necessari": "reject", "Gerir preferências": "settings", "Tylko niezbędne pliki cookie": "reject", "Acceptă": "accept", "Nastavení cookies": "settings",
+    "Endast nödvändiga cookies": "reject", "Vis muligheder": "settings", "Godta alle": "accept", "Vain välttämättömät evästeet": "reject", "Προβολή επιλογών": "settings", "Beállítások kezelése": "settings",
+    "Prijať všetko": "accept", "Nastavitve piškotkov": "settings", "Prihvati sve": "accept", "Само необходимите бисквитки": "reject", "Slapukų nustatymai": "settings", "Pārvaldīt preferences": "settings",
+    "Nõustun": "accept", "Halda áfram án samþykkis": "reject", "Lean ar aghaidh": "dismiss", "Aċċetta kollox": "accept", "Çerez ayarları": "settings", "Reject all": "reject", "TOUT REFUSER": "reject",
+    "OK": "accept", "Alle akzeptieren": "accept", "Read on": "unknown", "": "unknown",
+}
+
+
 def test_labels(spark):
     voc = spark.sql(P.values(P.vocabulary_rows(), "action, kind, ord, term"))
-    labels = {"Reject all": "reject", "TOUT REFUSER": "reject", "OK": "accept", "Alle akzeptieren": "accept", "Manage preferences": "settings", "Read on": "unknown"}
-    df = spark.createDataFrame([(x,) for x in labels], "label string")
-    assert {r.label: r.action for r in classify.classify_labels(df, voc).collect()} == labels
+    df = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    assert {r.label: r.action for r in classify.classify_labels(df, voc).collect()} == LABELS
+
+
+def test_interactions(spark):
+    voc = spark.sql(P.values(P.vocabulary_rows(), "action, kind, ord, term"))
+    want = {"Only essential cookies": "essential", "Reject all": "reject", "Save choices": "confirm", "Not now": "dismiss", "No thanks": "dismiss", "Accept all": "accept", "Options": "settings", "Read on": "unknown", "": "unknown"}
+    df = spark.createDataFrame([(x,) for x in want], "label string")
+    assert {r.label: r.action for r in classify.classify_interactions(df, voc).collect()} == want
+
+
+def test_vocabulary_file(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"accept": {"exact": ["Oui"], "contains": ["accord"]}, "reject": {"exact": ["Non"], "contains": []}}')
+    voc = readers.read_vocabulary(spark, str(tmp_path / "v.json"))
+    df = spark.createDataFrame([("OUI",), ("D'accord",), ("non",), ("?",)], "label string")
+    assert {r.label: r.action for r in classify.classify_labels(df, voc).collect()} == {"OUI": "accept", "D'accord": "accept", "non": "reject", "?": "unknown"}
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -92,12 +120,48 @@ def test_bloom_has_no_false_negatives(spark):
     assert not [r for r in got if r.domain == "other.test"][0].maybe
 
 
+KEY = privacy.Key("a secret of the test", "first")
+
+
+def catalogue(spark, n=20):
+    return spark.createDataFrame([(f"m{i}", "count", float(i), 100, 0.0, 100.0) for i in range(n)], "metric string, kind string, value double, n long, lo double, hi double")
+
+
 def test_noise_does_not_depend_on_partitions(spark):
-    df = spark.createDataFrame([(f"m{i}", i, 100) for i in range(20)], "metric string, n int, total int")
-    a = sorted(map(tuple, privacy.release_counts(df.repartition(1)).collect()))
-    assert a == sorted(map(tuple, privacy.release_counts(df.repartition(7)).collect()))
-    t = privacy.trials(df.limit(3), 400).where("epsilon = 10").collect()
-    assert all(abs(r["mean"] - r.n) < 0.5 for r in t)
+    df = catalogue(spark)
+    a = sorted(map(tuple, privacy.release(df.repartition(1), KEY).collect()))
+    assert a == sorted(map(tuple, privacy.release(df.repartition(7), KEY).collect()))
+    t = privacy.trials(df.limit(3), KEY, 400).where("epsilon = 10").collect()
+    assert all(abs(r["mean"] - r.truth) < 0.5 for r in t)
+
+
+def test_noise_needs_the_secret_and_shares_no_draw(spark):
+    """Another secret, release or budget gives other draws; the true value does not follow from two budgets."""
+    df = catalogue(spark, 40).withColumn("value", F.lit(50.0))
+    draws = {}
+    for key in (KEY, privacy.Key("another", "first"), privacy.Key("a secret of the test", "second")):
+        for r in privacy.release(df, key).collect():
+            draws.setdefault((key, r.epsilon), []).append((r.noisy - 50) * r.epsilon)
+    some = [v for (_, e), v in draws.items() if e in (0.5, 1.0, 2.0)]
+    for i, a in enumerate(some):
+        for b in some[:i]:
+            assert sum(abs(x - y) < 0.06 for x, y in zip(a, b)) < 12
+    by = {e: v for (k, e), v in draws.items() if k is KEY}
+    guess = [(0.5 * (50 + x / 0.5) - 1.0 * (50 + y / 1.0)) / -0.5 for x, y in zip(by[0.5], by[1.0])]
+    assert sum(abs(g - 50) < 0.2 for g in guess) < 15
+    for bad in (("", "x"), ("x", "")):
+        try:
+            privacy.Key(*bad)
+        except ValueError:
+            continue
+        raise AssertionError("a release without secret or name")
+
+
+def test_randomized_response_recovers_shares(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("domain"), (F.col("id") % 4 == 0).alias("flag"))
+    got = {r.epsilon: r for r in privacy.response_trials(rows, "domain", ["flag"], KEY, 5).collect()}
+    assert all(r.truth == 0.25 for r in got.values())
+    assert got[1.0].error < 0.03 and got[5.0].error < 0.01
 
 
 def test_merge_and_gate(spark):
@@ -113,11 +177,63 @@ def test_grades_are_zero_filled(spark):
     assert {r.grade: r.n for r in got} == {"A": 2, "B": 0, "C": 0, "D": 0, "F": 0}
 
 
-def test_preselected_ignores_necessary(spark):
-    html = '<label for="n">Strictly necessary</label><input type="checkbox" id="n" checked>'
-    b = spark.createDataFrame([("a", True, True, 1, 1, "", html)], "domain string, found boolean, has_reject boolean, accept_clicks int, reject_clicks int, banner_text string, html string")
-    buttons = spark.createDataFrame([], "domain string, pos int, kind string, width string, height string, font_size string, font_weight string, color string, background string")
-    assert banner.dark_patterns(b, buttons).first().names == []
+def flags(spark, html, buttons=(), **banner_values):
+    b = {"domain": "a", "found": True, "has_reject": True, "accept_clicks": 1, "reject_clicks": 1, "banner_text": "", "html": html} | banner_values
+    df = spark.createDataFrame([tuple(b.values())], "domain string, found boolean, has_reject boolean, accept_clicks int, reject_clicks int, banner_text string, html string")
+    kinds = "domain string, pos int, kind string, width string, height string, font_size string, font_weight string, color string, background string, display string, visibility string"
+    return banner.dark_patterns(df, spark.createDataFrame([("a", i, *x) for i, x in enumerate(buttons)], kinds)).first()
+
+
+def test_detectors_on_markup_of_many_kinds(spark):
+    cases = [
+        ('<label for="n">Strictly necessary</label><input type="checkbox" id="n" checked>', []),
+        ("<LABEL FOR=m>Marketing</LABEL><INPUT ID=m TYPE=CheckBox CHECKED=checked>", ["preselected"]),
+        ("<p>Essential <input type='checkbox' checked></p><div><label>Ads<input type='checkbox' checked></label></div>", ["preselected"]),
+        ('<div><a class="link sr-only"><span>Reject</span> <i>all</i></a></div>', ["hidden_reject"]),
+        ('<button STYLE="color:red; DISPLAY : none">Ablehnen</button>', ["hidden_reject"]),
+        ('<button class="hidden">Accept all</button>', []),
+        ("<section id=Blocking-layer style='width: 100%'>x</section>", ["forced_action"]),
+        ("<main class=wall style='position:fixed'>x</main>", []),
+        ("<div class='page-blur' style='position : fixed'>x</div>", ["forced_action"]),
+        ("<div class='no-blur backdrop' style='position:fixed'>x</div>", []),
+        ("<p>We need <b>your</b> support.</p>", ["confusing"]), ("<p>We need her support.</p>", []), ("<p>We need\n your   support.</p>", ["confusing"]),
+        ("<script>var x = 'best experience'</script><p>ok</p>", []),
+        ("<button>Close</button>", ["confusing"]), ("<p>Ich will nicht ablehnen</p>", ["confusing"]),
+        ("<div><p>broken <b>markup <input type=checkbox checked", []),
+    ]
+    for html, want in cases:
+        got = flags(spark, html).names
+        assert got == want, (html, got)
+    assert flags(spark, "", found=False, has_reject=False, accept_clicks=999, reject_clicks=999).names == ["missing_reject"]
+    assert flags(spark, "", reject_clicks=999).names == ["missing_reject", "multi_layer"]
+    r = flags(spark, "", reject_clicks=3)
+    assert r.names == ["multi_layer"] and r.click_ratio == 3.0
+
+
+def test_hidden_by_style(spark):
+    base = ("reject", "100px", "40px", "16px", "400", "#333", "#fff", "block", "visible")
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(("kind", "width", "height", "font", "weight", "color", "background", "display", "visibility"), base))
+    assert flags(spark, "", [base]).names == []
+    for odd in (change(width="0px"), change(height="0"), change(color="#FFFFFF"), change(display="none"), change(visibility="hidden")):
+        assert flags(spark, "", [base, odd]).names == ["hidden_reject"], odd
+
+
+def test_buttons_of_all_kinds(spark):
+    html = "<BUTTON><span>Accept</span>\n all</BUTTON><a role=button>Reject</a><a href=x>Policy</a><input type=button value='Manage'><input type=text value=no><div role='button' aria-label=Close></div>"
+    got = banner.extract_buttons(spark.createDataFrame([("a", html)], "domain string, html string")).orderBy("pos").collect()
+    assert [(r.tag, r.label) for r in got] == [("button", "Accept all"), ("a", "Reject"), ("a", "Policy"), ("input", "Manage"), ("div", "Close")]
+
+
+def test_elements_in_the_jvm(spark):
+    html = """<A HREF='x"y' id=one CLASS = "b c">t</a><br/><img alt="a > b" src=pic.png id='two' ID="three">"""
+    got = banner.html_elements(spark.createDataFrame([(1, html)], "page_id int, html string"), "page_id", "html").orderBy("pos").collect()
+    assert [(r.tag, dict(r.attrs)) for r in got] == [("a", {"href": 'x"y', "id": "one", "class": "b c"}), ("br", {}), ("img", {"alt": "a > b", "src": "pic.png", "id": "two"})]
+
+
+def test_study_rules(spark):
+    effect = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate((9, 2, 3, 4, 1, 8))] + [(studies.NO_CMP, 50)], "cmp string, sites int")
+    assert sorted(r.cmp for r in studies.enough_sites(effect).collect()) == ["c0", "c2", "c3", "c5"]
+    assert studies.enough_sites(effect.where("cmp IN ('c1', 'c4')")).count() == 2
 
 
 def test_readers_and_writers(spark, tmp_path):
