@@ -204,7 +204,7 @@ def test_outliers(spark, docs, none):
 
 def test_mixing(spark, docs, none):
     fold = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1
-    got = mixing.score_texts(docs, fold, mix=F.col("doc_id") == 3).collect()
+    got = mixing.score_texts(docs, fold).collect()
     assert len(got) == len(ROWS) and all(np.isfinite(r.score) and r.score <= 0 and r.base_score <= 0 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 5)} == {1}
     assert len({r.score for r in got if r.doc_id == 4}) == 1
