@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="crumbtrail-")
         spark.conf.set("spark.checkpoint.dir", given)
