@@ -43,8 +43,9 @@ def folded(words: list[str]) -> list[str]:
 
 
 def null_like(v: Column) -> Column:
-    """Null for blank text and for what other tools write in place of a missing value."""
-    return F.when(~F.lower(F.trim(v)).isin("", "nan", "none", "null"), F.trim(v))
+    """Null for blank text and for ``nan`` in any case, which other tools write in place of a missing value."""
+    v = F.regexp_replace(v, r"^\s+|\s+$", "")
+    return F.when(~F.lower(v).isin("", "nan"), v)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -62,8 +63,9 @@ def words_per_sentence(text: Column) -> Column:
     return F.when(F.size(sentences) > 0, words / F.size(sentences))
 
 
-def double_negative(text: Column) -> Column:
-    return F.regexp_extract(text, "(?i)(" + "|".join(DOUBLE_NEGATIVES) + ")", 1)
+def double_negatives(text: Column) -> list[Column]:
+    """What each of the patterns finds first, or null."""
+    return [F.nullif(F.regexp_extract(text, f"(?i)({p})", 1), F.lit("")) for p in DOUBLE_NEGATIVES]
 
 
 def parse_px(v: Column) -> Column:

@@ -231,14 +231,14 @@ def forced_action(els: Column) -> Column:
     return one | F.exists(els, lambda e: e["tag"].isin("div", "section") & blur(e) & fixed(e))
 
 
-def suspicious_phrases(html: Column, els: Column) -> Column:
-    """D7: phrases that press or confuse, in order: guilt, double negatives, ambiguous labels."""
+def suspicious_phrases(html: Column, els: Column, vocabulary: list[tuple] = P.VOCABULARY) -> Column:
+    """D7: phrases that press or confuse, in order: guilt, each double negative, each ambiguous label."""
     text = F.lower(visible_text(html))
-    guilt = [F.when(F.contains(text, F.lit(p)), F.lit(f"guilt: {p}")) for p in P.GUILT]
-    twice = F.nullif(X.double_negative(text), F.lit(""))
-    vague = [w.lower() for a, _, words in P.VOCABULARY if a == "dismiss" for w in words]
-    labels = F.transform(F.filter(els, lambda e: e["tag"].isin("button", "a", "input") & F.lower(e["text"]).isin(vague)), lambda e: F.concat(F.lit("ambiguous: "), F.lower(e["text"])))
-    return F.concat(F.array_compact(F.array(*guilt, F.when(twice.isNotNull(), F.concat(F.lit("double negative: "), twice)))), labels)
+    guilt = [F.when(F.contains(text, F.lit(p)), F.lit(f"guilt-trip: '{p}'")) for p in P.GUILT]
+    twice = [F.when(x.isNotNull(), F.concat(F.lit("double-negative: '"), x, F.lit("'"))) for x in X.double_negatives(text)]
+    vague = [w.lower() for a, _, words in vocabulary if a == "dismiss" for w in words]
+    labels = F.transform(F.filter(els, lambda e: e["tag"].isin("button", "a", "input") & F.lower(e["text"]).isin(vague)), lambda e: F.concat(F.lit("ambiguous-button: '"), F.lower(e["text"]), F.lit("'")))
+    return F.concat(F.array_compact(F.array(*guilt, *twice)), labels)
 
 
 PATTERNS = ["asymmetric", "hidden_reject", "missing_reject", "preselected", "forced_action", "multi_layer", "confusing"]

@@ -186,7 +186,10 @@ def same_entity(requests: DataFrame, entities: DataFrame) -> DataFrame:
     return df.join(a, "d1", "left").join(b, "d2", "left").select("event_id", F.col("d1").alias("domain"), same.alias("same_party"))
 
 
-def strongest_action(hosts: DataFrame, actions: DataFrame) -> DataFrame:
-    """The highest action score on each host's chain of parents; 0 if none is known."""
-    chain = hosts.select("host").distinct().select("host", F.explode(D.parent_domains(F.col("host"))).alias("domain"))
-    return chain.join(actions, "domain", "left").groupBy("host").agg(F.coalesce(F.max("score"), F.lit(0)).alias("score"))
+def strongest_action(hosts: DataFrame, actions: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The highest action score on each host's chain of parents, no further than its base domain; 0 if none is known. A score
+    with ``own`` set counts for its own domain only."""
+    chain = D.explode_subdomains(hosts, suffixes).withColumnRenamed("parent", "domain")
+    rules = actions if "own" in actions.columns else actions.withColumn("own", F.lit(False))
+    counts = ~F.col("own") | (F.col("pos") == 0)
+    return chain.join(rules, "domain", "left").groupBy("host").agg(F.coalesce(F.max(F.when(counts, F.col("score"))), F.lit(0)).alias("score"))

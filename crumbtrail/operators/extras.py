@@ -29,13 +29,29 @@ def infer_from_toggles(total: Column, enabled: Column) -> Column:
     return F.when(total == 0, "unknown").when(enabled == 0, "reject").when(enabled == total, "accept").otherwise("settings")
 
 
+#: What may part the characters of an identifier and is left out, the character classes in the order in which
+#: they are tried, and the length beyond which one bit is reckoned for each unit.
+SEPARATORS = "._-x"
+CLASSES = {"01": 2, "0-9": 10, "a-f0-9": 16, "a-z": 26, "a-z0-9": 36, "a-zA-Z0-9/+": 64, "a-zA-Z0-9~%": 64}
+MAX_UNITS = 256
+
+
 def string_bits(s: Column) -> Column:
-    """Upper bound of a string's entropy: its length times the bits of the least character class that fits."""
-    size = (
-        F.when(s.rlike("^[01]+$"), 2).when(s.rlike("^[0-9]+$"), 10).when(s.rlike("^[0-9a-fA-F]+$"), 16).when(s.rlike("^[a-z]+$") | s.rlike("^[A-Z]+$"), 26)
-        .when(s.rlike("^[a-zA-Z]+$"), 52).when(s.rlike("^[a-zA-Z0-9]+$"), 62).otherwise(223)
-    )
-    return F.char_length(s) * F.log2(size.cast("double"))
+    """Upper bound of a string's entropy in bits: its length in UTF-16 units times the bits of the first class that all its
+    characters, separators aside, belong to; failing that, of the range that its units span. Case counts only in strings of both
+    cases. A long string has a bit for each unit. Null for the empty string."""
+    units = F.length(F.encode(s, "UTF-16BE")) / 2
+    one_case = (F.lower(s) == s) | (F.upper(s) == s)
+    t = F.when(one_case, F.lower(s)).otherwise(s)
+    code = F.transform(F.split(t, ""), lambda c: F.ascii(c))
+    above = lambda c: c > 0xFFFF
+    high = F.transform(code, lambda c: F.when(above(c), F.floor((c - 0x10000) / 1024).cast("int") + 0xD800).otherwise(c))
+    low = F.transform(code, lambda c: F.when(above(c), (c - 0x10000) % 1024 + 0xDC00).otherwise(c))
+    span = F.greatest(F.array_max(high), F.array_max(low)) - F.least(F.array_min(high), F.array_min(low)) + 1
+    size = span
+    for chars, n in reversed(CLASSES.items()):
+        size = F.when(t.rlike(f"^[{chars}._x-]*$"), n).otherwise(size)
+    return F.when(units > MAX_UNITS, units).when(s != "", F.log2(size.cast("double")) * units)
 
 
 def cookie_entropy(values: DataFrame, known: DataFrame, limit: float = 12.0) -> DataFrame:

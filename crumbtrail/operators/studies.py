@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crumbtrail.functions.text import safe_pct
+from crumbtrail.operators import asof
 
 NO_CMP = "No CMP Detected"
 
@@ -141,41 +142,64 @@ def richest_capture(captures: DataFrame, keys: list[str]) -> DataFrame:
     return captures.groupBy(*keys).agg(pick.alias("c")).select(*keys, "c.*")
 
 
+_US = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+_BY_TIME = ["ts", "event_id"]
+
+
 def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """Runs of a tab's events on one page with no longer pause than the gap; the batch form of the streaming audit."""
-    w = Window.partitionBy("tab").orderBy("ts", "event_id")
-    new = (F.lag("ts").over(w).isNull() | (F.col("ts") - F.lag("ts").over(w) > F.expr(f"INTERVAL {gap}")) | (F.lag("page").over(w) != F.col("page"))).cast("int")
-    df = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = asof.ordered(events, ["tab"], _BY_TIME)
+    df = asof.carried(df, ["tab"], _BY_TIME, F.struct("ts", "page"), "last")
+    new = F.col("last").isNull() | (F.col("ts") - F.col("last.ts") > F.expr(f"INTERVAL {gap}")) | (F.col("last.page") != F.col("page"))
+    df = asof.counted(df.withColumn("new", new.cast("int")), ["tab"], _BY_TIME, F.col("new"), "session")
     return df.groupBy("tab", "session").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"), F.count_if(F.col("kind") == "click").alias("clicks"), F.bool_or(F.col("kind") == "banner_seen").alias("armed"))
 
 
 def baseline_asof(events: DataFrame) -> DataFrame:
-    """For each click the last snapshot of its tab and page before it: one window over both, no range join."""
-    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    """For each click the last snapshot of its tab and page before it."""
+    keys = ["tab", "page"]
     shot = F.when(F.col("kind") == "snapshot", F.struct("event_id", "trackers", "third_parties", "cookies"))
-    df = events.where("kind IN ('click', 'snapshot')").withColumn("base", F.last(shot, ignorenulls=True).over(w))
+    df = asof.carried(asof.ordered(events.where("kind IN ('click', 'snapshot')"), keys, _BY_TIME), keys, _BY_TIME, shot, "base")
     return df.where("kind = 'click'").select("event_id", "ts", "tab", "page", "label", "trackers", "third_parties", "cookies", "base")
 
 
 def pending_actions(events: DataFrame, actions: DataFrame, window: float = 2.5) -> DataFrame:
     """Clicks whose action is believed because the banner was gone soon after: the next event of the tab and page, within the
     window, is a snapshot (which only pages without a banner give). Settings and unknown clicks are never pending."""
-    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id")
-    df = events.withColumns({"next_kind": F.lead("kind").over(w), "next_us": F.unix_micros(F.lead("ts").over(w).cast("timestamp"))})
+    keys = ["tab", "page"]
+    df = asof.carried(asof.ordered(events, keys, _BY_TIME), keys, _BY_TIME, F.struct("kind", _US("ts").alias("us")), "next", ahead=True)
     clicks = df.where("kind = 'click'").join(actions, "label").where(~F.col("action").isin("settings", "unknown"))
-    soon = (F.col("next_kind") == "snapshot") & (F.col("next_us") - F.unix_micros(F.col("ts").cast("timestamp")) <= int(window * 1e6))
+    soon = (F.col("next.kind") == "snapshot") & (F.col("next.us") - _US("ts") <= int(window * 1e6))
     return clicks.select("event_id", "tab", "page", "action", F.coalesce(soon, F.lit(False)).alias("promoted"))
 
 
+def promotions(events: DataFrame, window: float = 2.5) -> DataFrame:
+    """For each hidden page or banner (kind ``hide``) the action that is believed because of it: the choice last confirmed
+    (kind ``confirm``) since the one before and within the window, or else the last press (kind ``press``) of a button that
+    decides. The batch form of streaming.timed.pending. events: event_id, ts, tab, page, kind, action."""
+    keys = ["tab", "page"]
+    df = asof.ordered(events, keys, _BY_TIME)
+    own = F.struct(_US("ts").alias("us"), F.col("event_id").alias("id"), F.coalesce("action", F.lit("unknown")).alias("action"))
+    decides = ~F.coalesce("action", F.lit("unknown")).isin("settings", "unknown")
+    for name, what in (("hidden", F.col("kind") == "hide"), ("inferred", F.col("kind") == "confirm"), ("pressed", (F.col("kind") == "press") & decides)):
+        df = asof.carried(df, keys, _BY_TIME, F.when(what, own), name)
+    since = lambda c: F.col("hidden").isNull() | (F.struct(F.col(f"{c}.us"), F.col(f"{c}.id")) > F.struct("hidden.us", "hidden.id"))
+    fresh = lambda c: F.coalesce((_US("ts") - F.col(f"{c}.us") <= int(window * 1e6)) & since(c), F.lit(False))
+    pick = lambda f: F.when(fresh("inferred"), f("inferred")).when(fresh("pressed"), f("pressed"))
+    names = {"inferred": "confirm", "pressed": "press"}
+    return df.where("kind = 'hide'").select(
+        "tab", "page", "event_id", pick(lambda c: F.col(f"{c}.id")).alias("source_id"), pick(lambda c: F.lit(names[c])).alias("source"), pick(lambda c: F.col(f"{c}.action")).alias("action")
+    )
+
+
 def armed_outcomes(events: DataFrame, timeout: float = 120.0) -> DataFrame:
     """For each sight of a banner what became of the watch that it armed: the first click of the tab and page within the
     timeout completes it, otherwise it is cleared."""
-    w = Window.partitionBy("tab", "page").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    click = F.when(F.col("kind") == "click", F.struct("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
-    df = events.where("kind IN ('click', 'banner_seen')").withColumn("next", F.first(click, ignorenulls=True).over(w)).where("kind = 'banner_seen'")
-    late = F.col("next.us") - F.unix_micros(F.col("ts").cast("timestamp"))
-    hit = F.coalesce(late <= int(timeout * 1e6), F.lit(False))
-    return df.select("event_id", "tab", "page", F.when(hit, F.col("next.event_id")).alias("click"), F.when(hit, "completed").otherwise("cleared").alias("status"))
+    keys = ["tab", "page"]
+    click = F.when(F.col("kind") == "click", F.struct("event_id", _US("ts").alias("us")))
+    df = asof.carried(asof.ordered(events.where("kind IN ('click', 'banner_seen')"), keys, _BY_TIME), keys, _BY_TIME, click, "next", ahead=True)
+    hit = F.coalesce(F.col("next.us") - _US("ts") <= int(timeout * 1e6), F.lit(False))
+    return df.where("kind = 'banner_seen'").select("event_id", "tab", "page", F.when(hit, F.col("next.event_id")).alias("click"), F.when(hit, "completed").otherwise("cleared").alias("status"))
 
 
 def captures_after(events: DataFrame, within: float = 3.0, slot: int = 3600) -> DataFrame:

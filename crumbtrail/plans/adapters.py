@@ -109,6 +109,19 @@ SQL: dict[str, str] = {
                CASE e.event_type WHEN 'view' THEN 'banner_seen' WHEN 'click' THEN 'click' WHEN 'signup' THEN 'click' WHEN 'purchase' THEN 'snapshot' ELSE 'navigate' END AS kind,
                e.k % 9 AS trackers, e.k % 13 AS third_parties, e.k AS cookies, CASE WHEN e.k % 7 = 3 THEN 1 ELSE 0 END AS new_trackers, e.k % 4 AS other_cookies, e.k % 3 AS plain_cookies
         FROM (SELECT event_id, ts, user_id, event_type, CAST(substr(props, 7, length(props) - 7) AS int) AS k FROM events) e JOIN label_pool l ON l.i = e.k % 24""",
+    "a_arrivals": """
+        SELECT e.*, datediff(DAY, TIMESTAMP '2000-01-01 00:00:00', e.ts) DIV 5 + CASE WHEN e.cookies % 10 = 3 THEN 1 ELSE 0 END AS arrival FROM a_interactions e""",
+    # What a browser sees around each click: a press and sometimes a confirmed choice before the page or banner goes, and three
+    # snapshots in the seconds after it. arrival: in which delivery a row comes; one row in ten comes one delivery late.
+    "a_presses": """
+        SELECT e.event_id * 4 + o.i AS event_id, e.ts + INTERVAL 100 MILLISECOND * (CASE o.i WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE e.cookies % 45 END) AS ts, e.tab, e.page,
+               CASE o.i WHEN 0 THEN 'press' WHEN 1 THEN 'confirm' ELSE 'hide' END AS kind, CASE WHEN o.i = 0 THEN e.label END AS label,
+               CASE WHEN o.i = 1 THEN CASE e.cookies % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'settings' ELSE 'unknown' END END AS inferred, e.arrival
+        FROM a_arrivals e CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(i)) o WHERE e.kind = 'click' AND (o.i <> 1 OR e.cookies % 3 = 0)""",
+    "a_captures": """
+        SELECT e.event_id * 4 + o.i AS event_id, e.event_id AS click, e.ts + INTERVAL 100 MILLISECOND * (5 + 12 * o.i + (e.cookies % 3) * 4) AS ts, e.tab, e.page,
+               (e.trackers + o.i * e.third_parties) % 9 AS trackers, (e.third_parties + o.i) % 13 AS third_parties, e.cookies + o.i AS cookies, e.arrival
+        FROM a_arrivals e CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(i)) o WHERE e.kind = 'click'""",
 }
 _SOURCES = ("events", "customer", "nation", "region")
 
@@ -135,5 +148,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """Oracle SQL with all adapters as CTEs in front of it."""
-    parts = [f"{n} AS ({q.replace('AS string)', 'AS varchar)')})" for n, q in SQL.items()]
+    dialect = lambda q: q.replace("AS string)", "AS varchar)").replace(" DIV ", " // ").replace("datediff(DAY", "datediff('day'")
+    parts = [f"{n} AS ({dialect(q)})" for n, q in SQL.items()]
     return "WITH " + ",\n".join(parts) + (",\n" + sql.strip()[5:] if sql.strip()[:5].upper() == "WITH " else "\n" + sql)

@@ -92,11 +92,27 @@ def cookie_entropy(s, d):
     return extras.cookie_entropy(values, s.sql(P.values(_KNOWN, "value, bits")))
 
 
-@query("""SELECT page_id, round(length(p) * log2(CASE WHEN regexp_matches(p, '^[01]+$') THEN 2 WHEN regexp_matches(p, '^[0-9]+$') THEN 10 WHEN regexp_matches(p, '^[0-9a-fA-F]+$') THEN 16
-  WHEN regexp_matches(p, '^[a-z]+$') OR regexp_matches(p, '^[A-Z]+$') THEN 26 WHEN regexp_matches(p, '^[a-zA-Z]+$') THEN 52 WHEN regexp_matches(p, '^[a-zA-Z0-9]+$') THEN 62 ELSE 223 END), 6) AS bits
-  FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS p FROM pages) x""")
+#: Strings of all kinds: words and whole texts of documents, names of cookies, addresses of pages and their last parts.
+_STRINGS = """SELECT DISTINCT v FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS v FROM documents UNION ALL SELECT text FROM documents UNION ALL SELECT name FROM a_cookies
+  UNION ALL SELECT url FROM pages UNION ALL SELECT regexp_extract(url, '([^/]*)$', 1) FROM pages UNION ALL SELECT concat(CAST(event_id * 7919 AS VARCHAR), '.', CAST(k AS VARCHAR)) FROM a_requests) x WHERE v <> ''"""
+
+
+@query(duck(f"""WITH v AS ({_STRINGS}), u AS (SELECT v, CASE WHEN lower(v) = v OR upper(v) = v THEN lower(v) ELSE v END AS t, length(v) + length(regexp_replace(v, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units FROM v),
+    c AS (SELECT *, flatten(list_transform(CASE WHEN units <= 256 THEN string_split(t, '') END, lambda x: CASE WHEN ord(x) > 65535 THEN [55296 + (ord(x) - 65536) // 1024, 56320 + (ord(x) - 65536) % 1024] ELSE [ord(x)] END)) AS codes FROM u),
+    z AS (SELECT *, CASE WHEN regexp_full_match(t, '[-._x01]*') THEN 2 WHEN regexp_full_match(t, '[-._x0123456789]*') THEN 10 WHEN regexp_full_match(t, '[-._xabcdef0123456789]*') THEN 16 WHEN regexp_full_match(t, '[-._a-z]*') THEN 26
+      WHEN regexp_full_match(t, '[-._a-z0-9]*') THEN 36 WHEN regexp_full_match(t, '[-._a-zA-Z0-9/+]*') OR regexp_full_match(t, '[-._a-zA-Z0-9~%]*') THEN 64 ELSE list_max(codes) - list_min(codes) + 1 END AS n FROM c)
+  SELECT md5(v) AS h, round(CASE WHEN units > 256 THEN units ELSE log2(n) * units END, 6) AS bits FROM z"""))
 def string_entropy(s, d):
-    return load(s, d, "pages").select("page_id", F.round(extras.string_bits(F.regexp_extract("url", "([^/]*)$", 1)), 6).alias("bits"))
+    """The most entropy that each string can have."""
+    docs, pages, asked = load(s, d, "documents"), load(s, d, "pages"), load(s, d, "a_requests")
+    parts = [
+        docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("v")), docs.select(F.col("text").alias("v")), load(s, d, "a_cookies").select(F.col("name").alias("v")),
+        pages.select(F.col("url").alias("v")), pages.select(F.regexp_extract("url", "([^/]*)$", 1).alias("v")), asked.select(F.concat_ws(".", (F.col("event_id") * 7919).cast("string"), F.col("k").cast("string")).alias("v")),
+    ]
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.unionByName(other)
+    return every.where("v <> ''").distinct().select(F.md5("v").alias("h"), F.round(extras.string_bits(F.col("v")), 6).alias("bits"))
 
 
 @query(duck("""WITH b AS (SELECT avg(tracker_domains) AS b FROM a_pet_runs WHERE pet = 'none') SELECT pet, round(100 * avg(tracker_domains) / any_value(b), 6) AS remaining, round(100 * coalesce(stddev_samp(tracker_domains), 0) / sqrt(count(*)) / any_value(b), 6) AS error FROM a_pet_runs, b GROUP BY pet"""))
@@ -195,7 +211,7 @@ def _stream(s, d, end: bool):
     path = new_folder(s, "stream")
     events = load(s, d, "a_interactions").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "tab", "page", "label", "kind")
     (audit.ended(events) if end else events).write.parquet(f"{path}/in")
-    return s.readStream.schema(audit.EVENTS).parquet(f"{path}/in"), path
+    return audit.read_events(s, f"{path}/in", audit.EVENTS, files=64), path
 
 
 @query(duck("""WITH m AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 10 MINUTES OR lag(page) OVER w <> page THEN 1 ELSE 0 END AS new FROM a_interactions WINDOW w AS (PARTITION BY tab ORDER BY ts, event_id)),

@@ -122,14 +122,38 @@ def url_host_page_key(s, d):
 _PARTS = "string_split(host, '.')"
 
 
-@query(duck(f"""WITH h AS (SELECT DISTINCT host FROM a_requests)
-  SELECT host, CAST(i - 1 AS INT) AS pos, array_to_string({_PARTS}[i:], '.') AS parent FROM h, LATERAL (SELECT unnest(range(1, greatest(len({_PARTS}), 2))) AS i) x"""))
+_SUFFIXES = [("com",), ("net",), ("io",), ("org",), ("uk",), ("co.uk",), ("gov.uk",), ("*.city.gov.uk",), ("!maps.city.gov.uk",)]
+
+#: Hosts of requests, and the addresses that documents mention. Their endings meet the rules; the base domain has the labels
+#: of the rule that counts and one more, or two without a rule.
+_BASE_DOMAINS = f"""rules AS ({P.values(_SUFFIXES, "suffix")}),
+  hosts AS (SELECT DISTINCT host FROM a_requests UNION SELECT unnest(regexp_extract_all(text, '[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}')) FROM documents),
+  ends AS (SELECT host, len({_PARTS}) AS n, unnest(range(1, len({_PARTS}) + 1)) AS i FROM hosts),
+  fits AS (SELECT host, n, CASE WHEN suffix[1] = '!' THEN n - i ELSE n - i + 1 END AS labels, suffix[1] = '!' AS exempt FROM ends JOIN rules
+    ON suffix = array_to_string({_PARTS}[i:], '.') OR suffix = '!' || array_to_string({_PARTS}[i:], '.') OR suffix = '*.' || array_to_string({_PARTS}[i + 1:], '.')),
+  counts AS (SELECT host, arg_max(labels, (exempt, labels)) AS labels FROM fits GROUP BY host),
+  bases AS (SELECT h.host, len({_PARTS.replace("host", "h.host")}) AS n, CASE WHEN regexp_full_match(h.host, '[0-9.]+') THEN 4 ELSE least(coalesce(labels, 1) + 1, len({_PARTS.replace("host", "h.host")})) END AS base FROM hosts h LEFT JOIN counts c ON c.host = h.host)"""
+
+
+def _chain_sql(last: str) -> str:
+    return duck(f"WITH {_BASE_DOMAINS}, steps AS (SELECT host, unnest(range(0, n - {last} + 1)) AS pos FROM bases) SELECT host, CAST(pos AS INT) AS pos, array_to_string({_PARTS}[pos + 1:], '.') AS parent FROM steps")
+
+
+def _hosts(s, d):
+    asked = load(s, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.lit(0))).alias("host"))
+    return load(s, d, "a_requests").select("host").unionByName(asked).distinct()
+
+
+@query(_chain_sql("base"))
 def explode_subdomains(s, d):
-    """Each host with its parents, down to two labels."""
-    return load(s, d, "a_requests").select("host").distinct().select("host", F.posexplode(D.parent_domains(F.col("host"))).alias("pos", "parent"))
+    """Each host with its parents, down to its base domain: never to a public suffix, and an address has no parents."""
+    return D.explode_subdomains(_hosts(s, d), s.createDataFrame(_SUFFIXES, "suffix string"))
 
 
-_SUFFIXES = [("com",), ("net",), ("io",), ("org",), ("uk",), ("co.uk",), ("gov.uk",), ("*.city.gov.uk",), ("!maps.city.gov.uk",)]
+@query(_chain_sql("1"))
+def explode_subdomains_whole(s, d):
+    """Each host with its parents, down to its last label."""
+    return D.explode_subdomains(_hosts(s, d), s.createDataFrame(_SUFFIXES, "suffix string"), whole=True)
 
 
 @query(duck(f"""WITH h AS (SELECT DISTINCT host FROM a_requests) SELECT host, CASE WHEN ends_with(host, '.city.gov.uk') THEN 'maps.city.gov.uk'
@@ -251,13 +275,16 @@ def entity_third_party(s, d):
     return classify.same_entity(load(s, d, "a_requests"), s.sql(P.values(P.ENTITIES, "domain, owner")))
 
 
-_ACTIONS = [("doubleclick.net", 3), ("g.doubleclick.net", 1), ("facebook.net", 2), ("static.criteo.com", 1)]
+#: domain, score, whether it counts for that domain alone.
+_ACTIONS = [("doubleclick.net", 3, 0), ("g.doubleclick.net", 1, 0), ("facebook.net", 2, 0), ("static.criteo.com", 1, 0), ("co.uk", 5, 0), ("com", 5, 0), ("newsroom.co.uk", 2, 0), ("stats.newsroom.co.uk", 4, 1), ("shopfront.com", 4, 1)]
 
 
-@query(duck(f"""WITH act AS ({P.values(_ACTIONS, 'domain, score')}) SELECT host, coalesce(max(score), 0) AS score
-  FROM (SELECT DISTINCT host FROM a_requests) h LEFT JOIN act ON host = domain OR ends_with(host, '.' || domain) GROUP BY host"""))
+@query(duck(f"""WITH {_BASE_DOMAINS}, act AS ({P.values(_ACTIONS, 'domain, score, own')}) SELECT b.host, coalesce(max(score), 0) AS score
+  FROM bases b LEFT JOIN act ON host = domain OR (own = 0 AND ends_with(host, '.' || domain) AND len(string_split(domain, '.')) >= base) GROUP BY b.host"""))
 def best_action(s, d):
-    return classify.strongest_action(load(s, d, "a_requests"), s.sql(P.values(_ACTIONS, "domain, score")))
+    """The strongest action on each host's chain; what is said of a public suffix does not count."""
+    actions = s.sql(P.values(_ACTIONS, "domain, score, own")).withColumn("own", F.col("own") == 1)
+    return classify.strongest_action(_hosts(s, d), actions, s.createDataFrame(_SUFFIXES, "suffix string"))
 
 
 # Banners and dark patterns.
@@ -322,6 +349,25 @@ def dark_pattern_report(s, d):
     return patterns(s, d).drop("names", "boxes", "phrases")
 
 
+#: Sentences with several double negatives, which a third of the banners get.
+_TWICE = "Don''t decline it, DON''T REFUSE it. Nicht  ablehnen! I do not want to not."
+_PRESSED = f"""b AS (SELECT domain, template, html || CASE WHEN site_id % 3 = 1 THEN '<p>{_TWICE}</p>' ELSE '' END AS html FROM a_banners WHERE found),
+  t AS (SELECT domain, template, lower(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM b),
+  terms AS ({P.values(list(enumerate(P.GUILT)), "i, term")}), twice AS ({P.values(list(enumerate(P.DOUBLE_NEGATIVES)), "i, pattern")}),
+  vague AS (SELECT * FROM ({P.values(EXPECTED_BUTTONS, "template, pos, tag, id, label")}) x WHERE tag <> 'span' AND tag <> 'input' AND lower(label) IN (SELECT raw FROM ({P.values([(w,) for a, _, words in P.VOCABULARY if a == 'dismiss' for w in words], 'raw')}) v)),
+  found_ AS (SELECT domain, 1 AS k, i, 'guilt-trip: ''' || term || '''' AS phrase FROM t JOIN terms ON contains(t, term)
+    UNION ALL SELECT domain, 2, i, 'double-negative: ''' || regexp_extract(t, '(?i)' || pattern, 0) || '''' FROM t JOIN twice ON regexp_matches(t, '(?i)' || pattern)
+    UNION ALL SELECT domain, 3, pos, 'ambiguous-button: ''' || lower(label) || '''' FROM t JOIN vague USING (template))"""
+
+
+@query(duck(f"WITH {_PRESSED} SELECT t.domain, coalesce(string_agg(phrase, '; ' ORDER BY k, i), '') AS phrases, count(phrase) AS n FROM t LEFT JOIN found_ f ON f.domain = t.domain GROUP BY t.domain"))
+def confusing_language(s, d):
+    """Every phrase that presses or confuses, of each kind."""
+    df = load(s, d, "a_banners").where("found").withColumn("html", F.concat("html", F.when(F.col("site_id") % 3 == 1, "<p>" + _TWICE.replace("''", "'") + "</p>").otherwise("")))
+    phrases = B.suspicious_phrases(F.col("html"), B.elements(F.col("html")))
+    return df.select("domain", phrases.alias("p")).select("domain", F.array_join("p", "; ").alias("phrases"), F.size("p").cast("bigint").alias("n"))
+
+
 # Scores and metrics.
 @query(O.after("scores", "SELECT * FROM o_scores"))
 def site_scores(s, d):

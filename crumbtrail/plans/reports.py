@@ -54,9 +54,13 @@ def labels_in_order(s, d):
     return extras.ordered_distinct(load(s, d, "a_interactions"), "label", "event_id")
 
 
-@query(duck("SELECT event_id, nullif(nullif(nullif(nullif(trim(label), ''), 'nan'), 'None'), 'null') AS label FROM a_interactions"))
+_ODD = "CASE cookies % 7 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN 'null' WHEN 3 THEN '   ' WHEN 4 THEN 'nan' WHEN 5 THEN ' nano' ELSE label END"
+
+
+@query(duck(f"WITH o AS (SELECT event_id, {_ODD} AS v FROM a_interactions) SELECT event_id, CASE WHEN trim(v) = '' OR trim(lower(v)) = 'nan' THEN NULL ELSE trim(v) END AS label FROM o"))
 def null_like_labels(s, d):
-    return load(s, d, "a_interactions").select("event_id", X.null_like(F.col("label")).alias("label"))
+    """Blank values and nan of any case are null; the words none and null stay."""
+    return load(s, d, "a_interactions").select("event_id", X.null_like(F.expr(_ODD)).alias("label"))
 
 
 # Banners.

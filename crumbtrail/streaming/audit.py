@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crumbtrail.functions import domains as D
+from crumbtrail.streaming.timed import use_rocksdb
 
 EVENTS = "event_id long, ts timestamp, tab long, page string, label string, kind string"
 SESSION = "tab long, page string, first_event long, n long, clicks long, armed boolean, completed boolean"
@@ -107,19 +108,11 @@ def learned_trackers(requests: DataFrame, at_least: int = 3) -> DataFrame:
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame:
-    """Appends the rows whose key the table at path does not hold yet, batch after batch; of equal keys in a batch one."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
-        new.write.mode("append").parquet(path)
-
-    q = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    """Appends the rows whose key no delivery has had yet; of equal keys in a trigger one. The keys are state, looked up for
+    the rows of a trigger alone, so what a trigger reads is its delivery and not the table. A table that was made otherwise
+    goes through as a first delivery."""
+    use_rocksdb(stream.sparkSession)
+    return run_to_table(stream.dropDuplicates([key]), path, checkpoint)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
