@@ -110,7 +110,7 @@ SQL: dict[str, str] = {
                e.k % 9 AS trackers, e.k % 13 AS third_parties, e.k AS cookies, CASE WHEN e.k % 7 = 3 THEN 1 ELSE 0 END AS new_trackers, e.k % 4 AS other_cookies, e.k % 3 AS plain_cookies
         FROM (SELECT event_id, ts, user_id, event_type, CAST(substr(props, 7, length(props) - 7) AS int) AS k FROM events) e JOIN label_pool l ON l.i = e.k % 24""",
     "a_arrivals": """
-        SELECT e.*, datediff(DAY, TIMESTAMP '2000-01-01 00:00:00', e.ts) DIV 5 + CASE WHEN e.cookies % 10 = 3 THEN 1 ELSE 0 END AS arrival FROM a_interactions e""",
+        SELECT e.*, datediff(DAY, TIMESTAMP '2000-01-01 00:00:00', e.ts) DIV 10 + CASE WHEN e.cookies % 10 = 3 THEN 1 ELSE 0 END AS arrival FROM a_interactions e""",
     # What a browser sees around each click: a press and sometimes a confirmed choice before the page or banner goes, and three
     # snapshots in the seconds after it. arrival: in which delivery a row comes; one row in ten comes one delivery late.
     "a_presses": """

@@ -11,8 +11,8 @@ from crumbtrail.plans.queries import query
 from crumbtrail.plans.store import new_folder
 from crumbtrail.streaming import audit, timed
 
-#: Deliveries hold five days each, and a row may come one delivery late.
-_DELAY = "11 days"
+#: Deliveries hold ten days each, and a row may come one delivery late.
+_DELAY = "21 days"
 
 
 def _deliver(s, events, arrival="arrival"):

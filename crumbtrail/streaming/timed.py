@@ -72,18 +72,18 @@ class _InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = set()
+        first = None
         for pdf in rows:
             # Batch by batch: a trigger's rows of one key are never one frame.
             us = _us(pdf["ts"])
             self.waiting.appendList(list(zip(pdf["event_id"].tolist(), us.tolist(), pdf["kind"].tolist(), pdf["value"].tolist())))
-            at |= set((us // 1000 + 1).tolist())
-        for ms in at:
-            self.handle.registerTimer(ms)
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # All that the watermark has passed is there, not only what this timer stands for; the others then find nothing left.
+        # All that the watermark has passed is there, not only what this timer stands for.
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         due, later = sorted((r for r in rows if r[1] < now), key=lambda r: (r[1], r[0])), [r for r in rows if r[1] >= now]
@@ -95,9 +95,10 @@ class _InOrder(StatefulProcessor):
         out += self.expire(open_, now)
         for state, left in ((self.waiting, later), (self.open, open_)):
             state.put(left) if left else state.clear()
-        # Entries end at their deadline, whether or not anything else comes.
-        for entry in open_:
-            self.handle.registerTimer((entry[1] + self.deadline) // 1000 + 1)
+        # One timer for what is next: a row to fold, or an entry at its deadline, whether or not anything else comes.
+        ahead = [r[1] for r in later] + [x[1] + self.deadline for x in open_]
+        if ahead:
+            self.handle.registerTimer(min(ahead) // 1000 + 1)
         if out:
             yield pd.DataFrame([(*key, *x) for x in out], columns=self.columns)
 
