@@ -196,6 +196,21 @@ def asymmetric(pair: DataFrame) -> DataFrame:
     return df.select("domain", *measures, F.coalesce(both & flag, F.lit(False)).alias("d1"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
 
 
+def compare_previews(previews: DataFrame) -> DataFrame:
+    """(domain, source, issues) for each site with a button to accept. previews: domain, role (accept, reject, settings; at most one
+    of each), width, height, font_size, font_weight, plain_link, clicks. Without a button to refuse, that to the settings stands for it."""
+    from crumbtrail.functions import labels as L
+
+    own = F.struct("width", "height", "font_size", "font_weight", "plain_link", "clicks")
+    per = previews.groupBy("domain").agg(*[F.max(F.when(F.col("role") == r, own)).alias(r) for r in ("accept", "reject", "settings")]).where("accept IS NOT NULL")
+    df = per.withColumn("source", L.reject_source(F.col("reject").isNotNull(), F.col("settings").isNotNull())).withColumn("other", F.coalesce("reject", "settings"))
+    area = lambda b: F.col(f"{b}.width") * F.col(f"{b}.height")
+    size = F.when((area("accept") > 0) & (area("other") > 0), area("other") / area("accept"))
+    font = F.when(F.col("accept.font_size") > 0, F.col("other.font_size") / F.col("accept.font_size"))
+    issues = L.button_issues(F.col("source"), F.col("settings.clicks"), size, font, F.col("accept.font_weight") - F.col("other.font_weight"), F.col("other.plain_link"))
+    return df.select("domain", "source", issues.alias("issues"))
+
+
 def _squeezed(e: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(F.element_at(e["attrs"], F.lit("style")), F.lit(""))), " ", "")
 

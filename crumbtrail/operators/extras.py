@@ -68,12 +68,29 @@ def relative_to_baseline(runs: DataFrame, baseline: str = "none") -> DataFrame:
     return per.crossJoin(F.broadcast(base)).select("pet", (100 * F.col("m") / F.col("b")).alias("remaining"), (100 * F.col("sd") / F.sqrt("n") / F.col("b")).alias("error"))
 
 
-def findings(pets: DataFrame, cmps: DataFrame) -> DataFrame:
-    """Best and worst of two rankings, as sentences."""
-    say = lambda df, name, what: df.agg(F.min_by(name, "rank").alias("best"), F.max_by(name, "rank").alias("worst")).select(
-        F.lit(what).alias("kind"), F.format_string("%s does best and %s worst.", "best", "worst").alias("finding")
+def findings(pets: DataFrame, cmps: DataFrame, combos: DataFrame, budget: DataFrame) -> DataFrame:
+    """What follows from the rankings, as rows (place, kind, name, other, value, advice): the best tool and the next one, the best
+    platform and the one to be careful with, the best pair of both, and the budget for publication. A row is left out where there is
+    nothing to name. pets: pet, request_cut, rank; cmps: cmp, pet_score, rank; combos: pet, cmp, combined; budget: epsilon."""
+    last = cmps.agg(F.max_by("cmp", "rank").alias("cmp"), F.max("rank").alias("rank")).join(cmps.select("cmp", "pet_score"), "cmp").where("rank > 1")
+    top = combos.orderBy(F.desc("combined"), "pet", "cmp").limit(1)
+    none = F.lit(None).cast("string")
+    row = lambda df, place, kind, name, other, value, say: df.select(
+        F.lit(place).alias("place"), F.lit(kind).alias("kind"), name.alias("name"), other.alias("other"), value.cast("double").alias("value"), say.alias("advice")
     )
-    return say(pets, "pet", "tool").unionByName(say(cmps, "cmp", "platform"))
+    pct = lambda c: F.format_string("%.1f", c)
+    parts = [
+        row(pets.where("rank = 1"), 1, "best_tool", F.col("pet"), none, F.col("request_cut"), F.concat(F.col("pet"), F.lit(" keeps most requests away: "), pct("request_cut"), F.lit(" % on average."))),
+        row(pets.where("rank = 2"), 2, "next_tool", F.col("pet"), none, F.col("request_cut"), F.concat(F.col("pet"), F.lit(" comes next with "), pct("request_cut"), F.lit(" %."))),
+        row(cmps.where("rank = 1"), 3, "best_platform", F.col("cmp"), none, F.col("pet_score"), F.concat(F.lit("A refusal works best with "), F.col("cmp"), F.lit(" ("), pct("pet_score"), F.lit(" points)."))),
+        row(last, 4, "caution_platform", F.col("cmp"), none, F.col("pet_score"), F.concat(F.lit("A refusal is worth least with "), F.col("cmp"), F.lit(" ("), pct("pet_score"), F.lit(" points)."))),
+        row(top, 5, "best_pair", F.col("pet"), F.col("cmp"), F.col("combined"), F.concat(F.col("pet"), F.lit(" on sites with "), F.col("cmp"), F.lit(" does most: "), pct("combined"), F.lit(" % by estimate."))),
+        row(budget, 6, "budget", none, none, F.col("epsilon"), F.concat(F.lit("Publish figures with a budget of "), pct("epsilon"), F.lit("."))),
+    ]
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def state_means(sites: DataFrame, states: DataFrame) -> DataFrame:

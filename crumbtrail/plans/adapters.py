@@ -137,13 +137,17 @@ def _make(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
+#: Tables with a row for each site, which reports join by it.
+_BUCKETED = {"a_sites": "domain", "a_banners": "domain"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A canonical table, written at its first use, or a source table itself."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not name.startswith("a_"):
         return spark.sql(SQL[name])
-    return once(spark, sf_dir, name, lambda: _make(spark, sf_dir, name))
+    return once(spark, sf_dir, name, lambda: _make(spark, sf_dir, name), by=_BUCKETED.get(name))
 
 
 def duck(sql: str) -> str:

@@ -120,10 +120,17 @@ def pet_relative_to_baseline(s, d):
     return extras.relative_to_baseline(load(s, d, "a_pet_runs")).withColumns({c: F.round(c, 6) for c in ("remaining", "error")})
 
 
-@query(O.after("scores", f"""WITH {Q._RANKED}, {Q._PET}, p AS (SELECT pet AS k, row_number() OVER (ORDER BY round(request_cut, 6) DESC NULLS LAST, pet) AS r FROM o_pet), c AS (SELECT cmp AS k, row_number() OVER (ORDER BY pet_score DESC, cmp) AS r FROM o_rank)
-  SELECT 'tool' AS kind, min_by(k, r) || ' does best and ' || max_by(k, r) || ' worst.' AS finding FROM p UNION ALL SELECT 'platform', min_by(k, r) || ' does best and ' || max_by(k, r) || ' worst.' FROM c"""))
+@query(O.after("scores", f"""WITH {Q._RECOMMEND}, {Q._RANKED}, {Q._PET}, p AS (SELECT pet, round(request_cut, 6) AS v, row_number() OVER (ORDER BY round(request_cut, 6) DESC NULLS LAST, pet) AS r FROM o_pet), c AS (SELECT cmp, pet_score AS v, row_number() OVER (ORDER BY pet_score DESC, cmp) AS r, count(*) OVER () AS n FROM o_rank),
+  b AS (SELECT pet, cmp, round(100 * (1 - (1 - greatest(coalesce(request_cut, 0), 0) / 100) * (1 - pet_score / 100)), 6) AS v FROM o_pet, o_rank ORDER BY v DESC, pet, cmp LIMIT 1)
+  SELECT 1 AS place, 'best_tool' AS kind, pet AS name, NULL AS other, v AS value, pet || ' keeps most requests away: ' || printf('%.1f', v) || ' % on average.' AS advice FROM p WHERE r = 1
+  UNION ALL SELECT 2, 'next_tool', pet, NULL, v, pet || ' comes next with ' || printf('%.1f', v) || ' %.' FROM p WHERE r = 2
+  UNION ALL SELECT 3, 'best_platform', cmp, NULL, v, 'A refusal works best with ' || cmp || ' (' || printf('%.1f', v) || ' points).' FROM c WHERE r = 1
+  UNION ALL SELECT 4, 'caution_platform', cmp, NULL, v, 'A refusal is worth least with ' || cmp || ' (' || printf('%.1f', v) || ' points).' FROM c WHERE r = n AND n > 1
+  UNION ALL SELECT 5, 'best_pair', pet, cmp, v, pet || ' on sites with ' || cmp || ' does most: ' || printf('%.1f', v) || ' % by estimate.' FROM b
+  UNION ALL SELECT 6, 'budget', NULL, NULL, epsilon, 'Publish figures with a budget of ' || printf('%.1f', epsilon) || '.' FROM o_best"""))
 def pet_recommendations(s, d):
-    return extras.findings(studies.pet_ranking(studies.pet_baseline(load(s, d, "a_pet_runs"))), studies.cmp_ranking(Q.effect(s, d)))
+    stats, platforms = studies.pet_baseline(load(s, d, "a_pet_runs")), studies.cmp_ranking(Q.effect(s, d))
+    return extras.findings(studies.pet_ranking(stats), platforms, studies.pet_cmp_combos(stats, platforms, 1), privacy.recommend_epsilon(Q.dp_stats(s, d)))
 
 
 @query(O.after("signals", "SELECT coalesce(category, 'Unknown') AS category, round(avg(n_pre), 6) AS pre, round(avg(coalesce(n_accept, n_pre)), 6) AS accept, round(avg(coalesce(n_reject, n_pre)), 6) AS reject FROM a_sites JOIN o_states ON site = domain WHERE success GROUP BY 1"))
@@ -271,11 +278,25 @@ def scan_quality(s, d):
     return load(s, d, "a_banners").withColumn("has_settings", F.contains("html", F.lit('id="s"'))).select("domain", L.scan_quality().alias("quality"))
 
 
-@query(O.after("d1", """SELECT domain, CASE WHEN size_ratio IS NULL THEN 'no reject button' ELSE concat_ws('; ', CASE WHEN size_ratio < 0.7 THEN 'reject is smaller' END, CASE WHEN font_ratio < 0.85 THEN 'reject has a smaller font' END, CASE WHEN weight_diff > 200 THEN 'accept is bolder' END) END AS issues FROM o_d1"""))
+#: Buttons as a scan shows them: a third of the sites have no button to refuse, most have one to the settings, some look like links.
+_PREVIEWS = """SELECT b.domain, CASE WHEN x.role = 'settings' THEN 'settings' ELSE b.kind END AS role, CAST(replace(b.width, 'px', '') AS double) AS width, CAST(replace(b.height, 'px', '') AS double) AS height,
+    CAST(replace(b.font_size, 'px', '') AS double) - CASE WHEN x.role = 'settings' THEN 2 ELSE 0 END AS font_size, CASE b.font_weight WHEN 'bold' THEN 700 WHEN 'normal' THEN 400 ELSE 600 END AS font_weight,
+    n.site_id % 5 = 2 AND x.role = 'own' AS plain_link, n.reject_clicks AS clicks
+  FROM a_buttons b JOIN a_banners n ON n.domain = b.domain CROSS JOIN (SELECT * FROM (VALUES ('own'), ('settings')) AS t(role)) x
+  WHERE (x.role = 'own' AND (b.kind = 'accept' OR n.site_id % 3 <> 0)) OR (x.role = 'settings' AND b.kind = 'reject' AND n.site_id % 4 <> 1)"""
+
+
+@query(duck(f"""WITH p AS ({_PREVIEWS}), j AS (SELECT a.domain, CASE WHEN r.domain IS NOT NULL THEN 'direct' WHEN t.domain IS NOT NULL THEN 'settings' ELSE 'missing' END AS source, t.clicks,
+    coalesce(r.width, t.width) * coalesce(r.height, t.height) / (a.width * a.height) AS area, coalesce(r.font_size, t.font_size) / a.font_size AS font, a.font_weight - coalesce(r.font_weight, t.font_weight) AS bold, coalesce(r.plain_link, t.plain_link) AS link
+    FROM (SELECT * FROM p WHERE role = 'accept') a LEFT JOIN (SELECT * FROM p WHERE role = 'reject') r ON r.domain = a.domain LEFT JOIN (SELECT * FROM p WHERE role = 'settings') t ON t.domain = a.domain)
+  SELECT domain, source, CASE WHEN source = 'missing' THEN 'no reject button' ELSE concat_ws('; ', CASE WHEN source = 'settings' THEN CASE WHEN clicks BETWEEN 1 AND 998 THEN 'reject only behind settings (' || clicks || ' clicks)' ELSE 'reject only behind settings' END END,
+    CASE WHEN area < 0.7 THEN 'reject is smaller' END, CASE WHEN font < 0.85 THEN 'reject has a smaller font' END, CASE WHEN bold > 200 THEN 'accept is bolder' END, CASE WHEN link THEN 'reject looks like a plain link' END) END AS issues FROM j"""))
 def compare_buttons(s, d):
-    df = B.asymmetric(B.pick_buttons(load(s, d, "a_buttons")))
-    issues = L.button_issues(F.col("size_ratio").isNotNull(), F.col("size_ratio"), F.col("font_ratio"), F.col("weight_diff"))
-    return df.select("domain", F.concat_ws("; ", issues).alias("issues"))
+    """The button to accept beside the way to refuse, which may lead through the settings."""
+    for t in ("a_buttons", "a_banners"):
+        load(s, d, t).createOrReplaceTempView(t)
+    issues = B.compare_previews(s.sql(_PREVIEWS))
+    return issues.select("domain", "source", F.concat_ws("; ", "issues").alias("issues"))
 
 
 @query(O.after("scores", f"WITH {Q._CATALOGUE} SELECT metric, epsilon, CASE epsilon WHEN 0.1 THEN 'Low (high privacy)' WHEN 0.5 THEN 'Moderate' WHEN 1.0 THEN 'Balanced (recommended)' WHEN 2.0 THEN 'Good utility' WHEN 5.0 THEN 'High utility' WHEN 10.0 THEN 'Near-exact' END AS utility, CASE WHEN epsilon <= 0.1 THEN 'Very high privacy, low utility' WHEN epsilon <= 0.5 THEN 'High privacy, moderate utility' WHEN epsilon <= 1 THEN 'Good privacy-utility balance' WHEN epsilon <= 2 THEN 'Moderate privacy, good utility' ELSE 'Low privacy, high utility' END AS note FROM o_queries, o_eps"))

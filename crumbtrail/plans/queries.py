@@ -38,7 +38,7 @@ def classified(s: SparkSession, d: str) -> DataFrame:
 
 
 def signals(s: SparkSession, d: str) -> DataFrame:
-    return once(s, d, "signals", lambda: classify.pre_consent_signals(classified(s, d), load(s, d, "a_requests")))
+    return once(s, d, "signals", lambda: classify.pre_consent_signals(classified(s, d), load(s, d, "a_requests")), by="site")
 
 
 def third_parties(s: SparkSession, d: str) -> DataFrame:
@@ -53,21 +53,21 @@ def states(s: SparkSession, d: str) -> DataFrame:
     )
     new = classify.new_after_interaction(load(s, d, "a_cookies"), "reject").groupBy("site").agg(F.count("*").alias("n"))
     total = F.coalesce("n", F.lit(0)) + F.col("third")
-    return once(s, d, "states", lambda: out.join(new, "site", "left").select("site", "n_pre", "n_reject", "n_accept", total.alias("n_new")))
+    return once(s, d, "states", lambda: out.join(new, "site", "left").select("site", "n_pre", "n_reject", "n_accept", total.alias("n_new")), by="site")
 
 
 def patterns(s: SparkSession, d: str) -> DataFrame:
-    return once(s, d, "patterns", lambda: B.dark_patterns(load(s, d, "a_banners"), load(s, d, "a_buttons")))
+    return once(s, d, "patterns", lambda: B.dark_patterns(load(s, d, "a_banners"), load(s, d, "a_buttons")), by="domain")
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
-    return once(s, d, "scores", lambda: scoring.site_scores(load(s, d, "a_banners"), signals(s, d), patterns(s, d), states(s, d)))
+    return once(s, d, "scores", lambda: scoring.site_scores(load(s, d, "a_banners"), signals(s, d), patterns(s, d), states(s, d)), by="domain")
 
 
 def tcf(s: SparkSession, d: str) -> DataFrame:
     from crumbtrail.operators import extras
 
-    return once(s, d, "tcf", lambda: extras.detect_tcf(load(s, d, "a_banners"), load(s, d, "a_requests")))
+    return once(s, d, "tcf", lambda: extras.detect_tcf(load(s, d, "a_banners"), load(s, d, "a_requests")), by="domain")
 
 
 def report_sites(s: SparkSession, d: str) -> DataFrame:
@@ -600,8 +600,9 @@ def baseline_asof(s, d):
 @query(duck(f"""WITH {_ACTED}, {_BASE.replace("cookies, kind,", "cookies, new_trackers, other_cookies, plain_cookies, kind,")}, v AS (SELECT x.*, action FROM o_base x JOIN does ON does.label = x.label WHERE kind = 'click'),
     h AS (SELECT *, CASE WHEN action = 'accept' THEN 'not_applicable' WHEN action IN ('unknown', 'dismiss') THEN 'unknown' WHEN trackers = 0 AND other_cookies = 0 AND plain_cookies > 0 THEN 'mixed'
       WHEN trackers > 0 OR new_trackers > 0 OR coalesce(third_parties > b.p, false) OR other_cookies > 0 THEN 'dishonest' ELSE 'honest' END AS verdict FROM v)
-  SELECT event_id, action, verdict, CAST(CASE verdict WHEN 'not_applicable' THEN 1 WHEN 'unknown' THEN 1 WHEN 'honest' THEN 1 ELSE CAST(trackers > 0 AS INT) + CAST(new_trackers > 0 AS INT) + CAST(coalesce(third_parties > b.p, false) AS INT)
-      + CAST(other_cookies > 0 AND trackers = 0 AS INT) + CAST(verdict = 'mixed' AS INT) END AS INT) AS n_findings,
+  SELECT event_id, action, verdict, CASE verdict WHEN 'not_applicable' THEN '{scoring.FINDINGS["not_applicable"]}' WHEN 'unknown' THEN '{scoring.FINDINGS["unknown"]}' WHEN 'honest' THEN '{scoring.FINDINGS["honest"]}' ELSE
+      concat_ws('; ', CASE WHEN trackers > 0 THEN '{scoring.FINDINGS["trackers"]}' END, CASE WHEN new_trackers > 0 THEN '{scoring.FINDINGS["new"]}' END, CASE WHEN coalesce(third_parties > b.p, false) THEN '{scoring.FINDINGS["grown"]}' END,
+      CASE WHEN other_cookies > 0 AND trackers = 0 THEN '{scoring.FINDINGS["other"]}' END, CASE WHEN verdict = 'mixed' THEN '{scoring.FINDINGS["mixed"]}' END) END AS findings,
     CASE verdict WHEN 'honest' THEN 'Supports banner claim' WHEN 'mixed' THEN 'Partially supports banner claim' WHEN 'dishonest' THEN 'Weakens banner claim' WHEN 'not_applicable' THEN 'Not an honesty-scored action' ELSE 'Could not verify' END AS trust,
     round((0.35 * (CASE WHEN trackers <= 0 THEN 100 WHEN trackers <= 2 THEN 60 WHEN trackers <= 5 THEN 30 WHEN trackers <= 10 THEN 10 ELSE 0 END)
     + 0.2 * (CASE WHEN third_parties <= 0 THEN 100 WHEN third_parties <= 2 THEN 60 WHEN third_parties <= 5 THEN 30 WHEN third_parties <= 10 THEN 10 ELSE 0 END)
@@ -614,7 +615,7 @@ def interaction_outcome(s, d):
     grown = F.col("third_parties") > F.col("base.third_parties")
     df = df.withColumn("h", scoring.honesty(F.col("action"), F.col("trackers"), F.col("new_trackers"), grown, F.col("other_cookies"), F.col("plain_cookies")))
     out = scoring.state_outcome(F.col("trackers"), F.col("third_parties"), F.col("cookies"), F.col("h.verdict"))
-    return df.select("event_id", "action", "h.verdict", F.size("h.findings").alias("n_findings"), L.trust_label(F.col("h.verdict")).alias("trust"), F.round(out, 6).alias("outcome"))
+    return df.select("event_id", "action", "h.verdict", F.array_join("h.findings", "; ").alias("findings"), L.trust_label(F.col("h.verdict")).alias("trust"), F.round(out, 6).alias("outcome"))
 
 
 # Differential privacy. The secret of these queries is public, so that their results can be compared.
@@ -695,6 +696,26 @@ def dp_error_matrix(s, d):
     return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "metric"})
 
 
+#: The probability of k of n, and how many of n say yes: the first k whose summed probability reaches the uniform number.
+_DRAWN = f"""{_SITES}, e AS (SELECT CAST(x AS DOUBLE) AS epsilon FROM (VALUES {', '.join(f'({e})' for e in P.EPSILONS)}) t(x)),
+  c AS (SELECT 'has_pre_consent_trackers' AS attribute, count(*) AS n, count(*) FILTER (n_signals > 0) AS k FROM o_rep UNION ALL SELECT 'has_reject_button', count(*), count(*) FILTER (found AND has_reject) FROM o_rep),
+  q AS (SELECT attribute, epsilon, t, n, k, exp(epsilon) / (1 + exp(epsilon)) AS p FROM c, e, range(1, 21) g(t)),
+  b AS (SELECT *, 'yes' AS part, k AS m, p AS pp FROM q UNION ALL SELECT *, 'no', n - k, 1 - p FROM q),
+  u AS (SELECT *, {_U(f"{_SECRET} || attribute || '|' || part || '|' || CAST(epsilon AS VARCHAR) || '|' || t")} AS u FROM b),
+  f AS (SELECT attribute, epsilon, t, part, u, i, sum(CASE WHEN m = 0 THEN 1 ELSE exp(lgamma(m + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - (CASE WHEN i = m THEN 0 ELSE lgamma(m - i + 1) END) + i * ln(pp) + (m - i) * ln(1 - pp)) END) OVER (PARTITION BY attribute, epsilon, t, part ORDER BY i) AS cdf
+    FROM (SELECT *, unnest(range(0, m + 1)) AS i FROM u)),
+  s AS (SELECT attribute, epsilon, t, part, count(*) FILTER (cdf < u) AS said FROM f GROUP BY ALL),
+  w AS (SELECT q.attribute, q.epsilon, q.t, any_value(n) AS n, any_value(k) AS k, greatest(0, least(1, (sum(said)::DOUBLE / any_value(n) - (1 - any_value(p))) / (2 * any_value(p) - 1))) AS estimate FROM q JOIN s ON s.attribute = q.attribute AND s.epsilon = q.epsilon AND s.t = q.t GROUP BY q.attribute, q.epsilon, q.t)"""
+
+
+@query(O.after("scores", f"WITH {_DRAWN} SELECT attribute, epsilon, max(n) AS n, round(max(k::DOUBLE / n), 6) AS truth, round(avg(estimate), 6) AS estimate, round(stddev_samp(estimate), 6) AS spread FROM w GROUP BY attribute, epsilon"))
+def randomized_response_counts(s, d):
+    """Randomized response of all sites at once: two binomial draws for each attribute, budget and trial."""
+    rows = report_sites(s, d).select((F.col("n_signals") > 0).alias("has_pre_consent_trackers"), (F.col("found") & F.col("has_reject")).alias("has_reject_button"))
+    out = privacy.counted_trials(rows, ["has_pre_consent_trackers", "has_reject_button"], KEY)
+    return out.select("attribute", "epsilon", "n", *[F.round(c, 6).alias(c) for c in ("truth", "estimate", "spread")])
+
+
 @query(O.after("scores", f"WITH {_TRIALS} SELECT metric, epsilon, round(mae, 4) AS mae, round(greatest(0, mae - 0.3 * sd), 4) AS low, round(mae + 0.3 * sd, 4) AS high, min(CASE WHEN mae < 5 THEN epsilon END) OVER (PARTITION BY metric) AS enough FROM o_trials"))
 def dp_trade_off(s, d):
     return privacy.trade_off(dp_stats(s, d)).withColumns({c: F.round(c, 4) for c in ("mae", "low", "high")})

@@ -14,7 +14,8 @@ from crumbtrail.plans import params as P
 from crumbtrail.plans import queries as Q
 from crumbtrail.plans.adapters import duck, load
 from crumbtrail.plans.queries import query
-from crumbtrail.sources import sinks
+from crumbtrail.plans.store import new_folder
+from crumbtrail.sources import readers, sinks
 
 
 # Cookies, third parties and lists.
@@ -104,13 +105,12 @@ def banner_candidate_score(s, d):
     return B.best_candidate(feat, "domain", "candidate").select("domain", "candidate", "score")
 
 
-@query(O.after("patterns", f"""WITH u AS (SELECT domain, x.p AS pattern FROM o_patterns, LATERAL (VALUES {Q._NAMES}) AS x(p, f) WHERE f), i AS ({P.values([(p, sev) for p, sev, _, _ in L.PATTERN_INFO], 'pattern, severity')})
-  SELECT domain, u.pattern, severity FROM u JOIN i ON i.pattern = u.pattern"""))
+@query(O.after("patterns", f"""WITH u AS (SELECT domain, x.p AS pattern FROM o_patterns, LATERAL (VALUES {Q._NAMES}) AS x(p, f) WHERE f), i AS ({P.values(L.PATTERN_INFO, 'pattern, severity, article, description')})
+  SELECT domain, u.pattern, severity, article, description FROM u JOIN i ON i.pattern = u.pattern"""))
 def pattern_explanations(s, d):
-    """Each site's patterns with severity, article and description."""
+    """Each site's patterns with severity, articles and description."""
     info = s.createDataFrame(L.PATTERN_INFO, "pattern string, severity string, article string, description string")
-    found = Q.patterns(s, d).select("domain", F.explode("names").alias("pattern")).join(info, "pattern")
-    return found.where("article <> '' AND description <> ''").select("domain", "pattern", "severity")
+    return Q.patterns(s, d).select("domain", F.explode("names").alias("pattern")).join(info, "pattern").select("domain", "pattern", "severity", "article", "description")
 
 
 @query(O.after("patterns", "SELECT count(*) AS sites, count(*) FILTER (n_patterns > 0) AS any_pattern, round(avg(n_patterns), 6) AS mean_patterns, round(100.0::DOUBLE * count(*) FILTER (n_patterns > 0) / count(*), 6) AS pct FROM o_patterns"))
@@ -149,11 +149,14 @@ def category_order(s, d):
 _PLATFORMS = ["OneTrust", "Cookiebot", "Quantcast", "TrustArc", "Didomi", "Usercentrics", "Sourcepoint"]
 
 
-@query(O.after("scores", f"WITH {Q._SITES} SELECT category, " + ", ".join(f'round(avg(overall) FILTER (cmp = \'{p}\'), 6) AS "{p}"' for p in _PLATFORMS) + " FROM o_rep WHERE category IS NOT NULL AND region IN ('ASIA', 'EUROPE') GROUP BY category"))
+_WINGS = "CASE WHEN region IN ('ASIA', 'MIDDLE EAST') THEN 'east' ELSE 'west' END"
+
+
+@query(O.after("scores", f"WITH {Q._SITES} SELECT category, " + ", ".join(f'round(avg(overall) FILTER (cmp = \'{p}\'), 6) AS "{p}"' for p in _PLATFORMS) + " FROM o_rep WHERE category IS NOT NULL GROUP BY category"))
 def pivot_few_regions(s, d):
-    """Where there are fewer than three regions, means go by platform."""
-    rows = Q.report_sites(s, d).where("category IS NOT NULL AND region IN ('ASIA', 'EUROPE')")
-    out = metrics.pivot_regions(rows, "category", "region", "cmp", "overall", ["ASIA", "EUROPE"], _PLATFORMS)
+    """Where there are fewer than three regions, here two halves of the world, means go by platform."""
+    rows = Q.report_sites(s, d).where("category IS NOT NULL").withColumn("region", F.expr(_WINGS))
+    out = metrics.pivot_regions(rows, "category", "region", "cmp", "overall", ["east", "west"], _PLATFORMS)
     return out.withColumns({p: F.round(p, 6) for p in _PLATFORMS})
 
 
@@ -182,11 +185,24 @@ def scores_table(s, d):
     return sinks.in_order(sinks.stamp(df, source_mode="real", run_id="r1"), sinks.SCORE_FIELDS)
 
 
-@query(duck("SELECT " + ", ".join({"domain": "domain", "source_mode": "'real' AS source_mode", "run_id": "'r1' AS run_id", "category": "category", "pet_name": "pet AS pet_name", "tracker_domains": "tracker_domains", "total_requests": "total_requests", "blocked_requests": "blocked_requests", "success": "success"}.get(c, f"CAST(NULL AS VARCHAR) AS {c}") for c in sinks.PET_FIELDS) + " FROM a_pet_runs"))
+#: What a measurement of each run holds; a failed one has no figures, a run without a tool no extension.
+_RUNS = """SELECT r.domain, r.category, r.pet AS pet_name, CASE WHEN r.pet = 'none' THEN 'baseline' ELSE 'extension' END AS measurement_mode, CASE WHEN r.pet IN ('alpha', 'beta') THEN 'firefox' ELSE 'chromium' END AS browser_name,
+    concat('1', CAST(r.site_id % 30 AS string), '.0') AS browser_version, CASE WHEN r.pet <> 'none' THEN concat(r.pet, ' shield') END AS extension_name, CASE WHEN r.pet <> 'none' THEN concat('1.', CAST(r.site_id % 4 AS string)) END AS extension_version,
+    CASE WHEN r.pet <> 'none' THEN concat('/ext/', r.pet) END AS extension_path, r.pet <> 'none' AS extension_enabled, b.found AS consent_banner_detected, CASE WHEN r.success THEN 800 + (r.site_id * 37) % 900 + r.total_requests END AS page_load_time_ms,
+    CASE WHEN r.success THEN r.total_requests - r.blocked_requests + 3 END AS total_cookies, CASE WHEN r.success THEN r.tracker_domains * 2 END AS tracker_cookies, r.tracker_domains, CASE WHEN r.success THEN r.tracker_domains + r.site_id % 4 END AS total_third_party_domains,
+    r.total_requests, r.blocked_requests, CASE WHEN r.success THEN r.blocked_requests - r.blocked_requests % 3 END AS blocked_tracker_requests, r.success, CASE WHEN NOT r.success THEN 'timeout' END AS error
+  FROM a_pet_runs r JOIN a_banners b ON b.domain = r.domain"""
+
+
+@query(duck(f"SELECT 'real' AS source_mode, 'r1' AS run_id, * FROM ({_RUNS}) r"))
 def tool_table(s, d):
-    """The published table of tool runs, in its fixed order of columns."""
-    runs = sinks.stamp(load(s, d, "a_pet_runs").withColumnRenamed("pet", "pet_name"), source_mode="real", run_id="r1")
-    return sinks.in_order(runs, sinks.PET_FIELDS)
+    """The published table of tool runs, in its fixed order of columns, written as CSV and read back with its types."""
+    for t in ("a_pet_runs", "a_banners"):
+        load(s, d, t).createOrReplaceTempView(t)
+    runs = sinks.in_order(sinks.stamp(s.sql(_RUNS).withColumn("beyond", F.lit(1)), source_mode="real", run_id="r1"), sinks.PET_FIELDS)
+    path = new_folder(s, "tools")
+    sinks.write_table(runs, path, fmt="csv")
+    return readers.read_results(s, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema))
 
 
 @query(O.after("scores", f"WITH {Q._RANKED} SELECT 'real' AS source_mode, 'r1' AS run_id, e.cmp AS cmp_name, e.sites AS site_count, round(mean_score, 1) AS avg_compliance_score, round(median_score, 1) AS median_compliance_score, round(reject_pct, 1) AS pct_with_reject_button, round(works_pct, 1) AS pct_reject_works, round(mean_cut, 2) AS avg_tracker_reduction, round(dark_pct, 1) AS pct_with_dark_patterns, pet_score, CAST(row_number() OVER (ORDER BY pet_score DESC, e.cmp) AS INT) AS rank FROM o_effect e JOIN o_rank r ON r.cmp = e.cmp"))
@@ -198,11 +214,14 @@ def cmp_csv(s, d):
     return sinks.in_order(sinks.stamp(df, source_mode="real", run_id="r1"), sinks.CMP_FIELDS)
 
 
-@query(O.after("classified", "SELECT site, 'real' AS source_mode, 'r1' AS run_id, count(*) AS n FROM o_classified GROUP BY site"))
+@query(O.after("classified", "SELECT site, 'real' AS source_mode, 'r1' AS run_id, to_json(list({'seq': seq, 'name': name, 'category': category} ORDER BY seq)) AS rows FROM o_classified GROUP BY site"))
 def site_documents(s, d):
-    """Documents of each site's cookies in their envelope, here with the number of cookies."""
+    """Documents of each site's cookies in their envelope, written as JSON and read back."""
     docs = sinks.envelope(Q.classified(s, d).select("site", "seq", "name", "category"), "site", "rows", {"source_mode": "real", "run_id": "r1"})
-    return docs.select("site", "source_mode", "run_id", F.size("rows").cast("long").alias("n"))
+    path = new_folder(s, "documents")
+    sinks.write_documents(docs, path)
+    read = s.read.schema(docs.schema).json(path)
+    return read.select("site", "source_mode", "run_id", F.to_json("rows").cast("string").alias("rows"))
 
 
 # Platforms.

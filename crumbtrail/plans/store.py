@@ -32,16 +32,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stored(), laid out by a key: tables of the same number of buckets join and group by it without a shuffle."""
+    spark = df.sparkSession
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = re.sub(r"\W", "_", f"{name}_{uuid.uuid4().hex}")
+    out = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    out.option("path", new_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 #: Tables of this process, by application, input folder and name.
 _known: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that name over the input folder, made and written at its first use. Inputs must not change
-    while an application runs; forget() drops what is known otherwise."""
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """The table of that name over the input folder, made and written at its first use; with ``by`` in buckets of that column. Inputs
+    must not change while an application runs; forget() drops what is known otherwise."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _known:
-        _known[key] = stored(make(), name)
+        _known[key] = bucketed(make(), name, by) if by else stored(make(), name)
     return _known[key]
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from crumbtrail.functions.text import null_like
+
 _COOKIE = "struct<name: string, value: string, domain: string, path: string, expires: double, httpOnly: boolean, secure: boolean, sameSite: string>"
 _REQUEST = "struct<url: string, method: string, resource_type: string, domain: string, cookie_header: string, referer: string>"
 _STATE = (
@@ -120,6 +122,47 @@ def unwrap(docs: DataFrame, json_col: str, key: str, element: str) -> DataFrame:
     return docs.select(*rest, F.explode(F.when(F.ltrim(json_col).startswith("["), bare).otherwise(inside)).alias("item"))
 
 
+def result_items(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """The entries of result documents of any shape and depth, as variants: a bare list, or an envelope with the list under
+    ``results``. One row (other columns, run_id, site_list_source, item) for each entry that is an object; the two names are those
+    of the envelope. Documents that are neither, or no JSON, give no rows."""
+    rest = [c for c in docs.columns if c != json_col]
+    doc = docs.select(*rest, F.try_parse_json(json_col).alias("v_"))
+    text = lambda path: F.try_variant_get("v_", f"$.{path}", "string").alias(path)
+    doc = doc.select(*rest, text("run_id"), text("site_list_source"), F.coalesce(F.try_variant_get("v_", "$.results", "variant"), "v_").alias("list_"))
+    doc = doc.where(F.schema_of_variant("list_").startswith("ARRAY"))
+    each = doc.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("list_").outer()))
+    return each.where(F.schema_of_variant("value").startswith("OBJECT")).select(*rest, "run_id", "site_list_source", F.col("value").alias("item"))
+
+
+def merged_results(docs: DataFrame, fields: dict[str, str], source_mode: str, json_col: str = "json") -> DataFrame:
+    """The entries of all documents with the fields asked for (name: type, null where an entry lacks it), the mode of the output, and
+    the run id and site list that all envelopes which name one have in common, or null."""
+    items = result_items(docs, json_col)
+    named = docs.select(F.try_parse_json(json_col).alias("v"))
+    one = lambda c: F.when(F.count_distinct(c) == 1, F.max(c)).alias(f"common_{c}")
+    names = named.select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in ("run_id", "site_list_source")])
+    common = names.select(*[null_like(F.col(c)).alias(c) for c in names.columns]).agg(one("run_id"), one("site_list_source"))
+    got = [F.try_variant_get("item", f"$.{name}", kind).alias(name) for name, kind in fields.items()]
+    rows = items.select(*got).crossJoin(F.broadcast(common))  # one row on one side
+    return rows.select(*fields, F.lit(source_mode).alias("source_mode"), F.col("common_run_id").alias("run_id"), F.col("common_site_list_source").alias("site_list_source"))
+
+
+def services_by_variant(docs: DataFrame, col: str = "json") -> DataFrame:
+    """domain, vendor, category, place of a services document, level by level without a schema: tracker_services() for documents whose
+    entries vary. place orders the entries; a company's own domain counts where its entry is no list."""
+    tvf = docs.sparkSession.tvf
+    level = lambda df, v, *names: df.lateralJoin(tvf.variant_explode(F.col(v).outer()).toDF(*names))
+    top = docs.select(F.try_variant_get(F.try_parse_json(col), "$.categories", "variant").alias("v0"))
+    df = level(top, "v0", "i", "category", "v1")
+    df = level(df, "v1", "j", "k1", "v2")
+    df = level(df, "v2", "k", "vendor", "v3")
+    df = level(df, "v3", "l", "url", "v4").where(~F.col("url").isin("dnt", "performance"))
+    df = level(df.where(F.schema_of_variant("v4").startswith("ARRAY")), "v4", "m", "k5", "v5")
+    domain = F.lower(F.try_variant_get("v5", "$", "string"))
+    return df.where(domain.isNotNull()).select(domain.alias("domain"), "vendor", "category", F.struct("i", "j", "k", "l", "m").alias("place"))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Labels of consent buttons from JSON lines or documents {action: {exact: [..], contains: [..]}}: action, kind, ord, term,
     of any number. ord follows reject, accept, settings, dismiss, others."""
