@@ -17,49 +17,64 @@ from crumbtrail.functions import text as X
 from crumbtrail.plans import params as P
 
 ELEMENTS = "array<struct<pos: int, parent: int, tag: string, attrs: map<string, string>, text: string>>"
+_SILENT = {"script", "style"}
+_READ = {"button", "a", "input", "label"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Reader(HTMLParser):
-    """Collects elements in document order; an end tag closes what is open inside it."""
+    """Collects elements in document order, each with the stretch of the page's words that lies inside it; an end tag closes what
+    is open inside it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
         self.open: list[int] = []
+        self.words: list[str] = []
+        self.silent = 0
+
+    def _close(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.found[i]["to"] = len(self.words)
+            self.silent -= self.found[i]["tag"] in _SILENT
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = len(self.found)
-        self.found.append({"pos": at, "parent": self.open[-1] if self.open else None, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": []})
+        self.found.append({"pos": at, "parent": self.open[-1] if self.open else None, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": len(self.words), "to": len(self.words)})
         if tag not in _VOID:
             self.open.append(at)
+            self.silent += tag in _SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.found[self.open[i]]["tag"] == tag:
-                del self.open[i:]
+                self._close(i)
                 break
 
     def handle_data(self, data: str) -> None:
-        if (words := " ".join(data.split())) and not any(self.found[i]["tag"] in ("script", "style") for i in self.open):
-            for i in self.open:
-                self.found[i]["text"].append(words)
+        if not self.silent:
+            self.words += data.split()
 
 
 def _read(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return [e | {"text": " ".join(e["text"])} for e in reader.found]
+    reader._close(0)
+    around = {e["parent"] for e in reader.found if e["tag"] == "input" and e["attrs"].get("type", "").lower() == "checkbox"}
+    read = lambda e: e["tag"] in _READ or e["attrs"].get("role", "").lower() == "button" or e["pos"] in around
+    return [{k: e[k] for k in ("pos", "parent", "tag", "attrs")} | {"text": " ".join(reader.words[e["from"] : e["to"]]) if read(e) else ""} for e in reader.found]
 
 
 def elements(html: Column) -> Column:
-    """All elements of a page as an array of pos, parent (a pos, or null), tag, attrs and text (of all inside it).
+    """All elements of a page as an array of pos, parent (a pos, or null), tag, attrs and text: that of all inside it for what can
+    be clicked, labels, and what stands around a check box, so that the array does not grow with the depth; empty for others.
     Names are lower case, attributes without a value have the empty one; broken markup gives what can be read."""
     return F.pandas_udf(lambda s: pd.Series([_read(h) for h in s]), ELEMENTS)(html)
 
@@ -226,10 +241,17 @@ def hidden_reject(els: Column) -> Column:
     return F.exists(els, lambda e: e["tag"].isin("button", "a", "input") & X.contains_any(F.lower(e["text"]), terms) & hides(e))
 
 
-def preselected(els: Column) -> Column:
-    """D4: how many boxes are checked beforehand that their label, or else the element around them, does not call necessary."""
+def labels_of(els: Column) -> Column:
+    """The labels among the elements that name another one."""
+    return F.filter(els, lambda e: (e["tag"] == "label") & F.map_contains_key(e["attrs"], F.lit("for")))
+
+
+def preselected(els: Column, labels: Column | None = None) -> Column:
+    """D4: how many boxes are checked beforehand that their label, or else the element around them, does not call necessary.
+    labels: labels_of(els), if it is a column already."""
+    labels = labels_of(els) if labels is None else labels
     box = lambda e: (e["tag"] == "input") & (_attr(e, "type") == "checkbox") & F.map_contains_key(e["attrs"], F.lit("checked"))
-    label = lambda e: F.get(F.filter(els, lambda x: (x["tag"] == "label") & (F.element_at(x["attrs"], F.lit("for")) == F.element_at(e["attrs"], F.lit("id")))), F.lit(0))["text"]
+    label = lambda e: F.get(F.filter(labels, lambda x: F.element_at(x["attrs"], F.lit("for")) == F.element_at(e["attrs"], F.lit("id"))), F.lit(0))["text"]
     around = lambda e: F.get(els, e["parent"])["text"]
     words = [w.lower() for w in P.NECESSARY]
     name = lambda e: F.lower(F.coalesce(F.nullif(label(e), F.lit("")), around(e), F.lit("")))
@@ -264,8 +286,8 @@ def dark_patterns(banners: DataFrame, buttons: DataFrame) -> DataFrame:
     Without a banner only two of them are looked at."""
     pair = asymmetric(pick_buttons(buttons)).select("domain", "d1", "hidden")
     # The elements are read once, into a column of their own.
-    df = banners.withColumn("els", elements(F.col("html"))).join(pair, "domain", "left")
-    df = df.withColumns({"boxes": preselected(F.col("els")), "phrases": suspicious_phrases(F.col("html"), F.col("els"))})
+    df = banners.withColumn("els", elements(F.col("html"))).join(pair, "domain", "left").withColumn("labels_", labels_of(F.col("els")))
+    df = df.withColumns({"boxes": preselected(F.col("els"), F.col("labels_")), "phrases": suspicious_phrases(F.col("html"), F.col("els"))})
     flags = {
         "d1": F.coalesce("d1", F.lit(False)),
         "d2": F.coalesce("hidden", F.lit(False)) | hidden_reject(F.col("els")),

@@ -251,3 +251,11 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).first().run_id == "r1"
     sinks.append_missing(spark.createDataFrame([("x",), ("y",)], "domain string"), out, str(tmp_path / "m"), "domain")
     assert [r.domain for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["y"]
+
+
+def test_elements_do_not_grow_with_depth(spark):
+    deep = "<div>" * 800 + "word <b>and</b> <a href=#>more <i>of</i> it</a>" + "</div>" * 800
+    els = banner._read(deep)
+    assert len(els) == 803 and sum(len(e["text"]) for e in els) == len("more of it")
+    boxed = banner._read("<div><p>All <span>of us <input type=CheckBox checked></span></p><script>var x</script><label for=q>Name <b>here</label> tail</div>")
+    assert {(e["tag"], e["text"]) for e in boxed if e["text"]} == {("span", "of us"), ("label", "Name here")}
