@@ -234,9 +234,9 @@ def _attr(e: Column, name: str) -> Column:
     return F.lower(F.coalesce(F.element_at(e["attrs"], F.lit(name)), F.lit("")))
 
 
-def hidden_reject(els: Column) -> Column:
-    """D2 by markup: an element that reads like a refusal has a hiding class or style."""
-    terms = [w.lower() for a, _, words in P.VOCABULARY if a == "reject" for w in words]
+def hidden_reject(els: Column, vocabulary: list[tuple] = P.VOCABULARY) -> Column:
+    """D2 by markup: an element that reads like a refusal has a hiding class or style. vocabulary: (action, kind, terms)."""
+    terms = [w.lower() for a, _, words in vocabulary if a == "reject" for w in words]
     hides = lambda e: X.contains_any(_attr(e, "class"), P.HIDDEN_CLASSES) | X.contains_any(_squeezed(e), ["display:none", "visibility:hidden"])
     return F.exists(els, lambda e: e["tag"].isin("button", "a", "input") & X.contains_any(F.lower(e["text"]), terms) & hides(e))
 
@@ -281,16 +281,16 @@ def suspicious_phrases(html: Column, els: Column, vocabulary: list[tuple] = P.VO
 PATTERNS = ["asymmetric", "hidden_reject", "missing_reject", "preselected", "forced_action", "multi_layer", "confusing"]
 
 
-def dark_patterns(banners: DataFrame, buttons: DataFrame) -> DataFrame:
+def dark_patterns(banners: DataFrame, buttons: DataFrame, vocabulary: list[tuple] = P.VOCABULARY) -> DataFrame:
     """Seven flags per banner, their names in order, their number, the checked boxes, the click ratio and the phrases.
     Without a banner only two of them are looked at."""
     pair = asymmetric(pick_buttons(buttons)).select("domain", "d1", "hidden")
     # The elements are read once, into a column of their own.
     df = banners.withColumn("els", elements(F.col("html"))).join(pair, "domain", "left").withColumn("labels_", labels_of(F.col("els")))
-    df = df.withColumns({"boxes": preselected(F.col("els"), F.col("labels_")), "phrases": suspicious_phrases(F.col("html"), F.col("els"))})
+    df = df.withColumns({"boxes": preselected(F.col("els"), F.col("labels_")), "phrases": suspicious_phrases(F.col("html"), F.col("els"), vocabulary)})
     flags = {
         "d1": F.coalesce("d1", F.lit(False)),
-        "d2": F.coalesce("hidden", F.lit(False)) | hidden_reject(F.col("els")),
+        "d2": F.coalesce("hidden", F.lit(False)) | hidden_reject(F.col("els"), vocabulary),
         "d3": ~F.col("found") | ~F.col("has_reject") | (F.col("reject_clicks") == 999),
         "d4": F.col("boxes") > 0,
         "d5": forced_action(F.col("els")),

@@ -61,8 +61,11 @@ TRACKERS = [
 EASYPRIVACY = ["scorecardresearch.com", "hotjar.com", "stats.newsroom.co.uk"]
 EASYLIST = ["adnxs.com", "taboola.com"]
 ENTITIES = [("doubleclick.net", 1), ("google-analytics.com", 1), ("gstatic.com", 1), ("facebook.net", 2), ("criteo.com", 3)]
-# Labels of buttons by what they do: the common ones of each language. A full list is a parameter, see
-# sources.readers.read_vocabulary. Terms are compared in lower case, without accents.
+# Labels of buttons by what they do: an example with the common ones of each language. Which action a label
+# stands for. A full list is a parameter: the path in VOCABULARY_SETTING, see sources.readers.read_vocabulary. Terms are
+# compared in lower case, without accents.
+#: The session setting that names a vocabulary file; without it the example counts.
+VOCABULARY_SETTING = "crumbtrail.vocabulary"
 VOCABULARY = [
     ("reject", "exact", [
         "reject", "reject all", "decline", "decline all", "refuse", "refuse all", "deny", "disagree", "i do not accept", "tout refuser", "refuser",
@@ -78,7 +81,7 @@ VOCABULARY = [
         "tikai nepieciesamas", "ainult vajalikud", "an samþykkis", "riachtanacha amhain", "essenzjali biss", "yalnizca gerekli", "sadece gerekli",
     ]),
     ("accept", "exact", [
-        "accept", "i accept", "accept all", "accept cookies", "i accept cookies", "allow all", "agree", "i agree", "ok", "got it", "tout accepter", "accepter",
+        "accept", "i accept", "accept all", "accept cookies", "i accept cookies", "allow all", "agree", "i agree", "tout accepter", "accepter",
         "j'accepte", "alle akzeptieren", "akzeptieren", "zustimmen", "alle accepteren", "accepteren", "aceptar todo", "aceptar", "accetta", "accetta tutto",
         "aceitar", "zaakceptuj wszystkie", "accepta", "prijmout vse", "godkann alla", "godta alle", "hyvaksy kaikki", "αποδοχη", "elfogadom", "prijat vsetko",
         "sprejmi vse", "prihvati sve", "приемам", "sutinku", "piekritu", "noustun", "samþykkja", "glac leis", "accetta kollox", "kabul et",
@@ -90,8 +93,8 @@ VOCABULARY = [
         "installningar", "innstillinger", "asetukset", "προβολη επιλογων", "beallitas", "nastavenia", "nastavitve", "postavke", "настройки", "nustatymai",
         "parvaldit", "seaded", "stillingar", "socruithe", "settings tal-cookies", "ayarlari", "ayarları",
     ]),
-    ("dismiss", "exact", ["close", "x", "dismiss", "later", "not now", "skip", "no thanks", "continue", "lean ar aghaidh", "schliessen", "fermer", "cerrar", "chiudi"]),
-    ("dismiss", "contains", ["maybe later", "remind me later"]),
+    ("dismiss", "exact", ["ok", "okay", "continue", "got it", "i understand", "understood", "close", "dismiss", "later", "not now", "remind me later", "lean ar aghaidh", "schliessen", "fermer", "cerrar", "chiudi"]),
+    ("dismiss", "contains", []),
 ]
 # Words and phrases that the rules look for.
 NECESSARY = [

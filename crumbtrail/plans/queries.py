@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from crumbtrail.operators import bloom, classify, metrics, privacy, scoring, stu
 from crumbtrail.plans import oracle as O
 from crumbtrail.plans import params as P
 from crumbtrail.plans.adapters import EXPECTED_BUTTONS, duck, load
-from crumbtrail.plans.store import once
+from crumbtrail.plans.store import new_folder, once
+from crumbtrail.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -195,7 +197,9 @@ def _labels_sql(order: str, where: str = "") -> str:
 
 
 def _vocabulary(s):
-    return s.sql(P.values(P.vocabulary_rows(), "action, kind, ord, term"))
+    """The vocabulary of the session's setting, or the example."""
+    path = s.conf.get(P.VOCABULARY_SETTING, None)
+    return readers.read_vocabulary(s, path) if path else s.sql(P.values(P.vocabulary_rows(), "action, kind, ord, term"))
 
 
 @query(_labels_sql("ord, kind = 'contains'"))
@@ -208,9 +212,20 @@ def classify_action_two_pass(s, d):
     return classify.classify_labels(load(s, d, "a_interactions"), _vocabulary(s), two_pass=True)
 
 
+@query(_labels_sql("kind = 'contains', ord", "WHERE action <> 'dismiss'").replace("FROM a_interactions", "FROM (SELECT label FROM a_interactions UNION ALL SELECT banner_text FROM a_banners UNION ALL SELECT cmp FROM a_sites WHERE cmp IS NOT NULL)"))
+def classify_by_file(s, d):
+    """Labels, texts and names classified by a vocabulary that is read from a file."""
+    path, buckets = new_folder(s, "vocabulary"), {}
+    for action, kind, words in P.VOCABULARY:
+        buckets.setdefault(action, {})[kind] = words
+    s.createDataFrame([(json.dumps(buckets),)], "value string").coalesce(1).write.text(path)
+    labels = load(s, d, "a_interactions").select("label").union(load(s, d, "a_banners").select("banner_text")).union(load(s, d, "a_sites").where("cmp IS NOT NULL").select("cmp"))
+    return classify.classify_labels(labels, readers.read_vocabulary(s, path), two_pass=True)
+
+
 #: What the labels of the interactions do, written by hand.
 _DOES = [
-    ("Accept all", "accept"), ("Reject all", "reject"), ("Manage preferences", "settings"), ("OK", "accept"), ("Refuser", "reject"), ("Ablehnen", "reject"), ("Close", "dismiss"),
+    ("Accept all", "accept"), ("Reject all", "reject"), ("Manage preferences", "settings"), ("OK", "dismiss"), ("Refuser", "reject"), ("Ablehnen", "reject"), ("Close", "dismiss"),
     ("Only essential cookies", "essential"), ("I agree", "accept"), ("Einstellungen", "settings"), ("Learn more", "unknown"), ("Aceptar todo", "accept"),
     ("Continue without accepting", "reject"), ("Reject Optional Cookies", "reject"), ("Not now", "dismiss"), ("Tylko niezbędne pliki cookie", "essential"),
     ("Nastavení cookies", "settings"), ("Προβολή επιλογών", "settings"), ("Çerez ayarları", "settings"), ("Aċċetta kollox", "accept"), ("Save choices", "confirm"),

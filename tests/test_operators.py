@@ -89,7 +89,7 @@ LABELS = {
     "Endast nödvändiga cookies": "reject", "Vis muligheder": "settings", "Godta alle": "accept", "Vain välttämättömät evästeet": "reject", "Προβολή επιλογών": "settings", "Beállítások kezelése": "settings",
     "Prijať všetko": "accept", "Nastavitve piškotkov": "settings", "Prihvati sve": "accept", "Само необходимите бисквитки": "reject", "Slapukų nustatymai": "settings", "Pārvaldīt preferences": "settings",
     "Nõustun": "accept", "Halda áfram án samþykkis": "reject", "Lean ar aghaidh": "dismiss", "Aċċetta kollox": "accept", "Çerez ayarları": "settings", "Reject all": "reject", "TOUT REFUSER": "reject",
-    "OK": "accept", "Alle akzeptieren": "accept", "Read on": "unknown", "": "unknown",
+    "OK": "dismiss", "Alle akzeptieren": "accept", "Read on": "unknown", "": "unknown",
 }
 
 
@@ -101,7 +101,7 @@ def test_labels(spark):
 
 def test_interactions(spark):
     voc = spark.sql(P.values(P.vocabulary_rows(), "action, kind, ord, term"))
-    want = {"Only essential cookies": "essential", "Reject all": "reject", "Save choices": "confirm", "Not now": "dismiss", "No thanks": "dismiss", "Accept all": "accept", "Options": "settings", "Read on": "unknown", "": "unknown"}
+    want = {"Only essential cookies": "essential", "Reject all": "reject", "Save choices": "confirm", "Not now": "dismiss", "Got it": "dismiss", "Accept all": "accept", "Options": "settings", "Read on": "unknown", "": "unknown"}
     df = spark.createDataFrame([(x,) for x in want], "label string")
     assert {r.label: r.action for r in classify.classify_interactions(df, voc).collect()} == want
 
