@@ -14,6 +14,26 @@ def pick_candidate(candidates: DataFrame, keys: list[str], order: list[Column])
     return candidates.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n_ = 1").drop("n_")
 
 
+def best_frames(scans: DataFrame, key: str) -> DataFrame:
+    """For each key the frame whose scan has found most: by points, then a button to refuse, then any button, then the lowest frame
+    (null last). Frames that failed do not count; where all did, error says why, each reason once. scans: key, frame, error,
+    timed_out and the columns of labels.scan_quality(). A key has few frames."""
+    from crumbtrail.functions.labels import POINTS, scan_quality
+
+    ok = F.col("error").isNull()
+    controls = F.col("has_accept") | F.col("has_reject") | F.col("has_settings")
+    order = F.struct(scan_quality().alias("quality"), F.col("has_reject"), controls, -F.coalesce(F.col("frame").cast("long"), F.lit(2**53)))
+    pick = F.max_by(F.struct("frame", scan_quality().alias("quality"), *POINTS), F.when(ok, order))
+    listed = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("frame"))))
+    per = scans.groupBy(key).agg(
+        pick.alias("best"), F.count_if(ok).alias("n_ok"), listed(ok).alias("ok_frames"), listed(F.col("timed_out")).alias("timed_out_frames"),
+        F.array_sort(F.collect_set("error")).alias("errors"),
+    )
+    late = F.when(F.size("timed_out_frames") > 0, F.concat(F.lit("timed out in frames "), F.array_join(F.col("timed_out_frames").cast("array<string>"), ", ")))
+    why = F.when(F.col("n_ok") == 0, F.concat(F.lit("no frame could be scanned: "), F.array_join(F.array_compact(F.concat("errors", F.array(late))), "; ")))
+    return per.select(key, "best.frame", "best.quality", *[F.col("best").getField(c).alias(c) for c in POINTS], "ok_frames", "timed_out_frames", why.alias("error"))
+
+
 def detect_tcf(banners: DataFrame, requests: DataFrame) -> DataFrame:
     """Whether a site's banner, or else one of its first requests, names the consent framework's interface."""
     from crumbtrail.functions.text import contains_any

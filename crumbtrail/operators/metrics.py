@@ -111,7 +111,8 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, columns: list[str]
 
 
 def pivot_regions(df: DataFrame, row: str, region: str, cmp: str, value: str, regions: list[str], platforms: list[str]) -> DataFrame:
-    """Means by row and region, or by row and platform where there are fewer than three regions."""
+    """Means by row and region, or by row and platform where there are fewer than three regions. Counts the regions, in a job
+    of its own, when it is called."""
     n = df.agg(F.count_distinct(region).alias("n")).first().n
     return pivot_mean(df, row, region, value, regions) if n >= 3 else pivot_mean(df, row, cmp, value, platforms)
 

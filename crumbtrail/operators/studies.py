@@ -240,7 +240,8 @@ def pet_availability(runs: DataFrame, pets: list[str], available: list[str]) ->
 
 
 def with_category(runs: DataFrame, sites: DataFrame) -> DataFrame:
-    """The runs' own categories; where they have none at all, those of the sites. What is still missing is Unknown."""
+    """The runs' own categories; where they have none at all, those of the sites. What is still missing is Unknown. Looks for a
+    category, in a job of its own, when it is called."""
     if runs.where("category IS NOT NULL").isEmpty():
         lookup = sites.groupBy("domain").agg(F.min("category").alias("category"))
         runs = runs.drop("category").join(lookup, "domain", "left")

@@ -49,10 +49,13 @@ def tracker_lists_merge(s, d):
 @query(O.after("signals", """SELECT d AS domain, max_by(state, resource_type || ' ' || state) AS vendor, max_by(resource_type, resource_type || ' ' || state) AS category
   FROM (SELECT resource_type, state, REG AS d FROM a_requests WHERE REG <> SITE) x GROUP BY d""".replace("REG", O.reg("host")).replace("SITE", O.reg("site"))))
 def tracker_services(s, d):
-    """Services documents made of the request log, one for each category and company, read back."""
+    """Services documents made of the request log, each with at most about a thousand domains of a category and company, read back."""
     third = load(s, d, "a_requests").where(D.is_third_party(F.col("host"), F.col("site")))
     pairs = third.select(F.col("resource_type").alias("cat"), F.col("state").alias("company"), D.registered_domain(F.col("host")).alias("dom")).distinct()
-    companies = pairs.groupBy("cat", "company").agg(F.sort_array(F.collect_set("dom")).alias("doms"))
+    # Documents of a bounded size, however many domains a company has.
+    chunks = pairs.groupBy("cat", "company").agg(F.ceil(F.count("*") / 1000).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("dom"), F.col("chunks")).alias("chunk")
+    companies = pairs.join(chunks, ["cat", "company"]).groupBy("cat", "company", chunk).agg(F.sort_array(F.collect_set("dom")).alias("doms"))
     entry = F.create_map("company", F.create_map(F.concat(F.lit("http://"), "company"), F.col("doms")))
     json = F.to_json(F.struct(F.create_map(F.col("cat"), F.array(entry)).alias("categories")))
     return readers.tracker_services(companies.select(F.concat_ws(" ", "cat", "company").alias("place"), json.alias("json")), order="place")
@@ -69,10 +72,23 @@ def banner_candidate_best(s, d):
     return extras.pick_candidate(c, ["site"], [F.col("area"), F.col("host")])
 
 
-@query(duck("""SELECT tab, page, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tab, page ORDER BY cookies DESC, label IN ('Reject all', 'Refuser') DESC, kind = 'click' DESC, event_id) AS r FROM a_interactions) WHERE r = 1"""))
+#: Three frames of each site: parts of the banner lie in one or the other, some fail or time out, a frame may have no number.
+_FRAMES = """SELECT b.domain, CASE WHEN f.i = 2 AND b.site_id % 5 = 0 THEN NULL ELSE f.i END AS frame, b.found AND (f.i = 0 OR b.site_id % (f.i + 2) = 0) AS found, b.has_accept AND f.i <> 1 AS has_accept, b.has_reject AND b.site_id % 3 = f.i AS has_reject,
+    contains(b.html, 'id="s"') AND f.i < 2 AS has_settings, b.accept_clicks, CASE WHEN b.site_id % 3 = f.i THEN b.reject_clicks ELSE 999 END AS reject_clicks, CASE WHEN f.i = 2 THEN '' ELSE b.banner_text END AS banner_text,
+    CASE WHEN b.site_id % 13 = 8 THEN 'blocked' WHEN (b.site_id + f.i) % 4 = 3 THEN 'no access' END AS error, (b.site_id + f.i) % 4 = 3 AND b.site_id % 2 = 1 AS timed_out
+  FROM a_banners b CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(i)) f"""
+
+
+@query(duck(f"""WITH f AS ({_FRAMES}), q AS (SELECT *, (CASE WHEN found THEN 2 ELSE 0 END) + (CASE WHEN has_accept THEN 5 ELSE 0 END) + (CASE WHEN has_reject THEN 5 ELSE 0 END) + (CASE WHEN has_settings THEN 3 ELSE 0 END)
+    + (CASE WHEN accept_clicks < 999 THEN 1 ELSE 0 END) + (CASE WHEN reject_clicks < 999 THEN 1 ELSE 0 END) + (CASE WHEN banner_text <> '' THEN 1 ELSE 0 END) AS quality FROM f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY quality DESC, has_reject DESC, has_accept OR has_reject OR has_settings DESC, frame NULLS LAST) AS r FROM q WHERE error IS NULL),
+  g AS (SELECT domain, count(*) FILTER (error IS NULL) AS n, coalesce(string_agg(frame, ',' ORDER BY frame) FILTER (error IS NULL), '') AS ok_frames, coalesce(string_agg(frame, ', ' ORDER BY frame) FILTER (timed_out), '') AS late, string_agg(DISTINCT error, '; ' ORDER BY error) AS errors FROM f GROUP BY domain)
+  SELECT g.domain, r.frame, CAST(r.quality AS INT) AS quality, r.has_reject, ok_frames, CASE WHEN n = 0 THEN 'no frame could be scanned: ' || errors || CASE WHEN late <> '' THEN '; timed out in frames ' || late ELSE '' END END AS error FROM g LEFT JOIN r ON r.domain = g.domain AND r = 1"""))
 def best_frame_scan(s, d):
-    order = [F.desc("cookies"), F.desc(F.col("label").isin("Reject all", "Refuser")), F.desc(F.col("kind") == "click"), F.col("event_id")]
-    return extras.pick_candidate(load(s, d, "a_interactions"), ["tab", "page"], order).select("tab", "page", "event_id")
+    """The frame of each site whose scan counts, by the scan's own points."""
+    load(s, d, "a_banners").createOrReplaceTempView("a_banners")
+    best = extras.best_frames(s.sql(_FRAMES), "domain")
+    return best.select("domain", "frame", "quality", "has_reject", F.array_join(F.col("ok_frames").cast("array<string>"), ",").alias("ok_frames"), "error")
 
 
 @query(duck("""SELECT site, CASE WHEN n = 0 THEN 'unknown' WHEN k = 0 THEN 'reject' WHEN k = n THEN 'accept' ELSE 'settings' END AS action FROM (SELECT site, count(*) FILTER (name IN ('consent', 'theme')) AS n, count(*) FILTER (name = 'consent') AS k FROM a_cookies GROUP BY site) x"""))
