@@ -52,6 +52,11 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def mentions(text: Column, words: list[str]) -> Column:
+    """As contains_any(), in one expression however many words there are: for short texts such as labels and attributes."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
+
+
 def count_hits(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 

@@ -237,8 +237,8 @@ def _attr(e: Column, name: str) -> Column:
 def hidden_reject(els: Column, vocabulary: list[tuple] = P.VOCABULARY) -> Column:
     """D2 by markup: an element that reads like a refusal has a hiding class or style. vocabulary: (action, kind, terms)."""
     terms = [w.lower() for a, _, words in vocabulary if a == "reject" for w in words]
-    hides = lambda e: X.contains_any(_attr(e, "class"), P.HIDDEN_CLASSES) | X.contains_any(_squeezed(e), ["display:none", "visibility:hidden"])
-    return F.exists(els, lambda e: e["tag"].isin("button", "a", "input") & X.contains_any(F.lower(e["text"]), terms) & hides(e))
+    hides = lambda e: X.mentions(_attr(e, "class"), P.HIDDEN_CLASSES) | X.contains_any(_squeezed(e), ["display:none", "visibility:hidden"])
+    return F.exists(els, lambda e: e["tag"].isin("button", "a", "input") & X.mentions(F.lower(e["text"]), terms) & hides(e))
 
 
 def labels_of(els: Column) -> Column:
@@ -255,14 +255,14 @@ def preselected(els: Column, labels: Column | None = None) -> Column:
     around = lambda e: F.get(els, e["parent"])["text"]
     words = [w.lower() for w in P.NECESSARY]
     name = lambda e: F.lower(F.coalesce(F.nullif(label(e), F.lit("")), around(e), F.lit("")))
-    return F.size(F.filter(els, lambda e: box(e) & ~X.contains_any(name(e), words)))
+    return F.size(F.filter(els, lambda e: box(e) & ~X.mentions(name(e), words)))
 
 
 def forced_action(els: Column) -> Column:
     """D5: a wall that is fixed or fills the window, or a fixed blurring layer."""
     fixed = lambda e: F.contains(_squeezed(e), F.lit("position:fixed"))
     full = lambda e: X.contains_any(_squeezed(e), ["width:100%", "height:100%"])
-    wall = lambda e: X.contains_any(F.concat_ws(" ", _attr(e, "class"), _attr(e, "id")), P.WALL_WORDS)
+    wall = lambda e: X.mentions(F.concat_ws(" ", _attr(e, "class"), _attr(e, "id")), P.WALL_WORDS)
     blur = lambda e: ~F.contains(_attr(e, "class"), F.lit("no-blur")) & X.contains_any(_attr(e, "class"), ["blur", "backdrop"])
     one = F.exists(els, lambda e: e["tag"].isin("div", "section", "aside") & wall(e) & (fixed(e) | full(e)))
     return one | F.exists(els, lambda e: e["tag"].isin("div", "section") & blur(e) & fixed(e))
@@ -271,11 +271,11 @@ def forced_action(els: Column) -> Column:
 def suspicious_phrases(html: Column, els: Column, vocabulary: list[tuple] = P.VOCABULARY) -> Column:
     """D7: phrases that press or confuse, in order: guilt, each double negative, each ambiguous label."""
     text = F.lower(visible_text(html))
-    guilt = [F.when(F.contains(text, F.lit(p)), F.lit(f"guilt-trip: '{p}'")) for p in P.GUILT]
+    guilt = F.transform(F.filter(F.split(F.lit("|".join(P.GUILT)), r"\|"), lambda p: F.contains(text, p)), lambda p: F.concat(F.lit("guilt-trip: '"), p, F.lit("'")))
     twice = [F.when(x.isNotNull(), F.concat(F.lit("double-negative: '"), x, F.lit("'"))) for x in X.double_negatives(text)]
     vague = [w.lower() for a, _, words in vocabulary if a == "dismiss" for w in words]
     labels = F.transform(F.filter(els, lambda e: e["tag"].isin("button", "a", "input") & F.lower(e["text"]).isin(vague)), lambda e: F.concat(F.lit("ambiguous-button: '"), F.lower(e["text"]), F.lit("'")))
-    return F.concat(F.array_compact(F.array(*guilt, *twice)), labels)
+    return F.concat(guilt, F.array_compact(F.array(*twice)), labels)
 
 
 PATTERNS = ["asymmetric", "hidden_reject", "missing_reject", "preselected", "forced_action", "multi_layer", "confusing"]

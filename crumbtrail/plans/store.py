@@ -55,5 +55,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _known[key]
 
 
-def forget() -> None:
-    _known.clear()
+def forget(*, inputs: bool = True) -> None:
+    """Drops what is known of stored tables; without inputs the canonical tables (a_...) stay."""
+    for key in [k for k in _known if inputs or not k[2].startswith("a_")]:
+        del _known[key]
