@@ -164,8 +164,8 @@ def _step(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
 def mcd(rows: DataFrame, *, support: float = 0.75, max_steps: int = 12, tolerance: float = 1e-3) -> DataFrame:
     """A row per group g_ with the mean and Cholesky factor of its minimum-covariance-determinant estimate.
 
-    Two C-steps from each of three starts; then each group goes on from the one with the least determinant, until no
-    group's logarithm of it falls by more than the tolerance.
+    Two C-steps from each of three starts; then each group goes on from the one with the least determinant, until the
+    logarithm of its own falls by no more than the tolerance.
     """
     params = _starts(rows)
     for _ in range(2):
@@ -173,13 +173,18 @@ def mcd(rows: DataFrame, *, support: float = 0.75, max_steps: int = 12, toleranc
     names = [c for c in params.columns if c != "g_"]
     best = params.groupBy("g_").agg(F.min_by(F.struct(*names), F.struct("log_det", "s_")).alias("b"))
     params = written(best.select("g_", "b.*"), "mcd")
+    settled = []
     for _ in range(2, max_steps):
-        after = _step(rows, params, support)
-        # A number goes to the driver.
-        fall = after.join(params.select("g_", F.col("log_det").alias("before")), "g_").agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
-        params = after
-        if fall is None or fall <= tolerance:
+        # Groups without an estimate in params take no part in the step, neither their rows nor their sums.
+        fall = F.col("before") - F.col("log_det") > tolerance
+        after = _step(rows, params, support).join(params.select("g_", F.col("log_det").alias("before")), "g_")
+        after = written(after.withColumn("falls_", fall).drop("before"), "mcd")
+        settled.append(after.where(~F.col("falls_")).drop("falls_"))
+        params = after.where("falls_").drop("falls_")
+        if params.isEmpty():
             break
+    for done in settled:
+        params = params.unionByName(done)
     return params.drop("s_", "log_det")
 
 
