@@ -215,11 +215,19 @@ def study_figures(s, d):
     return one.withColumns({c: F.round(c, 6) for c in one.columns if c.endswith("rate") or c in ("mean_score", "public_score", "public_tracking")})
 
 
-@query()
+@query(O.after("scores", f"""WITH {Q._RANKED}, {Q._PET}, n AS (SELECT *, count(*) OVER () AS k FROM o_rank WHERE cmp <> 'No CMP Detected'), e AS (SELECT * FROM n WHERE sites >= CASE WHEN k > 5 THEN 3 ELSE 1 END)
+  SELECT 'tools' AS part, CAST(row_number() OVER (ORDER BY round(request_cut, 6) DESC NULLS LAST, pet) AS INT) AS rank, pet AS name, sites FROM o_pet
+  UNION ALL SELECT 'platforms', CAST(row_number() OVER (ORDER BY pet_score DESC, cmp) AS INT), cmp, sites FROM e UNION ALL SELECT 'metadata', 0, 'total', (SELECT count(*) FROM a_banners)"""))
 def study_snapshot(s, d):
-    """The published figures of a study as one row of JSON: what study_figures, pet_ranking and cmp_ranking compare."""
+    """The published figures of a study, written as one row of JSON and read back: its total, tools and platforms in order. The figures
+    themselves are those of study_figures, pet_ranking and cmp_ranking."""
     one, tools, platforms = _study(s, d)
-    return sinks.report_row({"metadata": one, "tools": tools, "platforms": platforms})
+    path = new_folder(s, "snapshot")
+    sinks.write_documents(sinks.report_row({"metadata": one, "tools": tools, "platforms": platforms}), path)
+    row = s.read.schema("metadata string, tools string, platforms string").json(path)
+    ranked = lambda c: row.select(F.lit(c).alias("part"), F.explode(F.from_json(c, "array<struct<rank: int, name: string, sites: bigint>>")).alias("x")).select("part", "x.*")
+    total = row.select(F.lit("metadata").alias("part"), F.lit(0).alias("rank"), F.lit("total").alias("name"), F.get_json_object("metadata", "$[0].total").cast("bigint").alias("sites"))
+    return ranked("tools").unionByName(ranked("platforms")).unionByName(total)
 
 
 @query(O.after("scores", "SELECT domain, c1, c2, c3, c4, c6, round(" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in P.LEGACY_WEIGHTS.items() if c != "c5") + " + coalesce(c5, 0) * 0.15::DOUBLE, 6) AS legacy FROM o_scores"))

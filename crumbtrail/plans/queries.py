@@ -748,10 +748,13 @@ def randomized_response(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("truth", "estimate", "error")})
 
 
-# Bloom index.
-@query(duck("""WITH dom AS (SELECT DISTINCT lower(regexp_extract(line, '^\\|\\|([A-Za-z0-9._-]+)\\^', 1)) AS d FROM a_filter_text WHERE NOT starts_with(line, '!') AND NOT contains(line, '##')),
-    p AS (SELECT list_reduce(list_prepend(CAST(xor(2166136261, s) AS BIGINT), list_transform(string_split(d, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 2097152 AS p FROM dom, range(5) r(s) WHERE d <> '')
-  SELECT p // 32 AS word, bit_or(CAST(1 AS BIGINT) << CAST(p % 32 AS INT)) AS bits FROM p GROUP BY 1"""))
+# Bloom index. Hashes of a text by the five seeds, as places in the index.
+_PLACES = lambda text, rows: f"SELECT {text} AS t, list_reduce(list_prepend(CAST(xor(2166136261, s) AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 2097152 AS p FROM {rows}, range(5) r(s) WHERE {text} <> ''"
+_LISTED = f"""dom AS (SELECT DISTINCT lower(regexp_extract(line, '^\\|\\|([A-Za-z0-9._-]+)\\^', 1)) AS d FROM a_filter_text WHERE NOT starts_with(line, '!') AND NOT contains(line, '##')),
+    p AS ({_PLACES("d", "dom")})"""
+
+
+@query(duck(f"WITH {_LISTED} SELECT p // 32 AS word, bit_or(CAST(1 AS BIGINT) << CAST(p % 32 AS INT)) AS bits FROM p GROUP BY 1"))
 def bloom_build(s, d):
     return bloom.build(classify.adblock_domains(load(s, d, "a_filter_text")))
 
@@ -765,7 +768,8 @@ def bloom_probe(s, d):
     return found.join(listed, "domain", "left_semi")
 
 
-@query()
+@query(duck(f"WITH {_LISTED}, asked AS (SELECT DISTINCT host FROM a_requests), h AS ({_PLACES('host', 'asked')}) SELECT t AS domain, bool_and(p IN (SELECT p FROM p)) AS maybe FROM h GROUP BY t"))
 def bloom_candidates(s, d):
+    """Every host of the requests, and whether the index may hold it."""
     index = bloom.build(classify.adblock_domains(load(s, d, "a_filter_text")))
     return bloom.probe(load(s, d, "a_requests").select(F.col("host").alias("domain")), index)
