@@ -36,6 +36,15 @@ def armed_stream(s, d):
     return audit.run_to_table(timed.armed(stream, timeout=12 * 3600.0, delay=_DELAY), f"{path}/out", f"{path}/cp")
 
 
+@query(duck("""WITH m AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 10 MINUTES OR lag(page) OVER w <> page THEN 1 ELSE 0 END AS new FROM a_interactions WINDOW w AS (PARTITION BY tab ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY tab ORDER BY ts, event_id) AS session FROM m)
+  SELECT tab, any_value(page) AS page, min(event_id) AS first_event, count(*) AS n, count(*) FILTER (kind = 'click') AS clicks, bool_or(kind = 'banner_seen') AS armed FROM n GROUP BY tab, session"""))
+def ordered_session_stream(s, d):
+    """Sessions of a stream whose rows come out of order."""
+    stream, path = _deliver(s, load(s, d, "a_arrivals").select("event_id", "ts", "tab", "page", "kind", "arrival"))
+    return audit.run_to_table(timed.sessions(stream, delay=_DELAY), f"{path}/out", f"{path}/cp")
+
+
 _SHOTS = """WITH m AS (SELECT c.event_id AS click, s.event_id, s.trackers, s.third_parties, s.cookies, count(*) OVER (PARTITION BY c.event_id) AS captures,
     row_number() OVER (PARTITION BY c.event_id ORDER BY 100 * s.trackers + 10 * s.third_parties + s.cookies DESC, s.ts DESC, s.event_id DESC) AS r
   FROM a_interactions c JOIN a_captures s ON s.tab = c.tab AND s.page = c.page AND s.ts >= c.ts AND s.ts <= c.ts + INTERVAL 3 SECONDS WHERE c.kind = 'click')

@@ -155,6 +155,33 @@ class _Pending(_InOrder):
         return []
 
 
+class _Sessions(_InOrder):
+    """What is open is one session: its first event, the time of its last one, its page and counts."""
+
+    schema_open = "first_event long, us long, page string, n long, clicks long, armed boolean"
+    columns = ["tab", "page", "first_event", "n", "clicks", "armed"]
+
+    def __init__(self, idle_us: int) -> None:
+        self.deadline = idle_us
+
+    @staticmethod
+    def _done(session: tuple) -> tuple:
+        first, _, page, n, clicks, armed = session
+        return page, first, n, clicks, armed
+
+    def fold(self, open_: list[tuple], row: tuple) -> list[tuple]:
+        event, us, kind, page = row
+        if kind == END:
+            return []
+        out = [self._done(open_.pop())] if open_ and open_[0][2] != page else []
+        first, _, _, n, clicks, armed = open_.pop() if open_ else (event, us, page, 0, 0, False)
+        open_.append((min(first, event), us, page, n + 1, clicks + (kind == "click"), bool(armed or kind == "banner_seen")))
+        return out
+
+    def expire(self, open_: list[tuple], us: int) -> list[tuple]:
+        return [self._done(open_.pop())] if open_ and us - open_[0][1] > self.deadline else []
+
+
 class _Late(StatefulProcessor):
     """Marks rows that are behind the watermark. Needs no state."""
 
@@ -175,10 +202,18 @@ class _Late(StatefulProcessor):
         pass
 
 
-def _timed(events: DataFrame, processor: _InOrder, delay: str, value: str, out: str) -> DataFrame:
+def _timed(events: DataFrame, processor: _InOrder, delay: str, value: str, out: str, keys: str = "tab long, page string") -> DataFrame:
     use_rocksdb(events.sparkSession)
-    rows = events.withWatermark("ts", delay).select("tab", "page", "event_id", "ts", "kind", F.col(value).cast("string").alias("value"))
-    return rows.groupBy("tab", "page").transformWithStateInPandas(processor, f"tab long, page string, {out}", "append", "EventTime")
+    names = [k.split()[0] for k in keys.split(", ")]
+    rows = events.withWatermark("ts", delay).select(*names, "event_id", "ts", "kind", F.col(value).cast("string").alias("value"))
+    return rows.groupBy(*names).transformWithStateInPandas(processor, f"{keys}, {out}", "append", "EventTime")
+
+
+def sessions(events: DataFrame, idle: float = 600.0, delay: str = "10 minutes") -> DataFrame:
+    """Runs of a tab's events on one page with no longer pause than idle, in order of time whatever the order of arrival: the same
+    rows as studies.sessions. A tab's rows are never one frame."""
+    out = "page string, first_event long, n long, clicks long, armed boolean"
+    return _timed(events, _Sessions(int(idle * 1e6)), delay, "page", out, keys="tab long")
 
 
 def armed(events: DataFrame, timeout: float = 120.0, delay: str = "10 minutes") -> DataFrame:

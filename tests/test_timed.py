@@ -45,6 +45,12 @@ def test_armed_equals_batch(spark, events, tmp_path):
     assert same(done, batch) and {r.status for r in batch.collect()} == {"completed", "cleared"}
 
 
+def test_sessions_equal_batch(spark, events, tmp_path):
+    done = audit.run_to_table(timed.sessions(stream(spark, events, tmp_path / "in", "part"), idle=5.0, delay="45 minutes"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = studies.sessions(events, gap="5 seconds").drop("session")
+    assert same(done.drop("page"), batch) and done.agg(F.max("n")).first()[0] > 2
+
+
 def test_pending_equals_batch(spark, events, tmp_path):
     done = audit.run_to_table(timed.pending(stream(spark, events, tmp_path / "in", "part"), delay="45 minutes"), str(tmp_path / "out"), str(tmp_path / "cp"))
     batch = studies.promotions(events)
