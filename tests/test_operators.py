@@ -259,3 +259,17 @@ def test_elements_do_not_grow_with_depth(spark):
     assert len(els) == 803 and sum(len(e["text"]) for e in els) == len("more of it")
     boxed = banner._read("<div><p>All <span>of us <input type=CheckBox checked></span></p><script>var x</script><label for=q>Name <b>here</label> tail</div>")
     assert {(e["tag"], e["text"]) for e in boxed if e["text"]} == {("span", "of us"), ("label", "Name here")}
+
+
+def test_the_setting_names_the_vocabulary(spark, tmp_path):
+    from crumbtrail.plans import queries
+
+    (tmp_path / "v.json").write_text('{"dismiss": {"exact": ["Weg damit"]}, "accept": {"contains": ["gern"]}}')
+    spark.conf.set(P.VOCABULARY_SETTING, str(tmp_path / "v.json"))
+    try:
+        voc = queries._vocabulary(spark)
+        df = spark.createDataFrame([("weg DAMIT",), ("Aber gern!",), ("Accept all",)], "label string")
+        assert {r.label: r.action for r in classify.classify_labels(df, voc).collect()} == {"weg DAMIT": "dismiss", "Aber gern!": "accept", "Accept all": "unknown"}
+    finally:
+        spark.conf.unset(P.VOCABULARY_SETTING)
+    assert queries._vocabulary(spark).count() == len(P.vocabulary_rows())
