@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crumbtrail.functions import domains as D
-from crumbtrail.streaming.timed import use_rocksdb
+from crumbtrail.streaming.timed import few_state_partitions, use_rocksdb
 
 EVENTS = "event_id long, ts timestamp, tab long, page string, label string, kind string"
 SESSION = "tab long, page string, first_event long, n long, clicks long, armed boolean, completed boolean"
@@ -117,6 +117,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote. Exactly once: Parquet sink and checkpoint."""
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with few_state_partitions(stream.sparkSession):
+        q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -112,3 +112,36 @@ def test_ingest_reads_its_deliveries_only(spark, tmp_path):
     q = rows.dropDuplicates(["k"]).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [p.numInputRows for p in q.recentProgress if p.numInputRows] == [1000] * 4
+
+
+def test_deliveries_are_made_from_one_pass(spark, events, tmp_path):
+    """Whatever the number of deliveries, the input is evaluated once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    timed.delivered(events.mapInPandas(note, events.schema), str(tmp_path / "in"), "part")
+    assert seen.value == 400 and events.select("part").distinct().count() > 2
+    assert spark.read.parquet(str(tmp_path / "in")).where(F.col("kind") != timed.END).count() == 400
+
+
+def test_keys_share_state(spark, tmp_path):
+    """Many keys, null ones too, are kept in as many groups as there are buckets, in few partitions, and give what the batch form gives."""
+    s = 1_000_000
+    rows = [(i, 1_700_000_000 * s + (i // 200) * 20 * s + i, i % 100 if i % 7 else None, "pq"[i % 2], ["banner_seen", "click", "other"][i % 3], None) for i in range(600)]
+    df = table(spark, rows).withColumn("part", F.lit(0))
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    watched = timed.armed(stream(spark, df, tmp_path / "in", "part"), timeout=30.0, buckets=3)
+    with timed.few_state_partitions(spark):
+        q = watched.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == given
+    # For each bucket and the closing row: an entry of waiting rows or of open ones, and a timer with its index.
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) < 40
+    done = spark.read.schema(watched.schema).parquet(str(tmp_path / "out"))
+    batch = studies.armed_outcomes(df.drop("part"), timeout=30.0)
+    known = F.col("tab").isNotNull()
+    assert same(done.where(known), batch.where(known)) and done.where(~known).count() == sum(r[2] is None and r[4] == "banner_seen" for r in rows)
