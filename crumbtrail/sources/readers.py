@@ -37,11 +37,13 @@ def read_sites(spark: SparkSession, path: str, first: int | None = None) -> Data
     return df.orderBy("rank", "domain").limit(first) if first else df
 
 
-def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """One row per crawl document below path; unreadable files are left out, a missing domain is the file's name."""
-    raw = spark.read.schema(CRAWL).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def read_crawl(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per crawl document below path; unreadable files are left out, a missing domain is the file's name. With ``lines`` each
+    line is a document, and unreadable lines are left out: many sites need no more files than their size asks for."""
+    raw = spark.read.schema(CRAWL).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return raw.withColumn("domain", F.coalesce("domain", stem)).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    named = raw if lines else raw.withColumn("domain", F.coalesce("domain", stem))
+    return named.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
 def states_long(crawl: DataFrame) -> DataFrame:
