@@ -193,7 +193,7 @@ def site_snapshot(s, d):
 def _study(s, d):
     sites, patterns = Q.report_sites(s, d), Q.patterns(s, d)
     share = lambda name: F.avg(F.array_contains("names", name).cast("double"))
-    after = metrics.before_after(load(s, d, "a_requests"), D.is_third_party(F.col("host"), F.col("site")), D.registered_domain(F.col("host")))
+    after = metrics.after_rejecting(Q.states(s, d))
     public = sites.where(D.is_public_sector(F.col("domain"))).agg(F.count("*").alias("public_sites"), F.avg("overall").alias("public_score"), F.avg((F.col("n_signals") > 0).cast("double")).alias("public_tracking"))
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
     one = metrics.crawl_summary(load(s, d, "a_banners")).crossJoin(patterns.agg(share("missing_reject").alias("missing_reject_rate"), share("multi_layer").alias("multi_layer_rate")))

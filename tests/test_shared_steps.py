@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crumbtrail.functions import domains as D
 from crumbtrail.operators import banner, classify
-from crumbtrail.plans import params, queries
+from crumbtrail.plans import more, params, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +54,9 @@ def test_visible_text_is_made_once(spark):
 def test_signals_read_no_requests_again(spark):
     made = classify.pre_consent_signals(queries.classified(spark, SF), queries.third_parties(spark, SF))
     assert not re.search(r"\b(host|url)#", plan(made))
+
+
+def test_study_figures_read_no_requests_again(spark):
+    """Once the steps that they share with other reports are stored."""
+    queries.report_sites(spark, SF)
+    assert not re.search(r"\b(host|url)#", plan(more.study_figures(spark, SF)))
